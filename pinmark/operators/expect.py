@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +78,9 @@ def varying_calls(captures: DataFrame) -> DataFrame:
     return calls.where("__low <> __high").select("module", "function", "arg_keys", F.lit(True).alias("__varies"))
 
 
-def derive_expectations(captures: DataFrame, *, index: bool = True, strict: bool = False) -> DataFrame:
+def derive_expectations(
+    captures: DataFrame, *, index: bool = True, strict: bool = False, keep: Sequence[str] = ()
+) -> DataFrame:
     """One expectation per capture; the first rule that fits wins.
 
     Success: digest -> ``not_null``; member of an argument -> ``member``; float -> ``approx`` (NaN: ``approx_nan``);
@@ -138,6 +142,7 @@ def derive_expectations(captures: DataFrame, *, index: bool = True, strict: bool
         F.when(member, from_list).alias("source_keys"),
         F.when(member & from_list.isNull(), unquoted(source)).alias("source_text"),
         F.when(~ok, F.coalesce("error_class", error_class(F.col("error")))).alias("error_class"),
+        *keep,
     )
     if index:
         cases = dense_index(cases, ["module", "function", "case_kind"], "seq", "case_idx")
@@ -146,7 +151,7 @@ def derive_expectations(captures: DataFrame, *, index: bool = True, strict: bool
         cases = cases.withColumn("case_idx", F.lit(None).cast("bigint"))
         number = F.col("seq")
     return cases.withColumn("case_name", case_name(F.col("function"), F.col("case_kind"), number)).select(
-        *EXPECTATION_COLUMNS
+        *EXPECTATION_COLUMNS, *keep
     )
 
 

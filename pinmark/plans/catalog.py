@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import captures
+from . import captures, verification
 from .registry import ORACLES, QUERIES, Query
 
-_MODULES = (captures,)
+_MODULES = (captures, verification)
 
 
 def queries() -> dict[str, Query]:
