@@ -65,7 +65,7 @@ def normalise_inputs(raw: Column, n_args: Column) -> Column:
     """
 
     def normal(item: Column) -> Column:
-        parts = F.transform(_items(item), _json)
+        parts = F.transform(_items(item), lambda e: _json(e))
         return (
             F.when(_is_list(item) & (F.size(_items(item)) == n_args), parts)
             .when(n_args == 1, F.array(_json(item)))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import captures, verification
+from . import captures, texts, verification
 from .registry import ORACLES, QUERIES, Query
 
-_MODULES = (captures, verification)
+_MODULES = (captures, verification, texts)
 
 
 def queries() -> dict[str, Query]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,12 +12,23 @@ from ..sources.files import module_name
 from ..sources.logs import captures_from_log
 
 
-def log_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Lines of log files as they are added; the module is the file's name without its suffix."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).text(folder)
-    name = F.regexp_replace(module_name(F.col("_metadata.file_path")), r"\.(log|txt)$", "")
+def log_stream(
+    spark: SparkSession, folder: str, module: Column | None = None, files_per_trigger: int = 1000
+) -> DataFrame:
+    """Lines of log files as they are added.
+
+    ``module`` is taken from ``_metadata.file_path``; by default it is the file's name without its suffix.
+    """
+    lines = (
+        spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+        .option("recursiveFileLookup", True)
+        .text(folder)
+    )
+    if module is None:
+        name = module_name(F.url_decode(F.col("_metadata.file_path")))
+        module = F.regexp_replace(name, r"\.(log|txt)$", "")
     return lines.select(
-        F.url_decode(name).alias("module"), F.lit(None).cast("bigint").alias("line_no"), F.col("value").alias("line")
+        module.alias("module"), F.lit(None).cast("bigint").alias("line_no"), F.col("value").alias("line")
     )
 
 
