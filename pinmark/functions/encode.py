@@ -53,13 +53,13 @@ def _bits_name(value: float) -> str:
 def _float_key(value: float) -> str:
     if math.isnan(value):
         return "nan"
-    if abs(value) < _INT64 and value.is_integer():
+    if -_INT64 <= value < _INT64 and value.is_integer():
         return str(int(value))
     return _bits_name(value)
 
 
 def _int_key(value: int) -> str:
-    if -_INT64 < value < _INT64:
+    if -_INT64 <= value < _INT64:
         return str(int(value))
     try:
         wide = float(value)

@@ -75,7 +75,7 @@ def _float_key(value: Column) -> Column:
     bits = F.concat(F.lit("f"), F.lower(F.lpad(F.hex(F.xxhash64(value)), 16, "0")))
     return (
         F.when(F.isnan(value), F.lit("nan"))
-        .when((F.abs(value) < _INT64) & (value % 1 == 0), value.cast("bigint").cast("string"))
+        .when((value >= -_INT64) & (value < _INT64) & (value % 1 == 0), value.cast("bigint").cast("string"))
         .otherwise(bits)
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python's str.strip and float() treat as blank, as a Java character class.
+# The characters Python's str.strip treats as blank, as a Java character class.
 PY_BLANK = r"[\s\x{1c}-\x{1f}]"
 _NUMBER = r"(?i)^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$"
 _SPECIAL = r"(?i)^[+-]?(nan|inf|infinity)$"
@@ -27,7 +27,8 @@ def python_split(text: Column) -> Column:
 
 def python_float(text: Column) -> Column:
     """``float(text)``, NULL where Python raises. Only ASCII digits are known."""
-    bare = python_strip(text)
+    # Unlike str.strip, float() keeps the separators 1c to 1f.
+    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     special = F.lower(F.regexp_replace(bare, r"^\+", ""))
     return (
         F.when(bare.rlike(_NUMBER), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
@@ -39,17 +40,28 @@ def python_float(text: Column) -> Column:
 
 
 def python_float_text(value: Column) -> Column:
-    """``repr`` of a finite double.
+    """``repr`` of a finite double. It always reads back as the same number; on Java before 19 about one in a thousand
+    random doubles (mostly beyond 1e17, or subnormal) differs from Python in its last digit or shows one digit more.
 
     Java and Python both print shortest-digit forms, but switch to an exponent at other magnitudes; inside
-    [1e-3, 1e7) the two texts are alike and nothing has to be rearranged.
+    [1e-3, 1e7) the two texts are alike and nothing has to be rearranged. Java versions before 19 sometimes print a
+    digit more than needed, so long texts are replaced by one of 16 or 17 digits that reads back as the number.
     """
     size = F.abs(value)
     text = value.cast("string")
+    sixteen, seventeen = F.format_string("%.15e", value), F.format_string("%.16e", value)
+    digits = (
+        F.when(F.length(text) <= 17, text)
+        .when(sixteen.try_cast("double") == value, sixteen)
+        .when(seventeen.try_cast("double") == value, seventeen)
+        .otherwise(text)
+    )
     # 16 whole digits and 3 + 17 decimals are the most that Python's plain form needs.
-    plain = F.when((size >= 1e-4) & (size < 1e16), value.try_cast("decimal(38,21)").cast("string"))
-    power = F.regexp_replace(F.regexp_replace(text, r"(\.0)?E(\d)", "e+$2"), r"(\.0)?E-", "e-")
-    return F.when(((size >= 1e-3) & (size < 1e7)) | (size == 0), text).otherwise(
+    plain = F.when((size >= 1e-4) & (size < 1e16), digits.try_cast("decimal(38,21)").cast("string"))
+    power = F.regexp_replace(F.regexp_replace(digits, r"(\.0)?E(\d)", "e+$2"), r"(\.0)?E-|\.?0*e-", "e-")
+    power = F.regexp_replace(power, r"\.?0*e\+", "e+")
+    alike = ((size >= 1e-3) & (size < 1e7) & (F.length(text) <= 17)) | (size == 0)
+    return F.when(alike, text).otherwise(
         F.coalesce(
             F.regexp_replace(plain, r"(\.\d+?)0+$", "$1"), F.regexp_replace(power, r"e([+-])(\d)$", "e$10$2")
         )
