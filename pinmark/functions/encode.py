@@ -9,6 +9,7 @@ import builtins
 import json
 import math
 import struct
+from decimal import Decimal
 
 try:
     import xxhash
@@ -72,6 +73,11 @@ def _text_key(text: str) -> str:
     return '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"'
 
 
+def other_text(value) -> str:
+    """Text of a value JSON has no form for; decimals as Spark writes them."""
+    return format(value, "f") if isinstance(value, Decimal) else str(value)
+
+
 def identity_key(value) -> str:
     if isinstance(value, float):
         return _float_key(value)
@@ -88,7 +94,7 @@ def identity_key(value) -> str:
     if isinstance(value, dict):
         names = ((k if isinstance(k, str) else json.dumps(k), v) for k, v in value.items())
         return "{" + ",".join(sorted(f"{_text_key(k)}:{identity_key(v)}" for k, v in names)) + "}"
-    return _text_key(str(value))
+    return _text_key(other_text(value))
 
 
 def holds_nan(value) -> bool:
@@ -118,7 +124,7 @@ def kind(value) -> str:
     return found
 
 
-_ENCODER = json.JSONEncoder(default=str)
+_ENCODER = json.JSONEncoder(default=other_text)
 
 
 def described(value) -> tuple:

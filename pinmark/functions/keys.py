@@ -49,11 +49,14 @@ def may_hold_nan(dtype: T.DataType) -> bool:
 
 def other_text(value: Column, dtype: T.DataType) -> Column:
     """``str(value)`` for types JSON has no form for."""
+    if isinstance(dtype, T.BinaryType):
+        raise TypeError("binary values have no text form here; pass base64(...) or hex(...) of them")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        pattern = F.when(
-            F.date_format(value, "SSSSSS") == "000000", F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+        zone = "xxx" if isinstance(dtype, T.TimestampType) else ""
+        whole = F.date_format(value, "SSSSSS") == "000000"
+        return F.when(whole, F.date_format(value, f"yyyy-MM-dd HH:mm:ss{zone}")).otherwise(
+            F.date_format(value, f"yyyy-MM-dd HH:mm:ss.SSSSSS{zone}")
         )
-        return pattern.otherwise(F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     return value.cast("string")
 
 

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import string
 
@@ -23,12 +24,14 @@ NULL_AMOUNT = "float() argument must be a string or a real number, not 'NoneType
 NO_CANDIDATE = "empty range for randrange() (0, 0, 0)"
 EMPTY_LIST = "list index out of range"
 
+_NAMES = itertools.count()
 _ALPHABET = list(string.ascii_lowercase)
 
 
 def process_transaction(amount: Column, *, text: bool = False, rate: float = RATE) -> Outcome:
     """Amount times rate; null, unreadable, negative and zero amounts raise. NaN passes through."""
-    value = python_float(amount) if text else amount.cast("double")
+    name = f"__amount_{next(_NAMES)}"
+    value = F.col(name)
     guards = [Guard(amount.isNull(), TypeError, NULL_AMOUNT)]
     if text:
         unreadable = F.concat(F.lit(NOT_A_NUMBER_TEXT), python_repr_text(amount))
@@ -37,7 +40,7 @@ def process_transaction(amount: Column, *, text: bool = False, rate: float = RAT
         Guard(value < 0, ValueError, NEGATIVE_AMOUNT),
         Guard(value == 0, ZeroDivisionError, DIVISION),
     ]
-    return Outcome(value * F.lit(rate), tuple(guards))
+    return Outcome(value * F.lit(rate), tuple(guards), {name: python_float(amount) if text else amount.cast("double")})
 
 
 def process_transaction_py(amount, rate: float = RATE):
@@ -51,7 +54,8 @@ def process_transaction_py(amount, rate: float = RATE):
 
 def characters(word: Column) -> Column:
     """Code points of a string; the empty string has none."""
-    return F.regexp_extract_all(word, F.lit("(?s)(.)"), F.lit(1))
+    # Splitting on nothing steps over UTF-8 characters without a regular expression.
+    return F.when(word == "", F.array().cast("array<string>")).otherwise(F.split(word, ""))
 
 
 def _in(letters: Column, c: Column) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 import linecache
 import traceback as tb
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,10 +36,14 @@ class Guard:
 
 @dataclass(frozen=True)
 class Outcome:
-    """A function as columns: ordered guards, and the value where none of them holds."""
+    """A function as columns: ordered guards, and the value where none of them holds.
+
+    ``given`` names intermediate columns that guards and value share; they are computed once per row.
+    """
 
     value: Column
     guards: tuple[Guard, ...] = ()
+    given: Mapping[str, Column] = field(default_factory=dict)
 
 
 def _fold_guards(guards: Sequence[Guard], result) -> Column | None:
@@ -91,23 +95,33 @@ def outcome_columns(
     }
 
 
-def _evaluated(df: DataFrame, outcome: Outcome, args: Sequence[Column], tag: str = "") -> DataFrame:
-    """Add error text, value and arguments as columns.
+Subject = tuple[Outcome, Sequence[Column]]
+
+
+def _evaluated(df: DataFrame, subjects: Sequence[Subject]) -> DataFrame:
+    """Add error text, value, JSON length and arguments of each subject as columns.
 
     They are separate projections because the later ones use them many times; Catalyst keeps a projection apart when
     merging it would repeat work.
     """
-    error, value = f"__error{tag}", f"__value{tag}"
-    named = df.withColumns(
-        {error: _failure(outcome.guards), **{f"__arg{tag}_{i}": a for i, a in enumerate(args)}}
-    )
-    valued = named.withColumn(value, F.when(F.col(error).isNull(), outcome.value))
-    length = keys.json_length(F.col(value), valued.schema[value].dataType)
-    return valued.withColumn(f"__length{tag}", length.cast("int"))
+    given = {n: c for outcome, _ in subjects for n, c in outcome.given.items()}
+    named = df.withColumns(given) if given else df
+    errors, values = {}, {}
+    for i, (outcome, args) in enumerate(subjects):
+        errors[f"__error{i}"] = _failure(outcome.guards)
+        errors.update({f"__arg{i}_{j}": a for j, a in enumerate(args)})
+        values[f"__value{i}"] = F.when(F.col(f"__error{i}").isNull(), outcome.value)
+    valued = named.withColumns(errors).withColumns(values)
+    schema = valued.schema
+    lengths = {
+        f"__length{i}": keys.json_length(F.col(f"__value{i}"), schema[f"__value{i}"].dataType).cast("int")
+        for i in range(len(subjects))
+    }
+    return valued.withColumns(lengths)
 
 
-def argument_columns(df: DataFrame, args: Sequence[str]) -> dict[str, Column]:
-    typed = [(F.col(a), df.schema[a].dataType) for a in args]
+def argument_columns(schema: T.StructType, args: Sequence[str]) -> dict[str, Column]:
+    typed = [(F.col(a), schema[a].dataType) for a in args]
     return {
         "arg_json": F.array(*[keys.json_text(a, t) for a, t in typed]).cast("array<string>"),
         "arg_keys": F.array(*[keys.identity_key(a, t) for a, t in typed]).cast("array<string>"),
@@ -115,11 +129,12 @@ def argument_columns(df: DataFrame, args: Sequence[str]) -> dict[str, Column]:
     }
 
 
-def _record(df: DataFrame, outcome: Outcome, n_args: int, digest_limit: int, tag: str = "") -> dict[str, Column]:
-    error, value, length = F.col(f"__error{tag}"), F.col(f"__value{tag}"), F.col(f"__length{tag}")
-    dtype = df.schema[f"__value{tag}"].dataType
+def _record(schema: T.StructType, subject: Subject, place: int, digest_limit: int) -> dict[str, Column]:
+    outcome, args = subject
+    error, value, length = (F.col(f"__{part}{place}") for part in ("error", "value", "length"))
+    dtype = schema[f"__value{place}"].dataType
     return {
-        **argument_columns(df, [f"__arg{tag}_{i}" for i in range(n_args)]),
+        **argument_columns(schema, [f"__arg{place}_{i}" for i in range(len(args))]),
         **outcome_columns(value, dtype, length, error, outcome.guards, digest_limit),
     }
 
@@ -136,19 +151,19 @@ def capture_native(
     digest_limit: int = encode.DIGEST_LIMIT,
 ) -> DataFrame:
     """Capture a Column expression: one narrow projection, no shuffle and no Python worker."""
-    df = _evaluated(df, outcome, args)
+    df = _evaluated(df, [(outcome, args)])
     columns = {
         "module": module if isinstance(module, Column) else F.lit(module),
         "function": F.lit(function),
         "seq": (seq if seq is not None else F.lit(None)).cast("bigint"),
-        **_record(df, outcome, len(args), digest_limit),
+        **_record(df.schema, (outcome, args), 0, digest_limit),
     }
     return df.select(*[columns[c].alias(c) for c in CAPTURE_COLUMNS], *keep)
 
 
 def capture_native_many(
     df: DataFrame,
-    subjects: Mapping[str, tuple[Outcome, Sequence[Column]]],
+    subjects: Mapping[str, Subject],
     *,
     module: str | Column,
     seq: Column | None = None,
@@ -156,10 +171,10 @@ def capture_native_many(
 ) -> DataFrame:
     """Several functions in one scan: each input row gives one record per function, in the order given."""
     rows = []
-    for i, (outcome, args) in enumerate(subjects.values()):
-        df = _evaluated(df, outcome, args, str(i))
-    for i, (function, (outcome, args)) in enumerate(subjects.items()):
-        columns = _record(df, outcome, len(args), digest_limit, str(i))
+    df = _evaluated(df, list(subjects.values()))
+    schema = df.schema
+    for i, (function, subject) in enumerate(subjects.items()):
+        columns = _record(schema, subject, i, digest_limit)
         rows.append(F.struct(F.lit(function).alias("function"), *[c.alias(n) for n, c in columns.items()]))
     exploded = df.select(
         (module if isinstance(module, Column) else F.lit(module)).alias("module"),
@@ -223,7 +238,7 @@ def capture_many(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            columns = {n: batch.column(n).to_pylist(maps_as_pydicts="strict") for n in batch.schema.names}
             places = columns[seq] if seq else [None] * batch.num_rows
             for name, fn, args in specs:
                 calls = zip(*[columns[a] for a in args]) if args else [()] * batch.num_rows

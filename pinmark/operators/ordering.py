@@ -51,7 +51,7 @@ def top_k(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], k
     """The first ``k`` rows per group.
 
     Spark prunes to ``k`` per group in every task before the exchange (WindowGroupLimit), so a hot group costs ``k``
-    rows per task, not its size.
+    rows per task, not its size. It does so up to spark.sql.optimizer.windowGroupLimitThreshold, 1000 by default.
     """
     rank = F.row_number().over(W.partitionBy(*groups).orderBy(*order))
     return df.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")

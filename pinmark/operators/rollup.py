@@ -59,12 +59,17 @@ def total_rollup(suites: DataFrame) -> DataFrame:
 
 
 def suites_and_total(results: DataFrame) -> DataFrame:
-    """Per-module rows and the grand total (``is_total``) from one pass."""
-    return results.rollup("module").agg(
-        F.count_if("passed").alias("passed"),
-        F.count_if(~F.col("passed")).alias("failed"),
-        (F.grouping("module") == 1).alias("is_total"),
-    ).withColumn("status", F.when(F.col("failed") == 0, F.lit("PASSED")).otherwise(F.lit("FAILED")))
+    """Per-module rows and the grand total (``is_total``), rolled up from one row per module."""
+    return (
+        suite_rollup(results)
+        .rollup("module")
+        .agg(
+            F.sum("passed").alias("passed"),
+            F.sum("failed").alias("failed"),
+            (F.grouping("module") == 1).alias("is_total"),
+        )
+        .withColumn("status", F.when(F.col("failed") == 0, F.lit("PASSED")).otherwise(F.lit("FAILED")))
+    )
 
 
 # Arguments that count as edge cases, by identity key.

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import subjects as S
 from ..functions.encode import DIGEST_HEAD, DIGEST_LIMIT
 from ..operators import capture as C
+from ..operators import expect as X
 from ..operators import rollup as R
 from ..session import spread
 from .registry import Tables, query
@@ -120,6 +121,26 @@ def error_profile(t: Tables) -> DataFrame:
     return C.error_profile(text_billing(t))
 
 
+@query(
+    "error_texts",
+    TEXT_SQL
+    + """
+SELECT seq, split_part(error, ':', 1) AS error_class, trim(substr(error, strpos(error, ':') + 1)) AS error_message,
+       concat('test_process_transaction_crash_', seq) AS case_name, length(error) > 500 AS is_digest
+FROM captured WHERE error IS NOT NULL""",
+)
+def error_texts(t: Tables) -> DataFrame:
+    error = F.col("error")
+    crashed = text_billing(t).where("status = 'crashed'")
+    return crashed.select(
+        "seq",
+        X.error_class(error).alias("error_class"),
+        X.error_message(error).alias("error_message"),
+        X.case_name(F.col("function"), F.lit("crash"), F.col("seq")).alias("case_name"),
+        X.is_digest(error).alias("is_digest"),
+    )
+
+
 @query(
     "capture_summary",
     TEXT_SQL
@@ -216,7 +237,7 @@ def available_letters(t: Tables) -> DataFrame:
     "SELECT doc_id, len(list_distinct(regexp_extract_all(text, '(?s).'))) AS n_unique FROM documents",
 )
 def unique_letters(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", S.unique_letters(F.col("text")).value.cast("bigint").alias("n_unique"))
+    return spread(t.documents).select("doc_id", S.unique_letters(F.col("text")).value.cast("bigint").alias("n_unique"))
 
 
 FIRST_LINE_SQL = r"""
@@ -415,7 +436,7 @@ def changed_billing(rows: DataFrame, amount: str, key: str, module="billing") ->
     """Captures of an altered billing function: large amounts get another rate."""
     same = S.process_transaction(F.col(amount))
     rate = F.when(F.col(amount) > 5000, F.lit(1.06)).otherwise(F.lit(S.RATE))
-    altered = C.Outcome(F.col(amount) * rate, same.guards)
+    altered = C.Outcome(F.col(amount) * rate, same.guards, same.given)
     return C.capture_native(rows, altered, [F.col(amount)], module=module, function=FUNCTION, seq=F.col(key))
 
 

@@ -91,7 +91,7 @@ def compare_native_query(t: Tables) -> DataFrame:
     results = compare_native(
         spread(t.lineitem),
         same,
-        C.Outcome(amount * rate, same.guards),
+        C.Outcome(amount * rate, same.guards, same.given),
         [amount],
         module=F.col("l_returnflag"),
         function=FUNCTION,
@@ -215,7 +215,7 @@ def part_captures(t: Tables) -> DataFrame:
         (C.Guard(rest == 0, ZeroDivisionError, S.DIVISION),),
     )
     return C.capture_native_many(
-        t.part,
+        spread(t.part),
         {
             "first_letter": (C.Outcome(F.left(name, F.lit(1))), [name]),
             "larger": (C.Outcome(F.array_max(sizes)), [sizes]),

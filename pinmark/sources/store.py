@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import CAPTURES, EXPECTATIONS
+from ..schema import CAPTURES, CASE_KEY, EXPECTATIONS
 
 # Characters Spark escapes in partition folder names.
 _ESCAPED = set('"#%\'*/:=?\\{[]^') | {chr(c) for c in range(1, 32)} | {chr(127)}
@@ -67,6 +67,16 @@ def write_modules(new: DataFrame, path: str, modules: Sequence[str]) -> None:
             none.write.mode("overwrite").parquet(f"{path}/module={_escaped(module)}")
 
 
+def write_bucketed(df: DataFrame, table: str, buckets: int, keys: Sequence[str] = CASE_KEY, **options: str) -> None:
+    """Keep expectations that are verified again and again as a table bucketed by their case key.
+
+    A later ``verify`` on these keys exchanges the fresh captures only. If those are all of one function that is given
+    as a constant, Spark joins on ``seq`` alone and the table should be bucketed by it.
+    """
+    writer = df.write.mode("overwrite").options(**options)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+
+
 def _escaped(name: str) -> str:
     return "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in name)
 

@@ -4,6 +4,8 @@ import json
 import math
 import random
 import struct
+from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pinmark.functions import encode, keys, text
+from pinmark.operators import capture as C
 
 FLOATS = [
     0.0, -0.0, 1.0, -1.0, 0.1, 1e7, 1e16, 1e15, 123456789.125, 1e-4, 1.5e-4, 1e-5, 1.5e-7, 1e22, 1.7976931348623157e308,
@@ -28,6 +31,9 @@ CASES = [
     (T.ArrayType(T.DoubleType()), [[], FLOATS[:8], [1.0, float("nan")], [None, 2.5], None]),
     (T.ArrayType(T.ArrayType(T.LongType())), [[], [[]], [[1, 2], [3]], [None, [4]]]),
     (T.MapType(T.StringType(), T.LongType()), [{}, {"b": 1, "a": 2}, {'q"': None}, None]),
+    (T.DecimalType(20, 8), [Decimal("1.50000000"), Decimal("0E-8"), Decimal("-12345678901.00000001"), None]),
+    (T.DateType(), [date(2024, 2, 29), None]),
+    (T.TimestampNTZType(), [datetime(2024, 1, 1, 0, 0, 7), datetime(2024, 1, 1, 0, 0, 7, 179500), None]),
     (T.StructType([T.StructField("b", T.LongType()), T.StructField("a", T.StringType())]), [(1, "x"), (None, None), None]),
 ]
 
@@ -55,8 +61,9 @@ def test_native_keys_equal_python_keys(spark, dtype, values):
         value = as_python(values[r.i], dtype)
         assert r.name == encode.identity_key(value), value
         assert r.key == encode.equality_key(value), value
-        assert r.length == len(json.dumps(value)), value
-        back, same = json.loads(r.json), json.loads(json.dumps(value))
+        text = json.dumps(value, default=encode.other_text)
+        assert r.length == len(text), value
+        back, same = json.loads(r.json), json.loads(text)
         assert encode.identity_key(back) == encode.identity_key(same), value
         if isinstance(value, list):
             assert r.elements == [encode.equality_key(e) for e in value]
@@ -136,3 +143,20 @@ def test_mixed_numbers_are_equal():
         assert len({encode.equality_key(v) for v in group}) == 1
     assert encode.equality_key("1") != encode.equality_key(1)
     assert encode.equality_key(2**70 + 1) != encode.equality_key(float(2**70))
+
+
+def test_typed_columns_reach_python_as_the_same_values(spark):
+    df = spark.sql(
+        "SELECT 0L AS k, timestamp'2024-01-01 10:20:30.5' AS t, 1.50BD AS d, date'2024-01-02' AS day, 1.5F AS f, "
+        "named_struct('b', 1, 'a', array(true)) AS s, map('x', 1.25D) AS m"
+    )
+    names = [c for c in df.columns if c != "k"]
+    native = C.capture_native(df, C.Outcome(F.lit(1)), [F.col(c) for c in names], module="m", function="f", seq=F.col("k"))
+    python = C.capture(df, lambda *a: 1, names, module="m", function="f", seq="k")
+    assert native.first().arg_keys == python.first().arg_keys
+
+
+def test_binary_is_refused(spark):
+    df = spark.sql("SELECT CAST('x' AS BINARY) AS b")
+    with pytest.raises(TypeError, match="base64"):
+        keys.identity_key(df.b, T.BinaryType())

@@ -9,6 +9,7 @@ from pinmark.operators import expect as X
 from pinmark.operators import inventory as I
 from pinmark.operators import probes as P
 from pinmark.operators import transcript as T
+from pinmark.operators import verify as V
 from pinmark.schema import CAPTURES, EXPECTATIONS
 from pinmark.sources import files, logs, store
 from pinmark.streaming import capture_stream as stream
@@ -255,3 +256,21 @@ def test_stream_picks_up_new_files_and_a_repeated_batch_replaces_itself(spark, t
     rows = logs.captures_from_log(spark.createDataFrame([("game", 0, GOOD)], "module string, line_no bigint, line string"))
     stream.write_batch(rows, 1, out)
     assert read() == {("billing", 0): 6, ("game", 1): 1}
+
+
+@pytest.mark.parametrize("keys", [("module", "function", "seq"), ("seq",)])
+def test_bucketed_suites_are_not_exchanged_again(spark, tmp_path, keys):
+    cases = X.derive_expectations(captures(spark, "a", 50), index=False)
+    store.write_bucketed(cases, "bucketed_cases", 4, keys, path=str(tmp_path / "bucketed"))
+    fresh = captures(spark, "a", 50)
+    if len(keys) > 1:
+        store.write_modules(fresh, str(tmp_path / "fresh"), ["a"])
+        fresh = store.scan_captures(spark, str(tmp_path / "fresh"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        results = V.verify(spark.table("bucketed_cases"), fresh)
+        assert executed(results).count("Exchange hashpartitioning") == 1
+        assert results.where("passed").count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_cases")
