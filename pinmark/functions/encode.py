@@ -47,8 +47,8 @@ def _spark_hash(bits: int) -> int:
 def _bits_name(value: float) -> str:
     word = struct.pack("<d", value)
     if xxhash is not None:
-        return f"f{xxhash.xxh64_intdigest(word, 42):016x}"
-    return f"f{_spark_hash(int.from_bytes(word, 'little')):016x}"
+        return f"f{xxhash.xxh64_intdigest(word, 42):X}"
+    return f"f{_spark_hash(int.from_bytes(word, 'little')):X}"
 
 
 def _float_key(value: float) -> str:

@@ -75,7 +75,7 @@ def unquoted(key: Column) -> Column:
 
 def _float_key(value: Column) -> Column:
     # xxhash64 of one 8-byte word is a bijection, hence an exact name for the bit pattern on both sides.
-    bits = F.concat(F.lit("f"), F.lower(F.lpad(F.hex(F.xxhash64(value)), 16, "0")))
+    bits = F.concat(F.lit("f"), F.hex(F.xxhash64(value)))
     return (
         F.when(F.isnan(value), F.lit("nan"))
         .when((value >= -_INT64) & (value < _INT64) & (value % 1 == 0), value.cast("bigint").cast("string"))

@@ -79,7 +79,7 @@ def varying_calls(captures: DataFrame) -> DataFrame:
 
 
 def derive_expectations(
-    captures: DataFrame, *, index: bool = True, strict: bool = False, keep: Sequence[str] = ()
+    captures: DataFrame, *, index: bool = True, strict: bool = False, plain: bool = False, keep: Sequence[str] = ()
 ) -> DataFrame:
     """One expectation per capture; the first rule that fits wins.
 
@@ -89,6 +89,11 @@ def derive_expectations(
     ``index`` numbers cases per (module, function, kind) in capture order and costs an exchange; without it the step is
     narrow and ``seq`` alone names the case. ``strict`` weakens to ``member`` only calls that were captured at least
     twice with different outputs, which spares deterministic functions whose result happens to be in their input.
+    ``plain`` states that outputs are numbers or booleans and no argument is a list, so that neither a digest nor a
+    membership can occur; texts and argument keys are then not even computed.
+
+    Numbering and ``strict`` read the captures more than once: give them stored ones if the function is not
+    deterministic or expensive.
     """
     if strict:
         captures = captures.join(varying_calls(captures), ["module", "function", "arg_keys"], "left")
@@ -106,6 +111,9 @@ def derive_expectations(
         ok & ~digest & may_vary & askable, member_of(F.col("arg_keys"), F.col("arg_elem_keys"), F.col("out_key"))
     ).otherwise(F.lit(0))
 
+    if plain:
+        digest, place = F.lit(False), F.lit(0)
+
     staged = captures.withColumns(
         {
             "__module": F.coalesce("module", F.lit("")),

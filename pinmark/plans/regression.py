@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import python_type
 from ..operators.capture import Outcome, capture_native, replay
 from ..operators.expect import derive_expectations
 from ..operators.verify import judge
@@ -35,7 +36,12 @@ def compare_native(
     captured = capture_native(
         carried, baseline, args, module=module, function=function, seq=seq, keep=["__act"]
     )
-    return judge(derive_expectations(captured, index=False, keep=("__act",)).select("*", "__act.*").drop("__act"))
+    typed = rows.withColumns(dict(baseline.given)) if baseline.given else rows
+    types = typed.select(baseline.value, *args).schema
+    output, *inputs = (python_type(f.dataType) for f in types)
+    plain = output in ("bool", "int", "float") and "list" not in inputs
+    cases = derive_expectations(captured, index=False, plain=plain, keep=("__act",))
+    return judge(cases.select("*", "__act.*").drop("__act"))
 
 
 def replay_python(expectations: DataFrame, functions: Mapping[str, Callable]) -> DataFrame:

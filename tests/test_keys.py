@@ -131,10 +131,14 @@ nested = st.recursive(
 @settings(max_examples=300)
 @given(nested, nested)
 def test_equality_key_is_python_equality(a, b):
-    a, b = json.loads(json.dumps(a)), json.loads(json.dumps(b))
+    # A fresh object for every NaN: lists take one and the same object for equal.
+    def decoded(value):
+        return json.loads(json.dumps(value), parse_constant=float)
+
+    a, b = decoded(a), decoded(b)
     same = encode.equality_key(a) is not None and encode.equality_key(a) == encode.equality_key(b)
     assert same == (a == b)
-    again = json.loads(json.dumps(a))
+    again = decoded(a)
     assert (encode.equality_key(a) is not None) == (a == again)
 
 
