@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import itertools
 import random
 import string
 
@@ -24,13 +23,14 @@ NULL_AMOUNT = "float() argument must be a string or a real number, not 'NoneType
 NO_CANDIDATE = "empty range for randrange() (0, 0, 0)"
 EMPTY_LIST = "list index out of range"
 
-_NAMES = itertools.count()
 _ALPHABET = list(string.ascii_lowercase)
 
 
-def process_transaction(amount: Column, *, text: bool = False, rate: float = RATE) -> Outcome:
-    """Amount times rate; null, unreadable, negative and zero amounts raise. NaN passes through."""
-    name = f"__amount_{next(_NAMES)}"
+def process_transaction(amount: Column, *, text: bool = False, rate: float = RATE, name: str = "__amount") -> Outcome:
+    """Amount times rate; null, unreadable, negative and zero amounts raise. NaN passes through.
+
+    ``name`` is the column for the parsed amount; give each amount its own if several are captured in one pass.
+    """
     value = F.col(name)
     guards = [Guard(amount.isNull(), TypeError, NULL_AMOUNT)]
     if text:

@@ -10,6 +10,7 @@ counts as a crash; KeyboardInterrupt is re-raised; a value JSON cannot hold is r
 
 from __future__ import annotations
 
+import json
 import linecache
 import traceback as tb
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -278,21 +279,22 @@ def replay(
 
     A narrow step: no key, no join, no shuffle. A function that is not offered leaves a NULL outcome.
     """
-    import json
-
-    out_fields = [T.StructField(prefix + f.name, f.dataType) for f in OUTCOME_FIELDS]
-    names = expectations.columns + [f.name for f in out_fields]
-    missing = (None,) * len(out_fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for name, args in zip(batch.column("function").to_pylist(), batch.column("arg_json").to_pylist()):
-                fn = functions.get(name)
-                rows.append(_call(fn, [json.loads(a) for a in args], digest_limit) if fn else missing)
-            yield pa.RecordBatch.from_arrays(list(batch.columns) + _arrays(rows, out_fields), names=names)
-
-    return expectations.mapInArrow(run, T.StructType(expectations.schema.fields + out_fields))
+    missing = (None,) * len(OUTCOME_FIELDS)
+
+    def run(names: pa.Array, arg_json: pa.Array) -> pa.Array:
+        rows = []
+        for name, args in zip(names.to_pylist(), arg_json.to_pylist()):
+            fn = functions.get(name)
+            rows.append(_call(fn, [json.loads(a) for a in args], digest_limit) if fn else missing)
+        return pa.StructArray.from_arrays(_arrays(rows, OUTCOME_FIELDS), names=OUTCOME_COLUMNS)
+
+    # Only name and arguments cross to Python; the rest of the expectation waits in the JVM. The call counts as
+    # nondeterministic, so the optimizer neither repeats nor drops it.
+    call = F.arrow_udf(run, T.StructType(OUTCOME_FIELDS)).asNondeterministic()
+    called = expectations.withColumn("__call", call("function", "arg_json"))
+    return called.select(
+        *expectations.columns, *[F.col(f"__call.{c}").alias(prefix + c) for c in OUTCOME_COLUMNS]
+    )
 
 
 def distinct_calls(df: DataFrame, args: Sequence[str], count: str = "n_rows") -> DataFrame:

@@ -41,7 +41,8 @@ def top_level_functions(source: str | None) -> list[tuple] | None:
 
 
 def _parsed(sources: DataFrame) -> DataFrame:
-    parse = F.udf(top_level_functions, _FOUND, useArrow=True)
+    # As a deterministic function the optimizer would also evaluate it in a filter it infers for explode, parsing twice.
+    parse = F.udf(top_level_functions, _FOUND, useArrow=True).asNondeterministic()
     return sources.withColumn("__found", parse("source"))
 
 
@@ -73,16 +74,24 @@ def inventory_summary(inventory: DataFrame) -> DataFrame:
 
 
 def coverage_gap(inventory: DataFrame, captures: DataFrame) -> DataFrame:
-    """Testable functions without a capture (``uncaptured``), captured ones without a definition (``undefined``)."""
-    defined = inventory.where("testable").select("module", "function").distinct()
-    seen = captures.select("module", "function").distinct()
-    known = inventory.select("module", "function").distinct()
+    """Testable functions without a capture (``uncaptured``), captured ones without a definition (``undefined``).
+
+    Both sides are tagged and reduced to one row per function in a single exchange, so sources are parsed once and a
+    function with most of the captures costs one row per task.
+    """
+    no, yes = F.lit(False), F.lit(True)
     names = ["module", "function"]
-    return (
-        defined.join(seen, names, "left_anti")
-        .withColumn("gap", F.lit("uncaptured"))
-        .unionByName(seen.join(known, names, "left_anti").withColumn("gap", F.lit("undefined")))
+    defined = inventory.select(*names, yes.alias("defined"), "testable", no.alias("captured"))
+    seen = captures.select(*names, no.alias("defined"), no.alias("testable"), yes.alias("captured"))
+    known = defined.unionByName(seen).groupBy(*names).agg(
+        F.bool_or("defined").alias("defined"),
+        F.bool_or("testable").alias("testable"),
+        F.bool_or("captured").alias("captured"),
+    )
+    gap = F.when(F.col("testable") & ~F.col("captured"), F.lit("uncaptured")).when(
+        F.col("captured") & ~F.col("defined"), F.lit("undefined")
     )
+    return known.select(*names, gap.alias("gap")).where("gap IS NOT NULL")
 
 
 def validation_issues(gaps: DataFrame, broken_sources: DataFrame | None = None) -> DataFrame:

@@ -97,10 +97,9 @@ def strip_fences(text: Column) -> Column:
     return python_strip(bare)
 
 
-def _whole(text: Column) -> Column:
-    """The single JSON value a text consists of."""
-    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<variant>", _STRICT_JSON)
-    return F.when(F.size(listed) == 1, F.get(listed, F.lit(0)))
+def _as_list(text: str) -> Column:
+    """Values in a text; exactly one if the text is JSON."""
+    return F.from_json(F.concat(F.lit("["), F.col(text), F.lit("]")), "array<variant>", _STRICT_JSON)
 
 
 def extract_inputs(responses: DataFrame, text: str = "response", n_args: str = "n_args") -> DataFrame:
@@ -110,24 +109,27 @@ def extract_inputs(responses: DataFrame, text: str = "response", n_args: str = "
     the object, or the text itself. Responses without a non-empty list get the default inputs. Only texts that are not
     JSON reach the Python parser; the others pass it as NULLs.
     """
-    bare = responses.withColumn("__text", strip_fences(F.col(text)))
-    as_json = F.when(_whole(F.col("__text")).isNotNull(), F.col("__text"))
-    read = F.udf(literal_to_json, "string", useArrow=True)
-    parsed = bare.withColumn("__json", as_json).withColumn(
-        "__json", F.coalesce("__json", read(F.when(F.col("__json").isNull(), F.col("__text"))))
+    read = F.udf(literal_to_json, "string", useArrow=True).asNondeterministic()
+    is_json = F.coalesce(F.size("__listed") == 1, F.lit(False))
+    bare = responses.withColumn("__text", strip_fences(F.col(text))).withColumn("__listed", _as_list("__text"))
+    read_texts = bare.withColumn("__literal", read(F.when(~is_json, F.col("__text"))))
+    # Each text is parsed once more at most: as a literal turned into JSON.
+    values = read_texts.withColumns(
+        {
+            "__json": F.when(is_json, F.col("__text")).otherwise(F.col("__literal")),
+            "__value": F.when(is_json, F.get("__listed", F.lit(0))).otherwise(F.get(_as_list("__literal"), F.lit(0))),
+        }
     )
-    value = _whole(F.col("__json"))
+    named = F.try_variant_get("__value", "$.test_inputs", "variant")
+    picked = values.withColumn("__named", F.when(~F.is_variant_null(named), named))
     # A map keeps the order of keys in the text.
     members = F.map_values(F.from_json("__json", "map<string,variant>", _STRICT_JSON))
-    named = F.try_variant_get(value, "$.test_inputs", "variant")
-    named = F.when(~F.is_variant_null(named), named)
-    raw = F.when(_is_list(value), _items(value)).otherwise(
-        F.coalesce(
-            F.when(named.isNotNull(), _items(named)),
-            F.when(named.isNull(), _items(F.get(F.filter(members, _is_list), F.lit(0)))),
-        )
+    raw = (
+        F.when(_is_list(F.col("__value")), _items(F.col("__value")))
+        .when(F.col("__named").isNotNull(), _items(F.col("__named")))
+        .otherwise(_items(F.get(F.filter(members, _is_list), F.lit(0))))
     )
-    listed = parsed.withColumn("__raw", raw)
+    listed = picked.withColumn("__raw", raw)
     usable = F.coalesce(F.size("__raw") > 0, F.lit(False))
     return (
         listed.withColumn("fallback", ~usable)
@@ -135,7 +137,7 @@ def extract_inputs(responses: DataFrame, text: str = "response", n_args: str = "
             "inputs",
             F.when(usable, normalise_inputs(F.col("__raw"), F.col(n_args))).otherwise(default_inputs(F.col(n_args))),
         )
-        .drop("__text", "__json", "__raw")
+        .select(*responses.columns, "inputs", "fallback")
     )
 
 

@@ -80,14 +80,19 @@ def capture_billing(t: Tables) -> DataFrame:
     return billing(t.customer, "c_acctbal", "c_custkey").selectExpr(*_SHOWN)
 
 
-@query(
-    "capture_billing_udf",
-    f"""
+LINEITEM_SQL = f"""
 WITH c AS (SELECT l_orderkey AS seq, l_tax AS v, {ERROR_SQL.format(v="l_tax")} AS error FROM lineitem)
 SELECT seq, CASE WHEN error IS NULL THEN 'success' ELSE 'crashed' END AS status,
        CASE WHEN error IS NULL THEN v * CAST(1.05 AS DOUBLE) END AS output, error,
-       split_part(error, ':', 1) AS error_class FROM c""",
-)
+       split_part(error, ':', 1) AS error_class FROM c"""
+
+
+@query("capture_billing_lineitem", LINEITEM_SQL)
+def capture_billing_lineitem(t: Tables) -> DataFrame:
+    return billing(t.lineitem, "l_tax", "l_orderkey").selectExpr(*_SHOWN)
+
+
+@query("capture_billing_udf", LINEITEM_SQL)
 def capture_billing_udf(t: Tables) -> DataFrame:
     captured = C.capture(
         spread(t.lineitem), S.process_transaction_py, ["l_tax"], module="billing", function=FUNCTION, seq="l_orderkey"

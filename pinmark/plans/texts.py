@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import inventory as I
 from ..operators import probes as P
 from ..operators import transcript as T
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from ..sources import files, logs
 from ..streaming import capture_stream as stream
 from .registry import Tables, query
@@ -89,6 +89,17 @@ def corrupt_lines(t: Tables) -> DataFrame:
     return logs.corrupt_lines(capture_lines(t))
 
 
+@query(
+    "silent_logs",
+    LINES_SQL
+    + "SELECT line_no, left(concat(repeat(concat('start', chr(10)), 90), line), 500) AS preview FROM lines WHERE form IN (0, 5, 7)",
+)
+def silent_logs(t: Tables) -> DataFrame:
+    opening = F.repeat(F.lit("start\n"), 90)
+    runs = capture_lines(t).select("line_no", F.concat(opening, "line").alias("log"))
+    return logs.silent_logs(runs)
+
+
 @query(
     "log_lines",
     """
@@ -254,7 +265,7 @@ functions AS (
 
 
 def sources(t: Tables) -> DataFrame:
-    return files.as_sources(t.part.select(F.expr(PATH).alias("path"), F.expr(SOURCE).alias("source")))
+    return files.as_sources(spread(t.part).select(F.expr(PATH).alias("path"), F.expr(SOURCE).alias("source")))
 
 
 def found_functions(t: Tables) -> DataFrame:
@@ -377,7 +388,7 @@ WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS form, 1 + o_custkey % 2 AS n, CA
 SELECT o_orderkey, {INPUTS_SQL} AS inputs FROM o""",
 )
 def normalise_inputs(t: Tables) -> DataFrame:
-    raw = t.orders.select(
+    raw = spread(t.orders).select(
         "o_orderkey", (1 + F.col("o_custkey") % 2).alias("n"), P.parse_list(F.expr(RAW_INPUTS)).alias("raw")
     )
     listed = raw.select("o_orderkey", P.normalise_inputs(F.col("raw"), F.col("n")).alias("inputs"))
@@ -410,7 +421,7 @@ SELECT o_orderkey, form IN (5, 6) AS fallback, CASE
     WHEN n = 1 THEN '(0);(1);(-1)' ELSE '(0|0);(1|1);(-1|-1)' END AS inputs FROM o""",
 )
 def extract_inputs(t: Tables) -> DataFrame:
-    responses = t.orders.select(
+    responses = spread(t.orders).select(
         "o_orderkey", (1 + F.col("o_custkey") % 2).cast("int").alias("n_args"), F.expr(RESPONSE).alias("response")
     )
     return P.extract_inputs(responses).select("o_orderkey", "fallback", shown_inputs().alias("inputs"))

@@ -50,6 +50,12 @@ def test_log_captures(lines):
     assert rows[11].error_class == "Exception"
 
 
+def test_silent_logs(spark):
+    runs = [("a", "x\n" + GOOD), ("b", "noise\n{broken}\n" + "y" * 600), ("c", ""), ("d", "  {}\r\nz")]
+    found = logs.silent_logs(spark.createDataFrame(runs, "module string, log string"))
+    assert {r.module: r.preview for r in found.collect()} == {"b": runs[1][1][:500], "c": ""}
+
+
 def test_outcome_counts(spark):
     log = "\n".join(["a::test_x PASSED [ 50%]", "a::test_y FAILED [100%]", "___ ERROR collecting a ___", "FAILED a::test_y"])
     df = spark.createDataFrame([("s", log, None), ("t", "", None), ("u", None, "boom" * 100)], "module string, log string, fault string")
