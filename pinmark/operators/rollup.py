@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SUCCESS
@@ -72,6 +72,43 @@ def suites_and_total(results: DataFrame) -> DataFrame:
     )
 
 
+def review(suites: DataFrame, issues: DataFrame) -> DataFrame:
+    """Approval of a run: every suite passed and nothing was found (``inventory.validation_issues``).
+
+    Findings stay rows of their own table; here they are counted per type.
+    """
+    failing = (F.col("status") != "PASSED").alias("failing")
+    rows = suites.select(failing, F.lit(None).cast("string").alias("issue_type")).unionByName(
+        issues.select(F.lit(False).alias("failing"), "issue_type")
+    )
+
+    def of(kind: str) -> Column:
+        return F.count_if(F.col("issue_type") == kind)
+
+    counted = rows.agg(
+        F.count_if("failing").alias("failing_suites"),
+        of("Missing Coverage").alias("missing_coverage"),
+        of("Hallucination").alias("hallucinations"),
+        of("Syntax Error").alias("syntax_errors"),
+        F.count("issue_type").alias("__issues"),
+    )
+    advice = (
+        F.when(F.col("failing_suites") > 0, F.lit("Fix the failing cases."))
+        .when(F.col("hallucinations") > 0, F.lit("Drop cases of functions that do not exist."))
+        .when(F.col("syntax_errors") > 0, F.lit("Repair the sources that do not parse."))
+        .when(F.col("missing_coverage") > 0, F.lit("Capture the functions no case covers."))
+    )
+    approved = (F.col("failing_suites") == 0) & (F.col("__issues") == 0)
+    return counted.select(
+        approved.alias("is_approved"),
+        "failing_suites",
+        "missing_coverage",
+        "hallucinations",
+        "syntax_errors",
+        advice.alias("recommendation"),
+    )
+
+
 # Arguments that count as edge cases, by identity key.
 _EDGE_KEYS = ("null", "nan", "0", "-1", '""', "[]", "{}")
 

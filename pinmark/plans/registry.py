@@ -21,7 +21,9 @@ class Tables:
         self.spark, self.folder = tune(spark), folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # Kept, so that a query lists the files and reads the schema of a table once.
+        table = self.__dict__[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return table
 
 
 def query(name: str, sql: str | None = None):

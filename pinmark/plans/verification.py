@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import subjects as S
 from ..operators import capture as C
 from ..operators import expect as X
+from ..operators import inventory as I
 from ..operators import rollup as R
 from ..operators import verify as V
 from ..schema import ARGUMENT_KEY, EXPECTATION_COLUMNS
@@ -151,6 +152,30 @@ def verify_total(t: Tables) -> DataFrame:
     return R.total_rollup(R.suite_rollup(case_results(t), asked_suites(t)))
 
 
+@query(
+    "review",
+    RESULTS_SQL
+    + """,
+suites AS (SELECT module, bool_and(passed) AS ok FROM results GROUP BY module),
+found AS (SELECT count(*) AS n FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = s.s_nationkey AND c.c_acctbal > 9000)),
+lost AS (SELECT count(*) AS n FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9000) c
+         WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = c.c_nationkey))
+SELECT bool_and(ok) AND (SELECT n FROM found) = 0 AND (SELECT n FROM lost) = 0 AS is_approved, count(*) FILTER (NOT ok) AS failing_suites,
+       (SELECT n FROM found) AS missing_coverage, (SELECT n FROM lost) AS hallucinations, CAST(0 AS BIGINT) AS syntax_errors,
+       CASE WHEN NOT bool_and(ok) THEN 'Fix the failing cases.' WHEN (SELECT n FROM lost) > 0 THEN 'Drop cases of functions that do not exist.'
+            WHEN (SELECT n FROM found) > 0 THEN 'Capture the functions no case covers.' END AS recommendation FROM suites""",
+)
+def review(t: Tables) -> DataFrame:
+    """Suppliers stand for functions, their nations for modules; rich customers' nations for captured modules."""
+    nation = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
+    inventory = t.supplier.select(nation.alias("module"), F.col("s_name").alias("function"), F.lit(True).alias("testable"))
+    rich = t.customer.where("c_acctbal > 9000").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("module")).distinct()
+    covered = inventory.join(rich, "module", "left_semi").select("module", "function")
+    lost = rich.join(inventory, "module", "left_anti").withColumn("function", F.lit("gone"))
+    gaps = I.coverage_gap(inventory, covered.unionByName(lost))
+    return R.review(R.suite_rollup(case_results(t)), I.validation_issues(gaps))
+
+
 @query(
     "verify_one_suite",
     RESULTS_SQL + "SELECT seq, passed FROM results WHERE module = 'BUILDING'",

@@ -165,6 +165,16 @@ def test_rollups(spark):
     assert tuple(R.total_rollup(R.suite_rollup(df.where("false"))).first()) == (0, 0, 0, False)
 
 
+def test_review(spark):
+    suites = spark.createDataFrame([("a", "PASSED"), ("b", "PASSED")], "module string, status string")
+    none = spark.createDataFrame([], "issue_type string")
+    some = spark.createDataFrame([("Missing Coverage",), ("Missing Coverage",)], "issue_type string")
+    assert tuple(R.review(suites, none).first()) == (True, 0, 0, 0, 0, None)
+    assert tuple(R.review(suites, some).first())[:3] == (False, 0, 2)
+    failed = suites.withColumn("status", F.lit("ERROR"))
+    assert R.review(failed, none).first().is_approved is False
+
+
 def test_override_and_profile(spark):
     rows = [capture_row(i, [i - 1, ""][: 1 + i % 2], i * 1.5) for i in range(6)] + [capture_row(9, [3], error="ValueError: x")]
     captures = table(spark, rows)

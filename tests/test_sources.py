@@ -128,6 +128,8 @@ def test_source_files_and_inventory(spark, tmp_path):
         ("plain", "g", "uncaptured"), ("asks", "k", "uncaptured"), ("shapes", "p", "uncaptured"), ("ax", "f", "uncaptured"),
         ("plain", "zz", "undefined"),
     }
+    plan = executed(I.coverage_gap(inventory, captured))
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("Exchange hashpartitioning") == 1
     issues = {(r.test_name, r.issue_type) for r in I.validation_issues(I.coverage_gap(inventory, captured), I.syntax_errors(found)).collect()}
     assert ("test_zz", "Hallucination") in issues and ("test_broken", "Syntax Error") in issues
     assert ("test_g", "Missing Coverage") in issues
