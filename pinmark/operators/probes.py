@@ -64,15 +64,21 @@ def normalise_inputs(raw: Column, n_args: Column) -> Column:
     arguments other lists are kept as they are (the call will fail and be recorded) and scalars are dropped.
     """
 
-    def normal(item: Column) -> Column:
-        parts = F.transform(_items(item), lambda e: _json(e))
+    # The parts of a list are taken out once and used in every rule.
+    tagged = F.transform(
+        raw, lambda i: F.struct(i.alias("item"), F.when(_is_list(i), _items(i)).alias("parts"))
+    )
+
+    def normal(tagged_item: Column) -> Column:
+        item, parts = tagged_item["item"], tagged_item["parts"]
+        texts = F.transform(parts, lambda e: _json(e))
         return (
-            F.when(_is_list(item) & (F.size(_items(item)) == n_args), parts)
+            F.when(F.size(parts) == n_args, texts)
             .when(n_args == 1, F.array(_json(item)))
-            .when(_is_list(item), parts)
+            .when(parts.isNotNull(), texts)
         )
 
-    return F.filter(F.transform(raw, normal), lambda t: t.isNotNull())
+    return F.filter(F.transform(tagged, normal), lambda t: t.isNotNull())
 
 
 def parse_list(text: Column) -> Column:
@@ -151,7 +157,8 @@ def sample_probes(
     """Distinct argument tuples per stratum: ``k`` of them in hash order, and those that hold a boundary.
 
     Boundaries of an argument are its minimum, maximum, NULL, and zero or empty text; of several tuples that hold one
-    the smallest is taken (for the maximum the largest). All of it is combined per task before anything is exchanged.
+    the smallest is taken (for the maximum the largest). Boundaries need no distinct tuples, so the optimizer finds them
+    in the table and exchanges one row per task and stratum; only the tuples to sample from are exchanged.
     """
     calls = df.select(*strata, *args).distinct()
     picked = top_k(calls, strata, [order if order is not None else F.xxhash64(*args), *args], k)
@@ -166,6 +173,6 @@ def sample_probes(
             edges.append(F.min(F.when(F.col(a) == "", call)))
         elif isinstance(dtype, T.NumericType):
             edges.append(F.min(F.when(F.col(a) == 0, call)))
-    bounds = df.groupBy(*strata).agg(F.array_compact(F.array(*edges)).alias("__edges"))
+    bounds = calls.groupBy(*strata).agg(F.array_compact(F.array(*edges)).alias("__edges"))
     boundary = bounds.select(*strata, F.explode("__edges").alias("__call")).select(*strata, "__call.*")
     return picked.unionByName(boundary).distinct()
