@@ -253,8 +253,9 @@ END)"""
 
 # What each rendered source defines.
 FUNCTIONS_SQL = f"""
-WITH sources AS (SELECT p_partkey, p_size % 6 AS form, {PATH} AS path, concat('m', CAST(p_partkey AS STRING)) AS module
-    FROM part WHERE p_partkey % 10 > 1),
+WITH sources AS (SELECT * FROM (SELECT p_partkey, p_size % 6 AS form, {PATH} AS path,
+    concat('m', CAST(p_partkey AS STRING)) AS module FROM part)
+    WHERE NOT contains(path, '__pycache__') AND NOT suffix(path, '/__init__.py')),
 first AS (SELECT *, CASE form WHEN 0 THEN 'price' WHEN 1 THEN 'ask' WHEN 2 THEN 'outer' WHEN 4 THEN 'kw' END AS function,
     CASE form WHEN 0 THEN 'a,b' WHEN 1 THEN 'q' WHEN 2 THEN 'x' WHEN 4 THEN 'b' END AS args, form IN (0, 4) AS testable
     FROM sources WHERE form IN (0, 1, 2, 4)),
@@ -276,7 +277,8 @@ def found_functions(t: Tables) -> DataFrame:
     "source_table",
     f"""
 SELECT path, concat('m', CAST(p_partkey AS STRING)) AS module, source
-FROM (SELECT p_partkey, {PATH} AS path, {SOURCE} AS source FROM part) WHERE p_partkey % 10 > 1""",
+FROM (SELECT p_partkey, {PATH} AS path, {SOURCE} AS source FROM part)
+WHERE NOT contains(path, '__pycache__') AND NOT suffix(path, '/__init__.py')""",
 )
 def source_table(t: Tables) -> DataFrame:
     return sources(t)
