@@ -99,25 +99,28 @@ def outcome_columns(
 Subject = tuple[Outcome, Sequence[Column]]
 
 
-def _evaluated(df: DataFrame, subjects: Sequence[Subject]) -> DataFrame:
+def _evaluated(df: DataFrame, subjects: Sequence[Subject], turn: Column | None = None) -> DataFrame:
     """Add error text, value, JSON length and arguments of each subject as columns.
 
     They are separate projections because the later ones use them many times; Catalyst keeps a projection apart when
-    merging it would repeat work.
+    merging it would repeat work. ``turn`` says whose row it is if each subject has its own.
     """
-    given = {n: c for outcome, _ in subjects for n, c in outcome.given.items()}
-    named = df.withColumns(given) if given else df
-    errors, values = {}, {}
+
+    def own(place: int, column: Column) -> Column:
+        return column if turn is None else F.when(turn == place, column)
+
+    given, errors, values, lengths = {}, {}, {}, {}
     for i, (outcome, args) in enumerate(subjects):
-        errors[f"__error{i}"] = _failure(outcome.guards)
-        errors.update({f"__arg{i}_{j}": a for j, a in enumerate(args)})
-        values[f"__value{i}"] = F.when(F.col(f"__error{i}").isNull(), outcome.value)
+        given.update({n: own(i, c) for n, c in outcome.given.items()})
+        errors[f"__error{i}"] = own(i, _failure(outcome.guards))
+        errors.update({f"__arg{i}_{j}": own(i, a) for j, a in enumerate(args)})
+        values[f"__value{i}"] = own(i, F.when(F.col(f"__error{i}").isNull(), outcome.value))
+    named = df.withColumns(given) if given else df
     valued = named.withColumns(errors).withColumns(values)
     schema = valued.schema
-    lengths = {
-        f"__length{i}": keys.json_length(F.col(f"__value{i}"), schema[f"__value{i}"].dataType).cast("int")
-        for i in range(len(subjects))
-    }
+    for i in range(len(subjects)):
+        length = keys.json_length(F.col(f"__value{i}"), schema[f"__value{i}"].dataType)
+        lengths[f"__length{i}"] = own(i, length.cast("int"))
     return valued.withColumns(lengths)
 
 
@@ -170,19 +173,32 @@ def capture_native_many(
     seq: Column | None = None,
     digest_limit: int = encode.DIGEST_LIMIT,
 ) -> DataFrame:
-    """Several functions in one scan: each input row gives one record per function, in the order given."""
-    rows = []
-    df = _evaluated(df, list(subjects.values()))
-    schema = df.schema
-    for i, (function, subject) in enumerate(subjects.items()):
-        columns = _record(schema, subject, i, digest_limit)
-        rows.append(F.struct(F.lit(function).alias("function"), *[c.alias(n) for n, c in columns.items()]))
-    exploded = df.select(
-        (module if isinstance(module, Column) else F.lit(module)).alias("module"),
-        (seq if seq is not None else F.lit(None)).cast("bigint").alias("seq"),
-        F.explode(F.array(*rows)).alias("record"),
-    )
-    return exploded.select("module", "seq", "record.*").select(*CAPTURE_COLUMNS)
+    """Several functions in one scan: each input row gives one record per function, in the order given.
+
+    The row is multiplied first and every copy evaluates its own function only, so no copy carries the records of the
+    others and columns nobody reads are not computed.
+    """
+    turn = F.col("__turn")
+    copies = df.withColumn("__turn", F.explode(F.array(*[F.lit(i) for i in range(len(subjects))])))
+    evaluated = _evaluated(copies, list(subjects.values()), turn)
+    schema = evaluated.schema
+    records = [
+        {"function": F.lit(function), **_record(schema, subject, i, digest_limit)}
+        for i, (function, subject) in enumerate(subjects.items())
+    ]
+
+    def chosen(column: str) -> Column:
+        first, *others = records
+        chain = F.when(turn == 0, first[column])
+        for i, record in enumerate(others, 1):
+            chain = chain.when(turn == i, record[column])
+        return chain
+
+    shared = {
+        "module": module if isinstance(module, Column) else F.lit(module),
+        "seq": (seq if seq is not None else F.lit(None)).cast("bigint"),
+    }
+    return evaluated.select(*[(shared[c] if c in shared else chosen(c)).alias(c) for c in CAPTURE_COLUMNS])
 
 
 def _trace(error: BaseException) -> str:
