@@ -165,6 +165,21 @@ def capture_native(
     return df.select(*[columns[c].alias(c) for c in CAPTURE_COLUMNS], *keep)
 
 
+def with_outcome(
+    df: DataFrame,
+    outcome: Outcome,
+    args: Sequence[Column],
+    *,
+    prefix: str = "act_",
+    digest_limit: int = encode.DIGEST_LIMIT,
+) -> DataFrame:
+    """Add what a Column expression does to each row as prefixed columns beside the row's own."""
+    subject = (outcome, args)
+    evaluated = _evaluated(df, [subject])
+    record = _record(evaluated.schema, subject, 0, digest_limit)
+    return evaluated.select(*df.columns, *[record[c].alias(prefix + c) for c in OUTCOME_COLUMNS])
+
+
 def capture_native_many(
     df: DataFrame,
     subjects: Mapping[str, Subject],

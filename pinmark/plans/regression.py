@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.keys import python_type
-from ..operators.capture import Outcome, capture_native, replay
+from ..operators.capture import Outcome, capture_native, replay, with_outcome
 from ..operators.expect import derive_expectations
 from ..operators.verify import judge
-from ..schema import OUTCOME_COLUMNS
 
 
 def compare_native(
@@ -29,19 +27,14 @@ def compare_native(
     Both are captured on the same row, the first becomes the expectation of the second. No key, no join, no shuffle:
     the cost is one scan of the argument columns, however large the table is.
     """
-    # The candidate is captured first and carried along; its columns are named apart from the baseline's.
-    fresh = capture_native(rows, candidate, args, module=module, function=function, seq=seq, keep=rows.columns)
-    act = {f"act_{c}": F.col(c) for c in OUTCOME_COLUMNS}
-    carried = fresh.select(F.struct(*[c.alias(n) for n, c in act.items()]).alias("__act"), *rows.columns)
-    captured = capture_native(
-        carried, baseline, args, module=module, function=function, seq=seq, keep=["__act"]
-    )
+    beside = with_outcome(rows, candidate, args)
+    fresh = [c for c in beside.columns if c not in rows.columns]
+    captured = capture_native(beside, baseline, args, module=module, function=function, seq=seq, keep=fresh)
     typed = rows.withColumns(dict(baseline.given)) if baseline.given else rows
     types = typed.select(baseline.value, *args).schema
     output, *inputs = (python_type(f.dataType) for f in types)
     plain = output in ("bool", "int", "float") and "list" not in inputs
-    cases = derive_expectations(captured, index=False, plain=plain, keep=("__act",))
-    return judge(cases.select("*", "__act.*").drop("__act"))
+    return judge(derive_expectations(captured, index=False, plain=plain, keep=fresh))
 
 
 def replay_python(expectations: DataFrame, functions: Mapping[str, Callable]) -> DataFrame:
