@@ -43,9 +43,13 @@ def _braced(lines: DataFrame) -> DataFrame:
 
 
 def _decoded(lines: DataFrame) -> DataFrame:
+    """Lines that look like a record, with ``__record``, NULL if it does not decode."""
     # As the only element of an array the line must be one whole JSON value: two records on a line do not parse.
     listed = F.from_json(F.concat(F.lit("["), F.col("line"), F.lit("]")), "array<variant>", _STRICT_JSON)
-    return _braced(lines).withColumn("__items", listed)
+    decoded = _braced(lines).withColumn("__items", listed)
+    # A filter on a projected value would be pushed below it and decode every line twice; one on a generated row stays.
+    single = F.when(F.size("__items") == 1, F.col("__items"))
+    return decoded.select("module", "line_no", "line", F.explode_outer(single).alias("__record"))
 
 
 def parse_capture_log(lines: DataFrame) -> DataFrame:
@@ -54,12 +58,12 @@ def parse_capture_log(lines: DataFrame) -> DataFrame:
     ``args`` and ``output`` stay VARIANT. An object that names a key twice counts as undecodable. For canonical
     captures with equality keys see ``captures_from_log``.
     """
-    record = F.get("__items", F.lit(0))
+    record = F.col("__record")
 
     def text(field: str) -> Column:
         return F.try_variant_get(record, f"$.{field}", "string").alias(field)
 
-    parsed = _decoded(lines).where(F.size("__items") == 1)
+    parsed = _decoded(lines).where(record.isNotNull())
     return parsed.select(
         "module",
         "line_no",
@@ -74,8 +78,7 @@ def parse_capture_log(lines: DataFrame) -> DataFrame:
 
 def corrupt_lines(lines: DataFrame) -> DataFrame:
     """Lines that look like a record and do not decode."""
-    broken = F.coalesce(F.size("__items") != 1, F.lit(True))
-    return _decoded(lines).where(broken).select("module", "line_no", "line")
+    return _decoded(lines).where(F.col("__record").isNull()).select("module", "line_no", "line")
 
 
 def silent_logs(runs: DataFrame, log: str = "log") -> DataFrame:
