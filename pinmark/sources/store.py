@@ -48,6 +48,8 @@ def write_modules(new: DataFrame, path: str, modules: Sequence[str]) -> None:
     Spark overwrites just the partitions that have new rows. A listed module that has none any more is emptied on its
     own. REBALANCE splits a module that holds most rows over several files and joins small ones.
     """
+    if not modules:
+        return
     named = new.where(F.col("module").isin(*modules))
     # Counted while the rows are written, so they are not computed a second time.
     counts = Observation()
