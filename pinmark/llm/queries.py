@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, packing, quality, simhash, windows
+from . import exact, licenses, packing, pieces, quality, simhash, toxicity, windows
 from .registry import query, table
 
 
@@ -65,3 +65,58 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op1_toxicity")
+def toxicity_grades(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.graded(docs, toxicity.fit(docs, table(spark, folder, "labels"))).withColumnRenamed("id", "doc_id")
+
+
+def _license_sql() -> str:
+    def listed(words: list[str]) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+    phrases = " OR ".join(
+        f"(list_slice(w, i, i + {len(words) - 1}) = {listed(words)})" for words in map(licenses.words_of, licenses.PHRASES)
+    )
+    named = " ".join(
+        f"WHEN list_slice(w, i, i + {len(words) - 1}) = {listed(words)} THEN '{label}'"
+        for words, label in ((licenses.words_of(t), x) for t, x in licenses.PHRASES.items())
+    )
+    templates = ", ".join(
+        f"({listed(sorted(set(licenses.words_of(t))))}, '{label}')" for t, label in licenses.TEMPLATES.items()
+    )
+    return rf"""
+    WITH t AS (
+        SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    words AS (SELECT doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
+    places AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM words),
+    base AS (SELECT doc_id, i - 1 AS p, CASE {named} END AS label FROM places WHERE {phrases}),
+    lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+    sets AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS s FROM lines),
+    templates(words, label) AS (VALUES {templates}),
+    found AS (
+        SELECT doc_id, label, len(list_intersect(s, words)) AS common, len(words) AS n
+        FROM sets, templates WHERE len(list_intersect(s, words)) >= ceil({licenses.CONTAINMENT} * len(words) - 1e-9)),
+    b AS (
+        SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+        FROM base GROUP BY doc_id),
+    f AS (SELECT doc_id, max(common / n) AS score FROM found GROUP BY doc_id),
+    every AS (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM found),
+    l AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+           coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+    FROM words LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN l USING (doc_id)
+    """
+
+
+@query("op3_license_scan", _license_sql())
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents")).drop("blocks").withColumnRenamed("id", "doc_id")
+
+
+@query("op9_sentencepiece")
+def sentencepiece_codes(spark: SparkSession, folder: str) -> DataFrame:
+    found = pieces.encode_documents(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.size("pieces").alias("n_pieces"), "pieces", "lossless")
