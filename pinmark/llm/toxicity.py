@@ -15,24 +15,27 @@ from . import tokens
 from .storage import stored
 
 #: Labelled rows that the model is fitted on at most, for each of toxic and not toxic, by the smallest hash of the id.
-FIT_ROWS = 4000
+FIT_ROWS = 10_000
 
-#: Features at most: the words that tell toxic from other rows best, among those in ``LEAST_ROWS`` rows of the sample.
-WORDS = 4096
-LEAST_ROWS = 4
+#: Features at most: the words whose odds in toxic rows are farthest above those in other rows, in units of their error.
+WORDS = 2048
 
-#: Grades: 0 not toxic, 1 toxic, 2 toxic with at least the median share of marker words.
+#: The odds of a feature are that many errors, and that much on the log scale, above those in other rows.
+LEAST_ERRORS = 3.5
+LEAST_ODDS = 1.5
+
+#: Grades: 0 not toxic, 1 toxic, 2 toxic with more different marker words than the median of toxic rows.
 GRADES = 3
 
 #: Weight of the absolute values of all weights against the mean loss.
-SPARSITY = 5e-4
+SPARSITY = 2e-5
 
 #: The share of sampled rows that are not toxic which may be flagged.
 LOSS = 0.002
 
 
-def _row_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different words of each row as hashes, how often each occurs, where each row's begin, and words in each row."""
+def _row_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different words of each row as hashes, how often each occurs, and where each row's begin."""
     data, offsets = tokens.text_bytes(column)
     data = tokens.fold(data)
     found = tokens.split(data, offsets, tokens.MARKS)
@@ -43,7 +46,7 @@ def _row_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     head[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
     at = np.flatnonzero(head)
     counts = np.diff(np.append(at, len(hashes)))
-    return hashes[at], counts, np.searchsorted(rows[at], np.arange(len(offsets))), found.counts
+    return hashes[at], counts, np.searchsorted(rows[at], np.arange(len(offsets)))
 
 
 @dataclass
@@ -79,10 +82,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_ordinal(rows, words, values, grades, width: int, sparsity: float = SPARSITY, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows, words, values, grades, width: int, sparsity: float = SPARSITY, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds by proximal gradient steps with momentum on the mean negative log likelihood.
 
-    The sparse features are given as (row, word, value) triples; the step that makes weights smaller sets many to 0.
+    The sparse features are given as (row, word, value) triples. Weights are not negative: a word may speak for severity,
+    but none excuses another, so that a long text does not dilute it. The step that makes weights smaller sets many to 0.
     """
     n, top = len(grades), int(GRADES) - 1
     weights, gap = np.zeros(width), np.zeros(top)
@@ -103,7 +107,7 @@ def fit_ordinal(rows, words, values, grades, width: int, sparsity: float = SPARS
         d_theta = np.array([(d_down[grades == k + 1].sum() - d_up[grades == k].sum()) / n for k in range(top)])
         d_gap = np.concatenate([[d_theta.sum()], [d_theta[k:].sum() * np.exp(ahead_gap[k]) for k in range(1, top)]])
         moved = ahead - rate * np.bincount(words, weights=values * slope[rows], minlength=width)
-        fresh = np.sign(moved) * np.maximum(np.abs(moved) - rate * sparsity, 0)
+        fresh = np.maximum(moved - rate * sparsity, 0)
         fresh_gap = ahead_gap - 0.5 * d_gap
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         push = (momentum - 1) / following
@@ -115,8 +119,8 @@ def fit_ordinal(rows, words, values, grades, width: int, sparsity: float = SPARS
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", toxic: str = "toxic") -> Ordinal:
     """A model from at most ``FIT_ROWS`` labelled rows of either kind; rows with a null label or id are not used.
 
-    The labels know two kinds only. Toxic rows are graded by the share of marker words in them, markers being words whose
-    odds in toxic rows are far above those in other rows. What comes to the driver is bounded: ``WORDS`` words, and for
+    The labels know two kinds only. Toxic rows are graded by how many different marker words they hold, markers being
+    the features. What comes to the driver is bounded: ``WORDS`` words, and for
     each sampled row its counts of them. Without toxic rows, or without others, every row gets severity 0.
     """
     marked = labels.where(F.col(toxic).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg((F.max(toxic) > 0).alias("toxic"))
@@ -130,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                words, _, first, _ = _row_words(part.column(1))
+                words, _, first = _row_words(part.column(1))
                 kind = np.repeat(np.asarray(part.column(0)), np.diff(first))
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(kind)], ["word", "toxic"])
 
@@ -141,19 +145,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         return nothing
     counted = sample.mapInArrow(split, "word bigint, toxic boolean").groupBy("word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
     odds = F.expr(f"ln((t + 0.5) / ({n_toxic} - t + 0.5)) - ln((c + 0.5) / ({n_clean} - c + 0.5))")
-    scored = counted.where(f"t + c >= {LEAST_ROWS}").select("word", "t", odds.alias("odds"), F.expr("sqrt(1 / (t + 0.5) + 1 / (c + 0.5))").alias("error"))
-    best = scored.orderBy(F.abs(F.col("odds") / F.col("error")).desc(), "word").limit(WORDS).collect()
+    scored = counted.select("word", "t", odds.alias("odds"), F.expr("sqrt(1 / (t + 0.5) + 1 / (c + 0.5))").alias("error"))
+    above = scored.where(f"odds >= {LEAST_ODDS} and odds >= {LEAST_ERRORS} * error")
+    best = above.orderBy((F.col("odds") / F.col("error")).desc(), "word").limit(WORDS).collect()
     if not best:
         return nothing
     best.sort(key=lambda r: r.word % 2**64)
     words = np.array([r.word for r in best], np.int64).view(np.uint64)
-    marker = np.array([r.odds > 2 and r.odds > 3 * r.error for r in best])
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                found, counts, first, total = _row_words(part.column(1))
+                found, counts, first = _row_words(part.column(1))
                 at = np.minimum(np.searchsorted(words, found), len(words) - 1)
                 hit = words[at] == found
                 edges = np.concatenate([[0], np.cumsum(hit)])[first]
@@ -161,17 +165,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
                 pairs = zip(edges[:-1].tolist(), edges[1:].tolist())
                 cells = [(at[a:b].tobytes(), counts[a:b].tobytes()) for a, b in pairs]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(total, pa.int64()), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())],
-                    ["toxic", "total", "words", "counts"],
+                    [part.column(0), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())],
+                    ["toxic", "words", "counts"],
                 )
 
-    held = sample.mapInArrow(featured, "toxic boolean, total bigint, words binary, counts binary").collect()
+    held = sample.mapInArrow(featured, "toxic boolean, words binary, counts binary").collect()
     at = [np.frombuffer(bytes(r.words), np.int32).astype(np.int64) for r in held]
     counts = [np.frombuffer(bytes(r.counts), np.int32).astype(float) for r in held]
     is_toxic = np.array([r.toxic for r in held])
-    shares = np.array([c[marker[a]].sum() / max(1, r.total) for a, c, r in zip(at, counts, held)])
-    middle = np.median(shares[is_toxic])
-    grades = np.where(is_toxic, 1 + ((shares >= middle) & (shares > 0)), 0).astype(np.int64)
+    markers = np.array([len(a) for a in at])
+    grades = np.where(is_toxic, 1 + (markers > np.median(markers[is_toxic])), 0).astype(np.int64)
     rows = np.repeat(np.arange(len(held)), [len(a) for a in at])
     weights, thresholds = fit_ordinal(rows, np.concatenate(at), np.log1p(np.concatenate(counts)), grades, len(words))
     kept = weights != 0
