@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licenses, lines, packing, pieces, quality, simhash, toxicity, windows
+from . import exact, licenses, lines, packing, pieces, quality, simhash, suffixes, toxicity, windows
 from .registry import query, table
 
 
@@ -142,3 +142,9 @@ def sentencepiece_codes(spark: SparkSession, folder: str) -> DataFrame:
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = lines.line_dedup(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op6_suffix_dedup")
+def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.remove_repeated_bytes(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

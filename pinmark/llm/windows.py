@@ -67,7 +67,7 @@ def remove_repeated_windows(
     dealt = inner.withColumn("block", F.pmod(F.xxhash64(*hashed_by), F.lit(blocks))).repartition("block")
 
     def send(group: pa.Table) -> pa.Table:
-        _, _, _, hashes, _ = _hashed(group.column(0), width)
+        _, _, _, hashes, _ = _hashed(group.column(text), width)
         unique, counts = np.unique(hashes, return_counts=True)
         buckets = (unique >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(unique), np.int64)
         edges = np.searchsorted(buckets, np.arange((1 << bits) + 1))
@@ -76,7 +76,7 @@ def remove_repeated_windows(
         return pa.table(
             {
                 "bucket": pa.array(filled, pa.int64()),
-                "block": pa.array(np.full(len(filled), group.column(1)[0].as_py()), pa.int64()),
+                "block": pa.array(np.full(len(filled), group.column("block")[0].as_py()), pa.int64()),
                 "hashes": pa.array([unique[edges[i] : edges[i + 1]].tobytes() for i in filled], pa.binary()),
                 "many": pa.array([np.packbits(many[edges[i] : edges[i + 1]]).tobytes() for i in filled], pa.binary()),
             }
@@ -115,7 +115,7 @@ def remove_repeated_windows(
         return pa.table(out)
 
     columns = inner.columns
-    sent = dealt.select(text, "block").groupBy("block").applyInArrow(send, "bucket bigint, block bigint, hashes binary, many binary")
+    sent = dealt.groupBy("block").applyInArrow(send, "bucket bigint, block bigint, hashes binary, many binary")
     answers = sent.groupBy("bucket").applyInArrow(count, "block bigint, bucket bigint, size bigint, repeated binary")
     schema = T.StructType([*inner.schema.fields, *T._parse_datatype_string("n_words bigint, n_removed bigint, kept_text string").fields])
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, schema)
