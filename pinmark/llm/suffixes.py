@@ -23,7 +23,7 @@ CHUNK = 128
 BLOCK_CHARS = 4 << 20
 
 #: Bytes of text for each bucket that shards are merged in.
-BUCKET_CHARS = 16 << 20
+BUCKET_CHARS = 4 << 20
 
 _LAST = np.int64(np.iinfo(np.int64).max)
 
@@ -69,7 +69,7 @@ def merged_intervals(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
     n = len(symbols)
     kind = np.uint8 if len(sizes) < 256 else np.uint16 if len(sizes) < 65536 else np.uint32
     shard = np.repeat(np.arange(len(sizes)), sizes).astype(kind)
-    order, interval = np.arange(n), np.zeros(n, np.int32)
+    order, interval = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
     for _ in range(depth):
         read = symbols[order]
         dealt = np.argsort(read, kind="stable")
@@ -78,8 +78,7 @@ def merged_intervals(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
         border[1:] = (read[1:] != read[:-1]) | ((interval[1:] != interval[:-1]) & (read[1:] != 0))
         interval = np.cumsum(border, dtype=np.int32)
         # The suffixes of a shard keep their order: the first place of a shard takes its first suffix.
-        order = np.empty(n, np.int64)
-        order[np.argsort(shard, kind="stable")] = np.arange(n)
+        order[np.argsort(shard, kind="stable")] = np.arange(n, dtype=np.int32)
     return order, interval
 
 
@@ -105,12 +104,12 @@ def earlier(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int)
 
 
 class _Block:
-    """The texts of a block and, for every byte, whether a string of ``width`` bytes begins there."""
+    """The texts of a block by growing id and, for every byte, whether a string of ``width`` bytes begins there."""
 
-    def __init__(self, texts: pa.ChunkedArray, ids: pa.ChunkedArray, width: int):
+    def __init__(self, texts: pa.ChunkedArray, ids: np.ndarray, width: int):
         self.width, self.gram = width, min(GRAM, width)
         self.data, self.offsets = tokens.text_bytes(texts)
-        self.ids = np.asarray(ids.fill_null(int(_LAST)).combine_chunks(), np.int64)
+        self.ids = np.asarray(ids, np.int64)
         sizes, n = np.diff(self.offsets), len(self.data)
         self.owner = np.repeat(self.ids, sizes)
         self.end = np.repeat(self.offsets[1:], sizes)
@@ -123,10 +122,11 @@ class _Block:
         return tokens.mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
 
     def grams(self) -> np.ndarray:
-        """The hash of the gram that begins at each byte; meaningless where none does."""
-        n = len(self.data)
-        ends = np.minimum(np.arange(n) + self.gram, n)
-        return self.hashes(np.arange(n), ends)
+        """The hash of the gram that begins at each byte; meaningless where none does. Not mixed: byte values are random."""
+        n = max(0, len(self.data) - self.gram + 1)
+        out = np.zeros(len(self.data), np.uint64)
+        np.multiply(self.sums[self.gram : self.gram + n] - self.sums[:n], self.back[:n], out=out[:n])
+        return out
 
     def chunks(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places where strings begin, as chunks: first place, place behind the last, and hash of all their bytes."""
@@ -142,19 +142,14 @@ class _Block:
 
     def least_grams(self, grams: np.ndarray) -> np.ndarray:
         """The least gram of the string that begins at each byte."""
-        out, have, want = grams, 1, self.width - self.gram + 1
-        while have < want:
+        out, have, want = grams.copy(), 1, self.width - self.gram + 1
+        while have < want and have < len(out):
             step = min(have, want - have)
-            out = np.minimum(out, np.concatenate([out[step:], np.full(min(step, len(out)), np.uint64(2**64 - 1))])[: len(out)])
+            out[:-step] = np.minimum(out[:-step], out[step:])
             have += step
         return out
 
 
-def _unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    unique, place = np.unique(keys, return_inverse=True)
-    return unique, place
-
-
 def _by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The buckets that sorted keys fill, and the borders between them."""
     buckets = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
@@ -179,55 +174,58 @@ def _answer(answers: pa.Table, kind: int) -> list[tuple[int, pa.Scalar, int]]:
 class _Asked:
     """A block as far as the answers of the steps before allow it to be known."""
 
-    def __init__(self, texts: pa.ChunkedArray, ids: pa.ChunkedArray, width: int, bits: int):
-        self.block, self.bits = _Block(texts, ids, width), bits
+    def __init__(self, table: pa.Table, width: int, bits: int):
+        ids = np.asarray(table.column("id").fill_null(int(_LAST)).combine_chunks(), np.int64)
+        by_id = np.argsort(ids, kind="stable")
+        self.table = table.take(pa.array(by_id))
+        self.block, self.bits = _Block(self.table.column("text"), ids[by_id], width), bits
         self.grams = self.block.grams()
         self.starts, self.stops, hashes = self.block.chunks(self.grams)
-        self.unique, self.place = _unique(hashes)
+        self.unique, self.first, self.place = np.unique(hashes, return_index=True, return_inverse=True)
         self.removed = np.zeros(len(self.block.data), bool)
 
     def chunk_owners(self) -> np.ndarray:
         """The least owner in the block of each different chunk."""
-        least = np.full(len(self.unique), _LAST)
-        np.minimum.at(least, self.place, self.block.owner[self.starts])
-        return least
+        return self.block.owner[self.starts[self.first]]
 
     def take_chunks(self, answers: pa.Table) -> None:
         """Chunks that a smaller owner has as well are removed; the rest stays open."""
         parts = [np.frombuffer(p.as_buffer(), np.int64) for _, p, _ in _answer(answers, 0)]
         least = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         later = self.block.owner[self.starts] > least[self.place]
-        inside = np.zeros(len(self.block.data) + 1, np.int64)
-        np.add.at(inside, self.starts[later], 1)
-        np.subtract.at(inside, self.stops[later], 1)
+        n = len(self.block.data)
+        inside = np.bincount(self.starts[later], minlength=n + 1) - np.bincount(self.stops[later], minlength=n + 1)
         self.removed |= np.cumsum(inside[:-1]) > 0
         self.open = np.flatnonzero(self.block.whole & ~self.removed)
-        self.least = self.block.least_grams(self.grams)[self.open]
-        self.names, self.name_of = _unique(self.least)
+        # Neighbours mostly share their least gram; what follows looks at runs of them.
+        least, owners = self.block.least_grams(self.grams)[self.open], self.block.owner[self.open]
+        head = np.ones(len(least), bool)
+        head[1:] = (least[1:] != least[:-1]) | (owners[1:] != owners[:-1])
+        heads = np.flatnonzero(head)
+        self.run_owner, self.run_size = owners[heads], np.diff(np.append(heads, len(least)))
+        self.names, self.first_run, self.name_of_run = np.unique(
+            tokens.mix(least[heads]), return_index=True, return_inverse=True  # mixed, as the least of many are small numbers
+        )
 
     def shared_in_block(self) -> np.ndarray:
         """Which of the different least grams lie in texts of several owners."""
-        owners = self.block.owner[self.open]
-        low, high = np.full(len(self.names), _LAST), np.full(len(self.names), np.iinfo(np.int64).min)
-        np.minimum.at(low, self.name_of, owners)
-        np.maximum.at(high, self.name_of, owners)
-        return low != high
+        shared = np.zeros(len(self.names), bool)
+        shared[self.name_of_run[self.run_owner != self.run_owner[self.first_run][self.name_of_run]]] = True
+        return shared
 
     def take_names(self, answers: pa.Table) -> None:
         """Strings whose least gram is in one text only are done; of equal ones in the block the first is asked for."""
         parts = [_unpacked(p, n) for _, p, n in _answer(answers, 1)]
         shared = np.concatenate(parts) if parts else np.zeros(0, bool)
-        chosen = shared[self.name_of]
-        self.asked, least = self.open[chosen], self.least[chosen]
+        chosen = np.repeat(shared[self.name_of_run], self.run_size)
+        self.asked, least = self.open[chosen], np.repeat(self.names[self.name_of_run], self.run_size)[chosen]
         owners = self.block.owner[self.asked]
         hashes = self.block.hashes(self.asked, self.asked + self.block.width)
-        order = np.lexsort((self.asked, owners, hashes))
-        head = np.append(True, hashes[order][1:] != hashes[order][:-1]) if len(order) else np.zeros(0, bool)
-        group = np.cumsum(head) - 1
-        self.first_of = np.empty(len(order), np.int64)
-        self.first_of[order] = order[head][group] if len(order) else 0
+        # Places grow with their owner, so the first of equal strings is one of the least owner.
+        _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
+        self.first_of = first[place]
         self.later = owners > owners[self.first_of]
-        sent = np.flatnonzero(self.first_of == np.arange(len(order)))
+        sent = np.flatnonzero(self.first_of == np.arange(len(place)))
         # Runs of places of one bucket are a segment; it ends with the string that begins at its last place.
         buckets = (least[sent] >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(sent), np.int64)
         at = self.asked[sent]
@@ -316,7 +314,7 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
     by_block = dealt.groupBy("block")
 
     def send_chunks(texts: pa.Table) -> pa.Table:
-        asked = _Asked(texts.column("text"), texts.column("id"), width, bits)
+        asked = _Asked(texts, width, bits)
         least, (filled, edges) = asked.chunk_owners(), _by_bucket(asked.unique, bits)
         return pa.table(
             {
@@ -329,7 +327,7 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
 
     def answer_chunks(group: pa.Table) -> pa.Table:
         keys = [np.frombuffer(c.as_buffer(), np.uint64) for c in group.column("keys")]
-        _, place = _unique(np.concatenate(keys))
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
         owners = np.concatenate([np.frombuffer(c.as_buffer(), np.int64) for c in group.column("rest")])
         least = np.full(int(place.max()) + 1, _LAST)
         np.minimum.at(least, place, owners)
@@ -338,7 +336,7 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
         return _answers(0, [(bucket, block, least[place[a:b]].tobytes(), b - a) for bucket, block, (a, b) in rows])
 
     def send_names(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        asked = _Asked(texts.column("text"), texts.column("id"), width, bits)
+        asked = _Asked(texts, width, bits)
         asked.take_chunks(answers)
         shared, (filled, edges) = asked.shared_in_block(), _by_bucket(asked.names, bits)
         return pa.table(
@@ -362,7 +360,7 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
         return _answers(1, [(bucket, block, _bits(several[a:b]), b - a) for bucket, block, (a, b) in rows])
 
     def send_segments(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        asked = _Asked(texts.column("text"), texts.column("id"), width, bits)
+        asked = _Asked(texts, width, bits)
         asked.take_chunks(answers)
         asked.take_names(answers)
         rows = asked.segments()
@@ -384,7 +382,7 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
         return _answers(2, [(bucket, block, _bits(f), len(f)) for bucket, block, f in rows])
 
     def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        asked = _Asked(texts.column("text"), texts.column("id"), width, bits)
+        asked = _Asked(texts, width, bits)
         asked.take_chunks(answers)
         asked.take_names(answers)
         asked.take_segments(answers)
@@ -403,7 +401,7 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
         kept = asked.block.data[~removed]
         return pa.table(
             {
-                "id": texts.column("id"),
+                "id": asked.table.column("id"),
                 "n_bytes": pa.array(np.diff(offsets), pa.int64()),
                 "n_removed": pa.array(gone, pa.int64()),
                 "n_spans": pa.array(np.diff(span_first), pa.int64()),
@@ -417,6 +415,6 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
     names = by_block.cogroup(known.groupBy("block")).applyInArrow(send_names, keyed)
     known = known.union(names.groupBy("bucket").applyInArrow(answer_names, _ANSWER))
     segments = by_block.cogroup(known.groupBy("block")).applyInArrow(send_segments, keyed + ", lengths binary")
-    known = known.union(segments.groupBy("bucket").applyInArrow(answer_segments, _ANSWER))
+    known = known.union(segments.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(answer_segments, _ANSWER))
     out = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<first: bigint, bytes: bigint>>, kept binary"
     return by_block.cogroup(known.groupBy("block")).applyInArrow(finish, T._parse_datatype_string(out))
