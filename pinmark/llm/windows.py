@@ -119,4 +119,6 @@ def remove_repeated_windows(
     answers = sent.groupBy("bucket").applyInArrow(count, "block bigint, bucket bigint, size bigint, repeated binary")
     schema = T.StructType([*inner.schema.fields, *T._parse_datatype_string("n_words bigint, n_removed bigint, kept_text string").fields])
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, schema)
+    if not one_space:
+        out = out.withColumn("kept_text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.coalesce(text, F.lit(""))))
     return out.toDF(*names, "n_words", "n_removed", "kept_text")
