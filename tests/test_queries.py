@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as contract
+from pinmark.plans import catalog
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -31,10 +32,10 @@ def shown(value):
 
 
 def test_each_query_has_a_statement():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(catalog.oracles()) == set(catalog.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
     df = contract.queries()[name](spark, str(FOLDER))
     columns = sorted(df.columns)
