@@ -90,7 +90,8 @@ def silent_logs(runs: DataFrame, log: str = "log") -> DataFrame:
         listed = F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<variant>", _STRICT_JSON)
         return F.coalesce(F.when(braced, F.size(listed) == 1), F.lit(False))
 
-    spoken = F.exists(F.split(F.col(log), "\n"), is_record)
+    # A run without a log has not spoken either.
+    spoken = F.coalesce(F.exists(F.split(F.col(log), "\n"), is_record), F.lit(False))
     return runs.where(~spoken).withColumn("preview", F.left(F.col(log), F.lit(HEAD_PREVIEW))).drop(log)
 
 

@@ -84,8 +84,8 @@ def _escaped(name: str) -> str:
 
 
 def reset_store(empty: DataFrame, path: str) -> None:
-    """Start a full run with an empty store."""
-    empty.limit(0).write.mode("overwrite").partitionBy("module").parquet(path)
+    """Start a full run with an empty store, also where the session replaces only the partitions that are written."""
+    empty.limit(0).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("module").parquet(path)
 
 
 def replaced(store: DataFrame, new: DataFrame, modules: DataFrame | None = None) -> DataFrame:

@@ -56,6 +56,23 @@ def test_silent_logs(spark):
     assert {r.module: r.preview for r in found.collect()} == {"b": runs[1][1][:500], "c": ""}
 
 
+def test_runs_without_a_log_are_silent(spark):
+    found = logs.silent_logs(spark.createDataFrame([("m", None), ("n", "hello")], "module string, log string"))
+    assert {(r.module, r.preview) for r in found.collect()} == {("m", None), ("n", "hello")}
+
+
+def test_reset_empties_the_store_in_a_dynamic_session(spark, tmp_path):
+    path = str(tmp_path / "store")
+    table = spark.createDataFrame([("m", 1), ("n", 2)], "module string, x int")
+    table.write.partitionBy("module").parquet(path)
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        store.reset_store(table, path)
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert not list((tmp_path / "store").rglob("*=*/*.parquet"))
+
+
 def test_outcome_counts(spark):
     log = "\n".join(["a::test_x PASSED [ 50%]", "a::test_y FAILED [100%]", "___ ERROR collecting a ___", "FAILED a::test_y"])
     df = spark.createDataFrame([("s", log, None), ("t", "", None), ("u", None, "boom" * 100)], "module string, log string, fault string")
