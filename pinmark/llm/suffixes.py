@@ -35,7 +35,8 @@ def shard_transform(text: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[
     """Suffix array by the first ``depth`` symbols, and the Burrows-Wheeler transform, of one shard.
 
     ``text``: segments with a terminator 0 after each; ``lengths``: with the terminator. Nothing behind a terminator
-    counts, and the transform has a terminator for the first symbol of a segment.
+    counts. An item of the transform has the two symbols before the suffix, the nearer one in the low byte; before the
+    first symbol of a segment comes its terminator.
     """
     n = len(text)
     stops = np.cumsum(lengths)
@@ -50,35 +51,46 @@ def shard_transform(text: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[
         word = eights[start : start + n]
         keys.append(np.where(shown > 0, (word >> np.minimum(cut, np.uint64(56))) << np.minimum(cut, np.uint64(56)), np.uint64(0)))
     order = np.lexsort(keys[::-1])
-    before = np.concatenate([[0], text[:-1]]).astype(np.uint8)
-    before[stops - lengths] = 0
-    return order, before[order]
+    previous = np.arange(-1, n - 1)
+    previous[stops - lengths] = stops - 1
+    before = text[previous].astype(np.uint16)
+    return order, (before[previous] << np.uint16(8) | before)[order]
 
 
 def merged_intervals(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, interval): the common suffix order of all shards and the interval of each suffix by its first ``depth`` symbols.
 
-    The transforms lie one after the other; ``order`` lists places in them. The interleave says from which shard the next
-    suffix comes. It begins with shard after shard; in each round the symbols of the transforms are read in the order of
-    the interleave and the shards dealt out by symbol, which sorts the suffixes by one symbol more. Within a shard nothing
-    moves. A border that a round opens separates suffixes whose common prefix is as long as the rounds before, so after
-    ``depth`` rounds an interval without a border holds the suffixes with a common prefix of ``depth`` or more.
+    The transforms lie one after the other; ``order`` lists places in them and so is the interleave: it says from which
+    shard the next suffix comes, and within a shard places only grow. It begins with shard after shard. In each round the
+    symbols of the transforms are read in the order of the interleave and the suffixes dealt out by them, which sorts by
+    two symbols more (by one in the first round of an odd ``depth``); the place a suffix goes to in its shard is known
+    from the shard's transform alone. A border that a round opens separates suffixes that differ in the symbols sorted by
+    so far, so after all rounds an interval holds the suffixes with a common prefix of ``depth`` or more.
     """
-    sizes = [len(t) for t in transforms]
     symbols = np.concatenate(transforms)
     n = len(symbols)
-    kind = np.uint8 if len(sizes) < 256 else np.uint16 if len(sizes) < 65536 else np.uint32
-    shard = np.repeat(np.arange(len(sizes)), sizes).astype(kind)
+    edges = np.concatenate([[0], np.cumsum([len(t) for t in transforms])]).tolist()
+
+    def last_to_first(read: np.ndarray) -> np.ndarray:
+        out = np.empty(n, np.int32)
+        for a, b in zip(edges[:-1], edges[1:]):
+            out[a + np.argsort(read[a:b], kind="stable")] = np.arange(a, b, dtype=np.int32)
+        return out
+
+    # What is behind a terminator does not count, so with it first the second symbol does not either.
+    pairs = np.where(symbols > 0xFF, symbols, np.uint16(0))
+    steps = [(symbols & np.uint16(0xFF), 1)] if depth % 2 else []
     order, interval = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
-    for _ in range(depth):
-        read = symbols[order]
-        dealt = np.argsort(read, kind="stable")
-        read, shard, interval = read[dealt], shard[dealt], interval[dealt]
-        border = np.zeros(n, bool)
-        border[1:] = (read[1:] != read[:-1]) | ((interval[1:] != interval[:-1]) & (read[1:] != 0))
-        interval = np.cumsum(border, dtype=np.int32)
-        # The suffixes of a shard keep their order: the first place of a shard takes its first suffix.
-        order[np.argsort(shard, kind="stable")] = np.arange(n, dtype=np.int32)
+    for added, rounds in [*steps, (pairs, depth // 2)]:
+        follows = last_to_first(added)
+        for _ in range(rounds):
+            read = added[order]
+            dealt = np.argsort(read, kind="stable")
+            read, interval = read[dealt], interval[dealt]
+            border = np.zeros(n, bool)
+            border[1:] = (read[1:] != read[:-1]) | ((interval[1:] != interval[:-1]) & (read[1:] & np.uint16(0xFF) != 0))
+            interval = np.cumsum(border, dtype=np.int32)
+            order = follows[order[dealt]]
     return order, interval
 
 
