@@ -164,31 +164,48 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / self.usual)
 
 
+def _by_part(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Few texts at a time, so that very long ones do not add up."""
+    return (batch.slice(start, 512) for start in range(0, batch.num_rows, 512))
+
+
+def _listed(rates: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rates) + 1) * len(RATES), pa.int32()), pa.array(rates.ravel()))
+
+
+def measures(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, the counts of ``COUNTS``, rates) of each row's whole text, a narrow table; null is empty."""
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _by_part(batch):
+                counts, rates = statistics(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in counts.T), _listed(rates)], ["id", *COUNTS, "rates"])
+
+    fields = [texts.schema["id"], *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("rates", T.ArrayType(T.DoubleType()))]
+    return texts.mapInArrow(measure, T.StructType(fields))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", good: str = "quality") -> Forest:
+    """``fit_measures`` of all rows of ``docs``."""
+    return fit_measures(stored(measures(docs, id_column, text_column)), labels, id_column, good)
+
+
+def fit_measures(measured: DataFrame, labels: DataFrame, id_column: str = "doc_id", good: str = "quality") -> Forest:
     """A forest grown from good rows, and the score from which on a row counts as an anomaly.
 
     The trees are grown from at most ``FIT_ROWS`` labelled good rows (``good`` = 1) that pass the base rules. The
     threshold is chosen over all labelled rows that pass them: of the scores that reject at most ``LOSS`` of the good
     ones, the one that rejects the most bad ones. Without good rows nothing is rejected; rows without a label, id or match
-    are not used. Only counts by score and the bounded sample come to the driver.
+    are not used. Labels meet the narrow measures, so texts are not exchanged however many labels there are. Only counts
+    by score and the bounded sample come to the driver.
     """
     marked = labels.where(F.col(good).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.min(good).alias("__good"))
     marked = marked.withColumnRenamed(id_column, "__id")
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(marked, F.col("id") == F.col("__id"))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                counts, rates = statistics(part.column(1))
-                good = np.asarray(part.column(2)).astype(bool)
-                held = ~base_failed(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(good[held]), pa.array(list(rates[held]), pa.list_(pa.float64())), part.column(0).cast(pa.string()).filter(pa.array(held))],
-                    ["good", "rates", "id"],
-                )
-
-    measured = stored(texts.select("id", "text", F.col("__good").cast("boolean").alias("good")).mapInArrow(measure, "good boolean, rates array<double>, id string"))
+    failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+    measured = measured.where(~failed).join(marked, F.col("id") == F.col("__id"))
+    measured = stored(measured.select(F.col("__good").cast("boolean").alias("good"), "rates", F.col("id").cast("string").alias("id")))
     sample = measured.where("good").orderBy(F.xxhash64("id"), "id", "rates").limit(FIT_ROWS).select("rates").collect()
     if not sample:
         return Forest.grow(np.zeros((0, len(RATES))))
@@ -224,8 +241,7 @@ def judged(docs: DataFrame, forest: Forest, text_column: str = "text") -> DataFr
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for part in _by_part(batch):
                 counts, rates = statistics(part.column(text))
                 failed, scores = base_failed(counts), forest.scores(rates)
                 columns = [*part.columns, *(pa.array(counts[:, i]) for i in range(len(COUNTS))), pa.array(failed), pa.array(scores)]
@@ -234,3 +250,19 @@ def judged(docs: DataFrame, forest: Forest, text_column: str = "text") -> DataFr
 
     schema = T.StructType([*inner.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
     return inner.mapInArrow(work, schema).toDF(*names, *added)
+
+
+def judged_measures(measured: DataFrame, forest: Forest) -> DataFrame:
+    """(id, the counts, base_failed, score, kept) of each row of ``measures``: the verdict of ``judged`` without the texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.column_stack([np.asarray(batch.column(1 + i), np.int64) for i in range(len(COUNTS))])
+            rates = np.asarray(batch.column(1 + len(COUNTS)).flatten()).reshape(-1, len(RATES))
+            failed, scores = base_failed(counts), forest.scores(rates)
+            added = [pa.array(failed), pa.array(scores), pa.array(~failed & (scores < forest.threshold))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: 1 + len(COUNTS)], *added], ["id", *COUNTS, "base_failed", "score", "kept"])
+
+    fields = [measured.schema["id"], *(T.StructField(c, T.LongType()) for c in COUNTS)]
+    fields += [T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
+    return measured.select("id", *COUNTS, "rates").mapInArrow(work, T.StructType(fields))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import exact, licenses, lines, packing, pieces, quality, simhash, suffixes, toxicity, windows
 from .registry import query, table
+from .storage import stored
 
 
 @query(
@@ -34,9 +35,9 @@ def simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_quality_rules")
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    forest = quality.fit(docs, table(spark, folder, "labels"))
-    return quality.judged(docs, forest).drop("text")
+    measured = stored(quality.measures(table(spark, folder, "documents")))
+    forest = quality.fit_measures(measured, table(spark, folder, "labels"))
+    return quality.judged_measures(measured, forest).withColumnRenamed("id", "doc_id")
 
 
 @query(

@@ -130,7 +130,11 @@ def test_statistics_and_quality(spark, docs, empty):
     bad = [(300 + i, " ".join(f"word{i}x{k}%%%" for k in range(60)), 0) for i in range(20)]
     table = spark.createDataFrame([(i, t) for i, t, _ in good + bad], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, q) for i, _, q in good + bad] + [(None, 1), (5, None)], "doc_id bigint, quality int")
-    judged = quality.judged(table, quality.fit(table, labels))
+    forest = quality.fit(table, labels)
+    judged = quality.judged(table, forest)
+    narrow = quality.judged_measures(quality.measures(table), forest).withColumnRenamed("id", "doc_id")
+    assert in_order(narrow.collect()) == in_order(judged.select(narrow.columns).collect())
+    assert quality.judged_measures(quality.measures(empty), forest).count() == 0
     assert {r.doc_id for r in judged.where("kept").collect()} == {i for i, _, _ in good}
     none = quality.fit(empty, labels)
     assert quality.judged(docs, none).count() == docs.count()
