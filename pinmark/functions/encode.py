@@ -6,6 +6,7 @@ It must give the same keys as ``functions.keys`` gives for typed columns.
 from __future__ import annotations
 
 import builtins
+import hashlib
 import json
 import math
 import struct
@@ -92,8 +93,10 @@ def identity_key(value) -> str:
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(map(identity_key, value)) + "]"
     if isinstance(value, dict):
-        names = ((k if isinstance(k, str) else json.dumps(k), v) for k, v in value.items())
-        return "{" + ",".join(sorted(f"{_text_key(k)}:{identity_key(v)}" for k, v in names)) + "}"
+        names = {k if isinstance(k, str) else json.dumps(k): v for k, v in value.items()}
+        if len(names) < len(value):
+            raise ValueError("keys that JSON cannot tell apart")
+        return "{" + ",".join(sorted(f"{_text_key(k)}:{identity_key(v)}" for k, v in names.items())) + "}"
     return _text_key(other_text(value))
 
 
@@ -127,48 +130,59 @@ def kind(value) -> str:
 _ENCODER = json.JSONEncoder(default=other_text)
 
 
+def shown(value, text=repr) -> str:
+    """``repr`` or another text of a value, whatever its methods do."""
+    try:
+        return text(value)
+    except Exception:
+        return f"<unprintable {type(value).__name__}>"
+
+
 def described(value) -> tuple:
-    """(value, kind, JSON text); a value JSON cannot take even with a text fallback becomes its ``repr``."""
+    """(value, kind, JSON text, identity key, holds NaN).
+
+    A value that has no JSON text even with a text fallback, or whose parts cannot be named, becomes its ``repr``.
+    """
     exact = type(value)
     if exact is float and math.isfinite(value):
-        return value, "float", repr(value)
-    if exact is int:
-        return value, "int", repr(value)
+        return value, "float", repr(value), _float_key(value), False
     try:
-        return value, kind(value), _ENCODER.encode(value)
-    except (TypeError, ValueError, RecursionError):
-        shown = repr(value)
-        return shown, "other", _ENCODER.encode(shown)
+        text = repr(value) if exact is int else _ENCODER.encode(value)
+        return value, kind(value), text, identity_key(value), holds_nan(value)
+    except Exception:
+        plain = shown(value)
+        return plain, "other", _ENCODER.encode(plain), _text_key(plain), False
 
 
 def arguments(args) -> tuple:
     """(arg_json, arg_keys, arg_elem_keys) of one call."""
     texts, names, elements = [], [], []
     for arg in args:
-        plain, out_kind, text = described(arg)
+        plain, out_kind, text, name, _ = described(arg)
         texts.append(text)
-        names.append(identity_key(plain))
+        names.append(name)
         elements.append([equality_key(e) for e in plain] if out_kind == "list" else None)
     return texts, names, elements
 
 
 def output(value, limit: int = DIGEST_LIMIT) -> tuple:
-    """(out_type, out_json, out_key, out_double, out_len, out_digest); big values keep only their digest."""
-    value, out_type, text = described(value)
+    """(out_type, out_json, out_key, out_double, out_len, out_digest, out_hash); big values keep digest and hash only."""
+    value, out_type, text, key, nan = described(value)
+    name = None if nan else hashlib.sha256(key.encode("utf-8", "surrogatepass")).hexdigest()
     if len(text) > limit and value is not None:
-        shown = json.loads(text)
-        if isinstance(shown, list):
-            short = f"[list of {len(shown)} items]"
+        if out_type == "list":
+            short = f"[list of {len(value)} items]"
         else:
-            short = str(shown)[:DIGEST_HEAD] + "... [truncated]"
-        return out_type, None, None, None, len(text), short
+            whole = value if out_type in ("string", "other") and isinstance(value, str) else shown(text, json.loads)
+            short = shown(whole, str)[:DIGEST_HEAD] + "... [truncated]"
+        return out_type, None, None, None, len(text), short, name
     number = None
     if out_type in ("float", "int", "bool"):
         try:
             number = float(value)
         except OverflowError:
             number = None
-    return out_type, text, equality_key(value), number, len(text), None
+    return out_type, text, None if nan else key, number, len(text), None, name
 
 
 def class_names(error_class: str) -> list[str]:

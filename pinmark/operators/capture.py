@@ -89,6 +89,7 @@ def outcome_columns(
         "out_double": F.when(kept, keys.as_double(value, dtype)),
         "out_len": F.when(ok, length),
         "out_digest": no_text if bounded else F.when(ok, keys.digest(value, dtype, length, digest_limit)),
+        "out_hash": F.when(ok, F.sha2(keys.equality_key(value, dtype), 256)),
         "error": error,
         "error_class": error_class,
         "error_mro": error_mro,
@@ -225,7 +226,7 @@ def _trace(error: BaseException) -> str:
         source = linecache.getline(code.co_filename, number).strip()
         if source:
             lines.append(f"    {source}")
-    return "\n".join(lines + [f"{type(error).__name__}: {error}", ""])
+    return "\n".join(lines + [f"{type(error).__name__}: {encode.shown(error, str)}", ""])
 
 
 def _call(fn: Callable, args: Sequence, digest_limit: int) -> tuple:
@@ -236,7 +237,8 @@ def _call(fn: Callable, args: Sequence, digest_limit: int) -> tuple:
     except (Exception, SystemExit) as e:
         cls = type(e)
         name = cls.__name__
-        return (CRASHED, None, None, None, None, None, None, f"{name}: {e}", name, encode.mro_names(cls), _trace(e))
+        message = f"{name}: {encode.shown(e, str)}"
+        return (CRASHED, *[None] * 7, message, name, encode.mro_names(cls), _trace(e))
     return (SUCCESS, *encode.output(result, digest_limit), None, None, None, None)
 
 
@@ -301,28 +303,30 @@ def capture(
 
 def replay(
     expectations: DataFrame,
-    functions: Mapping[str, Callable],
+    functions: Mapping[str | tuple[str, str], Callable],
     *,
     prefix: str = "act_",
     digest_limit: int = encode.DIGEST_LIMIT,
 ) -> DataFrame:
     """Call each case's function again on its stored arguments and put the outcome beside the expectation.
 
-    A narrow step: no key, no join, no shuffle. A function that is not offered leaves a NULL outcome.
+    ``functions`` by name, or by (module, name) where modules share a name; the latter go first. A narrow step: no key,
+    no join, no shuffle. A function that is not offered, or a case without arguments, leaves a NULL outcome.
     """
     missing = (None,) * len(OUTCOME_FIELDS)
 
-    def run(names: pa.Array, arg_json: pa.Array) -> pa.Array:
+    def run(modules: pa.Array, names: pa.Array, arg_json: pa.Array) -> pa.Array:
         rows = []
-        for name, args in zip(names.to_pylist(), arg_json.to_pylist()):
-            fn = functions.get(name)
-            rows.append(_call(fn, [json.loads(a) for a in args], digest_limit) if fn else missing)
+        for module, name, args in zip(modules.to_pylist(), names.to_pylist(), arg_json.to_pylist()):
+            fn = functions.get((module, name)) or functions.get(name)
+            callable_ = fn is not None and args is not None
+            rows.append(_call(fn, [json.loads(a) for a in args], digest_limit) if callable_ else missing)
         return pa.StructArray.from_arrays(_arrays(rows, OUTCOME_FIELDS), names=OUTCOME_COLUMNS)
 
     # Only name and arguments cross to Python; the rest of the expectation waits in the JVM. The call counts as
     # nondeterministic, so the optimizer neither repeats nor drops it.
     call = F.arrow_udf(run, T.StructType(OUTCOME_FIELDS)).asNondeterministic()
-    called = expectations.withColumn("__call", call("function", "arg_json"))
+    called = expectations.withColumn("__call", call("module", "function", "arg_json"))
     return called.select(
         *expectations.columns, *[F.col(f"__call.{c}").alias(prefix + c) for c in OUTCOME_COLUMNS]
     )
@@ -364,9 +368,10 @@ def behaviour_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """What two capture generations of the same calls disagree on, duplicates counted.
 
     Same content as EXCEPT ALL both ways, in one shuffle: both sides are tagged +1 / -1 and summed per behaviour, which
-    also combines repeated calls before they are exchanged.
+    also combines repeated calls before they are exchanged. ``behaviour`` is a text to read; outputs are told apart by the
+    hash of their whole value.
     """
-    behaviour = ["module", "function", "arg_keys", "status", "behaviour"]
+    behaviour = ["module", "function", "arg_keys", "status", "behaviour", "out_hash"]
 
     def tagged(captures: DataFrame, weight: int) -> DataFrame:
         return captures.select(
@@ -375,6 +380,7 @@ def behaviour_diff(before: DataFrame, after: DataFrame) -> DataFrame:
             "arg_keys",
             "status",
             F.coalesce("out_key", "out_json", "out_digest", "error").alias("behaviour"),
+            "out_hash",
             F.lit(weight).alias("weight"),
         )
 

@@ -71,11 +71,13 @@ def member_of(arg_keys: Column, arg_elem_keys: Column, out_key: Column) -> Colum
 
 
 def varying_calls(captures: DataFrame) -> DataFrame:
-    """Calls whose repeated captures do not all agree."""
+    """Calls whose repeated captures do not all agree, by the hash of the whole output; NaN agrees with no other output."""
+    nan = F.col("status").eqNullSafe(SUCCESS) & F.col("out_hash").isNull()
     calls = captures.groupBy("module", "function", "arg_keys").agg(
-        F.min("out_key").alias("__low"), F.max("out_key").alias("__high")
+        F.min("out_hash").alias("__low"), F.max("out_hash").alias("__high"), F.coalesce(F.bool_or(nan), F.lit(False)).alias("__nan")
     )
-    return calls.where("__low <> __high").select("module", "function", "arg_keys", F.lit(True).alias("__varies"))
+    varies = (F.col("__low") != F.col("__high")) | (F.col("__nan") & F.col("__low").isNotNull())
+    return calls.where(varies).select("module", "function", "arg_keys", F.lit(True).alias("__varies"))
 
 
 def derive_expectations(

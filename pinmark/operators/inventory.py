@@ -66,11 +66,14 @@ def syntax_errors(sources: DataFrame) -> DataFrame:
     return _parsed(sources).where(F.col("__found").isNull()).select("path", "module")
 
 
-def inventory_summary(inventory: DataFrame) -> DataFrame:
-    """Testable and skipped functions per file."""
-    return inventory.groupBy("path").agg(
+def inventory_summary(inventory: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Testable and skipped functions per file; with ``sources`` also the files that define none."""
+    counted = inventory.groupBy("path").agg(
         F.count_if("testable").alias("testable"), F.count_if(~F.col("testable")).alias("skipped")
     )
+    if sources is None:
+        return counted
+    return sources.select("path").distinct().join(counted, "path", "left").fillna(0, ["testable", "skipped"])
 
 
 def coverage_gap(inventory: DataFrame, captures: DataFrame) -> DataFrame:

@@ -58,17 +58,21 @@ def total_rollup(suites: DataFrame) -> DataFrame:
     )
 
 
-def suites_and_total(results: DataFrame) -> DataFrame:
-    """Per-module rows and the grand total (``is_total``), rolled up from one row per module."""
+def suites_and_total(results: DataFrame, suites: DataFrame | None = None) -> DataFrame:
+    """Per-module rows and the grand total (``is_total``), rolled up from one row per module.
+
+    ``suites`` as in ``suite_rollup``: one without a result is an ERROR and the total FAILED.
+    """
+    total = F.grouping("module") == 1
+    status = (
+        F.when(~total & F.bool_or(F.col("status") == "ERROR"), F.lit("ERROR"))
+        .when(F.bool_and(F.col("status") == "PASSED"), F.lit("PASSED"))
+        .otherwise(F.lit("FAILED"))
+    )
     return (
-        suite_rollup(results)
+        suite_rollup(results, suites)
         .rollup("module")
-        .agg(
-            F.sum("passed").alias("passed"),
-            F.sum("failed").alias("failed"),
-            (F.grouping("module") == 1).alias("is_total"),
-        )
-        .withColumn("status", F.when(F.col("failed") == 0, F.lit("PASSED")).otherwise(F.lit("FAILED")))
+        .agg(F.sum("passed").alias("passed"), F.sum("failed").alias("failed"), total.alias("is_total"), status.alias("status"))
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.keys import python_type
 from ..operators.capture import Outcome, capture_native, replay, with_outcome
@@ -21,15 +22,28 @@ def compare_native(
     module: str | Column,
     function: str,
     seq: Column,
+    exact: bool = False,
 ) -> DataFrame:
     """Judge two column implementations row by row.
 
     Both are captured on the same row, the first becomes the expectation of the second. No key, no join, no shuffle:
-    the cost is one scan of the argument columns, however large the table is.
+    the cost is one scan of the argument columns, however large the table is. ``exact``, for deterministic functions,
+    asks for equal outputs instead of the assertion that the capture would be pinned by: whole values are compared by
+    their hash, however long they are, and NaN is like NaN.
     """
     beside = with_outcome(rows, candidate, args)
     fresh = [c for c in beside.columns if c not in rows.columns]
     captured = capture_native(beside, baseline, args, module=module, function=function, seq=seq, keep=fresh)
+    if exact:
+        cases = derive_expectations(captured, index=False, plain=True, keep=[*fresh, "out_type", "out_hash", "out_digest"])
+        judged = judge(cases)
+        same = F.col("out_hash").eqNullSafe(F.col("act_out_hash")) & (
+            F.col("out_hash").isNotNull() | (F.col("exp_json").eqNullSafe(F.col("act_out_json")) & F.col("out_digest").eqNullSafe(F.col("act_out_digest")))
+        )
+        is_bool = (F.col("out_type") == "bool") == (F.col("act_out_type") == "bool")
+        verdict = F.when(same & is_bool, F.lit("ok")).otherwise(F.lit("mismatch"))
+        reason = F.when(F.col("reason").isin("ok", "mismatch") & (F.col("case_kind") == "success"), verdict).otherwise(F.col("reason"))
+        return judged.withColumn("reason", reason).withColumn("passed", F.col("reason") == "ok").drop("out_type", "out_hash", "out_digest")
     typed = rows.withColumns(dict(baseline.given)) if baseline.given else rows
     types = typed.select(baseline.value, *args).schema
     output, *inputs = (python_type(f.dataType) for f in types)

@@ -25,6 +25,8 @@ OUTCOME_FIELDS = [
     T.StructField("out_double", T.DoubleType()),
     T.StructField("out_len", T.IntegerType()),
     T.StructField("out_digest", T.StringType()),
+    # SHA-256 of the whole equality key, also of outputs that only keep a digest; NULL for a value that holds NaN.
+    T.StructField("out_hash", T.StringType()),
     T.StructField("error", T.StringType()),
     T.StructField("error_class", T.StringType()),
     T.StructField("error_mro", _STRINGS),

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import encode
 from ..functions.text import python_strip
 from ..operators.capture import _arrays
-from ..operators.expect import error_class
 from ..operators.ordering import top_k
 from ..schema import CAPTURE_COLUMNS, CAPTURES, CRASHED, SUCCESS
 
@@ -99,20 +98,32 @@ def captures_from_log(lines: DataFrame, digest_limit: int = encode.DIGEST_LIMIT)
     """Canonical captures of foreign log lines.
 
     Keys of arbitrarily nested values need recursion, so lines that passed the JVM filter are decoded in Arrow batches.
+    An object that names a key twice is undecodable, as in ``parse_capture_log``. Fields that should be texts and are
+    not are taken as their JSON text. An error that Python knows by its name also matches the bases of its class.
     """
 
+    def once(pairs: list[tuple]) -> dict:
+        found = dict(pairs)
+        if len(found) < len(pairs):
+            raise ValueError("a key is named twice")
+        return found
+
+    def text(value) -> str | None:
+        return value if value is None or isinstance(value, str) else json.dumps(value)
+
     def record(module, line_no, line) -> tuple | None:
         try:
-            found = json.loads(line)
+            found = json.loads(line, object_pairs_hook=once)
         except (ValueError, RecursionError):
             return None
         inputs = found.get("inputs")
         args = inputs.get("args") if isinstance(inputs, dict) else None
-        call = (module, found.get("function"), line_no, *encode.arguments(args if isinstance(args, list) else []))
+        call = (module, text(found.get("function")), line_no, *encode.arguments(args if isinstance(args, list) else []))
         if found.get("status") == SUCCESS:
             return (*call, SUCCESS, *encode.output(found.get("output"), digest_limit), None, None, None, None)
-        error = found.get("error")
-        return (*call, CRASHED, None, None, None, None, None, None, error, None, None, found.get("traceback"))
+        error = text(found.get("error"))
+        name = (error.split(":")[0] if ": " in error else error).strip(" ") if error else "Exception"
+        return (*call, CRASHED, *[None] * 7, error, name, encode.class_names(name), text(found.get("traceback")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,11 +132,7 @@ def captures_from_log(lines: DataFrame, digest_limit: int = encode.DIGEST_LIMIT)
                 _arrays([r for r in rows if r is not None], CAPTURES.fields), names=CAPTURE_COLUMNS
             )
 
-    found = _braced(lines).select("module", F.col("line_no").cast("bigint"), "line").mapInArrow(run, CAPTURES)
-    crashed = F.col("status") == CRASHED
-    return found.withColumn("error_class", F.when(crashed, error_class(F.col("error")))).withColumn(
-        "error_mro", F.when(crashed, F.array("error_class"))
-    )
+    return _braced(lines).select("module", F.col("line_no").cast("bigint"), "line").mapInArrow(run, CAPTURES)
 
 
 def occurrences(text: Column, mark: str) -> Column:

@@ -45,7 +45,7 @@ def test_log_captures(lines):
     assert sorted(rows) == [1, 2, 3, 4, 6, 11]
     assert (rows[1].arg_json, rows[1].arg_keys, rows[1].out_key) == (["1", '"a"'], ["1", '"a"'], "5")
     assert (rows[3].out_type, rows[3].out_json, rows[3].out_key) == ("float", "NaN", None)
-    assert (rows[2].error_class, rows[2].error_mro) == ("KeyError", ["KeyError"])
+    assert (rows[2].error_class, rows[2].error_mro) == ("KeyError", ["KeyError", "LookupError", "Exception", "BaseException"])
     assert (rows[4].function, rows[4].status) == (None, "crashed")
     assert rows[11].error_class == "Exception"
 
