@@ -31,30 +31,46 @@ _LAST = np.int64(np.iinfo(np.int64).max)
 # --- One bucket: shard transforms and their merge. ---------------------------------------------------------------------
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The stable order of 32-bit keys: one sort of numbers that carry their place in the low half."""
+    packed = keys.astype(np.uint64) << np.uint64(32)
+    packed |= np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    packed &= np.uint64(0xFFFFFFFF)
+    return packed.view(np.int64)
+
+
+def _ended(strings: np.ndarray, length: int) -> np.ndarray:
+    """Strings of up to four symbols, the first in the high byte, with nothing left behind a terminator."""
+    for bits in range(8 * length - 8, 0, -8):
+        strings[(strings >> np.uint32(bits)) & np.uint32(0xFF) == 0] &= np.uint32(0xFFFFFFFF << bits & 0xFFFFFFFF)
+    return strings
+
+
 def shard_transform(text: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array by the first ``depth`` symbols, and the Burrows-Wheeler transform, of one shard.
 
     ``text``: segments with a terminator 0 after each; ``lengths``: with the terminator. Nothing behind a terminator
-    counts. An item of the transform has the two symbols before the suffix, the nearer one in the low byte; before the
+    counts. An item of the transform has the four symbols before the suffix, the nearest one in the low byte; before the
     first symbol of a segment comes its terminator.
     """
     n = len(text)
     stops = np.cumsum(lengths)
     left = np.repeat(stops - 1, lengths) - np.arange(n)
-    padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
-    eights = np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(">u8").ravel().astype(np.uint64)
-    keys = []
-    for start in range(0, depth, 8):
-        width = min(8, depth - start)
-        shown = np.clip(left - start, 0, width).astype(np.uint64)
-        cut = (np.uint64(8) - shown) * np.uint64(8)
-        word = eights[start : start + n]
-        keys.append(np.where(shown > 0, (word >> np.minimum(cut, np.uint64(56))) << np.minimum(cut, np.uint64(56)), np.uint64(0)))
-    order = np.lexsort(keys[::-1])
+    padded = np.concatenate([text, np.zeros(depth + 4, np.uint8)])
+    fours = _ended(np.lib.stride_tricks.sliding_window_view(padded, 4).copy().view(">u4").ravel().astype(np.uint32), 4)
+    order = np.arange(n)
+    for start in range((depth - 1) // 4 * 4, -1, -4):
+        # Strings of four do not reach past a terminator; those that begin behind it do not count.
+        keys = np.where(left >= start, fours[start : start + n], np.uint32(0))
+        if start + 4 > depth:
+            keys &= np.uint32(0xFFFFFFFF << 8 * (start + 4 - depth) & 0xFFFFFFFF)
+        order = order[_order(keys[order])]
     previous = np.arange(-1, n - 1)
     previous[stops - lengths] = stops - 1
-    before = text[previous].astype(np.uint16)
-    return order, (before[previous] << np.uint16(8) | before)[order]
+    near = text[previous].astype(np.uint32)
+    near |= near[previous] << np.uint32(8)
+    return order, (near | near[previous[previous]] << np.uint32(16))[order]
 
 
 def merged_intervals(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,32 +79,29 @@ def merged_intervals(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
     The transforms lie one after the other; ``order`` lists places in them and so is the interleave: it says from which
     shard the next suffix comes, and within a shard places only grow. It begins with shard after shard. In each round the
     symbols of the transforms are read in the order of the interleave and the suffixes dealt out by them, which sorts by
-    two symbols more (by one in the first round of an odd ``depth``); the place a suffix goes to in its shard is known
-    from the shard's transform alone. A border that a round opens separates suffixes that differ in the symbols sorted by
-    so far, so after all rounds an interval holds the suffixes with a common prefix of ``depth`` or more.
+    four symbols more (by what fours leave over in the first round); the place a suffix goes to in its shard is known
+    from the shard's transform alone, and what the dealt symbols are is the same in all rounds. A border that a round
+    opens separates suffixes that differ in the symbols sorted by so far, so after all rounds an interval holds the
+    suffixes with a common prefix of ``depth`` or more.
     """
     symbols = np.concatenate(transforms)
     n = len(symbols)
     edges = np.concatenate([[0], np.cumsum([len(t) for t in transforms])]).tolist()
-
-    def last_to_first(read: np.ndarray) -> np.ndarray:
-        out = np.empty(n, np.int32)
-        for a, b in zip(edges[:-1], edges[1:]):
-            out[a + np.argsort(read[a:b], kind="stable")] = np.arange(a, b, dtype=np.int32)
-        return out
-
-    # What is behind a terminator does not count, so with it first the second symbol does not either.
-    pairs = np.where(symbols > 0xFF, symbols, np.uint16(0))
-    steps = [(symbols & np.uint16(0xFF), 1)] if depth % 2 else []
     order, interval = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
-    for added, rounds in [*steps, (pairs, depth // 2)]:
-        follows = last_to_first(added)
+    for length, rounds in ((depth % 4, 1), (4, depth // 4)):
+        if not length or not rounds:
+            continue
+        added = _ended(symbols & np.uint32((1 << 8 * length) - 1), length)
+        follows = np.empty(n, np.int32)
+        for a, b in zip(edges[:-1], edges[1:]):
+            follows[a + _order(added[a:b])] = np.arange(a, b, dtype=np.int32)
+        dealt_symbols = np.sort(added)
+        other, goes_on = dealt_symbols[1:] != dealt_symbols[:-1], dealt_symbols[1:] & np.uint32(0xFF) != 0
         for _ in range(rounds):
-            read = added[order]
-            dealt = np.argsort(read, kind="stable")
-            read, interval = read[dealt], interval[dealt]
+            dealt = _order(added[order])
+            interval = interval[dealt]
             border = np.zeros(n, bool)
-            border[1:] = (read[1:] != read[:-1]) | ((interval[1:] != interval[:-1]) & (read[1:] & np.uint16(0xFF) != 0))
+            border[1:] = other | ((interval[1:] != interval[:-1]) & goes_on)
             interval = np.cumsum(border, dtype=np.int32)
             order = follows[order[dealt]]
     return order, interval
