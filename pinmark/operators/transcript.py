@@ -32,9 +32,11 @@ def last_message(
 
 
 def is_terminated(messages: DataFrame, marker: str, **columns: str) -> DataFrame:
-    """Whether the last spoken message holds the approval marker."""
+    """Whether the last spoken message holds the approval marker; of a text only the marker is exchanged."""
+    text = columns.get("text", "text")
+    held = F.when(F.contains(text, F.lit(marker)), F.lit(marker)).otherwise(F.lit(""))
+    last = last_message(messages.withColumn(text, held), **columns)
     done = F.coalesce(F.contains("last_text", F.lit(marker)), F.lit(False))
-    last = last_message(messages, **columns)
     return last.select(last.columns[0], done.alias("terminated"))
 
 
