@@ -206,6 +206,27 @@ def test_lines(spark, docs, empty, least):
     assert lines.line_dedup(empty, least=least).count() == 0
 
 
+@pytest.mark.parametrize("least, words", [(1, 4), (3, 4), (3, 6), (4, 8)])
+def test_short_runs_of_many_words(spark, docs, empty, least, words):
+    table = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    more = [(100, "p q r\ns t u\nv"), (101, "p q r\ns t u\nw"), (102, "one two three four five\nv"), (103, "a b c d e f g h\n1\na b c d e f g h")]
+    table = table.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id bigint, text string"))
+    seen, expected = set(), []
+    for i, text in sorted(rows_of(table)):
+        split, gone = text.split("\n"), set()
+        for p in range(len(split)):
+            for run in (tuple(split[p : p + d]) for d in range(1, least + 1) if p + d <= len(split)):
+                if len(run) < least and len(re.findall(WORD, "\n".join(run))) < words:
+                    continue
+                gone |= set(range(p, p + len(run))) if run in seen else set()
+                seen.add(run)
+        runs = sum(p - 1 not in gone for p in gone)
+        expected.append((i, len(split), len(gone), runs, "\n".join(x for p, x in enumerate(split) if p not in gone)))
+    found = lines.line_dedup(table, least=least, words=words)
+    assert in_order(map(tuple, found.collect())) == in_order(expected)
+    assert lines.line_dedup(empty, least=least, words=words).count() == 0
+
+
 def test_pieces(docs, empty):
     sentencepiece = pytest.importorskip("sentencepiece")
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
