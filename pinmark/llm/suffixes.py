@@ -25,6 +25,9 @@ BLOCK_CHARS = 4 << 20
 #: Bytes of text for each bucket that shards are merged in.
 BUCKET_CHARS = 4 << 20
 
+#: One in so many bytes of a bucket is what the strings under one gram may take before they are dealt by themselves.
+HOT_SHARE = 4
+
 _LAST = np.int64(np.iinfo(np.int64).max)
 
 
@@ -191,6 +194,27 @@ def _unpacked(cell: pa.Scalar, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(cell.as_buffer(), np.uint8), count=n).astype(bool)
 
 
+def _named(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int) -> list[bytes]:
+    """For each block (grams, shared in it, bytes of their strings): bits of the grams that several texts have, then of the hot.
+
+    A gram is hot if the strings under it take more than ``most`` bytes in all blocks together.
+    """
+    keys, shared, chars = (np.concatenate(c) for c in zip(*blocks))
+    different, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
+    any_shared, total = np.zeros(len(different), bool), np.zeros(len(different), np.int64)
+    any_shared[place[shared]] = True
+    np.add.at(total, place, chars)
+    several, hot = ((counts > 1) | any_shared)[place], (total > most)[place]
+    edges = np.concatenate([[0], np.cumsum([len(b[0]) for b in blocks])])
+    return [_bits(several[a:b]) + (_bits(hot[a:b]) if hot[a:b].any() else b"") for a, b in zip(edges[:-1], edges[1:])]
+
+
+def _named_bits(cell: pa.Scalar, n: int) -> tuple[np.ndarray, np.ndarray]:
+    data, half = cell.as_buffer(), -(-n // 8)
+    hot = np.unpackbits(np.frombuffer(data, np.uint8)[half:], count=n).astype(bool) if data.size > half else np.zeros(n, bool)
+    return _unpacked(cell, n), hot
+
+
 def _answer(answers: pa.Table, kind: int) -> list[tuple[int, pa.Scalar, int]]:
     rows = [(b.as_py(), p, s.as_py()) for k, b, p, s in zip(answers.column("kind"), answers.column("bucket"), answers.column("payload"), answers.column("size")) if k.as_py() == kind]
     return sorted(rows, key=lambda r: r[0])
@@ -238,10 +262,17 @@ class _Asked:
         shared[self.name_of_run[self.run_owner != self.run_owner[self.first_run][self.name_of_run]]] = True
         return shared
 
+    def name_chars(self) -> np.ndarray:
+        """For each different least gram the bytes of its strings, runs of them written once; equal ones count each time."""
+        return np.bincount(self.name_of_run, weights=self.run_size + self.block.width, minlength=len(self.names)).clip(max=2**31 - 1).astype(np.int64)
+
     def take_names(self, answers: pa.Table) -> None:
-        """Strings whose least gram is in one text only are done; of equal ones in the block the first is asked for."""
-        parts = [_unpacked(p, n) for _, p, n in _answer(answers, 1)]
-        shared = np.concatenate(parts) if parts else np.zeros(0, bool)
+        """Strings whose least gram is in one text only are done; of equal ones in the block the first is asked for.
+
+        Strings go to the bucket of their least gram, those of a hot gram to that of their own hash: equal ones still meet.
+        """
+        parts = [_named_bits(p, n) for _, p, n in _answer(answers, 1)]
+        shared, hot = (np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, bool), np.zeros(0, bool))
         chosen = np.repeat(shared[self.name_of_run], self.run_size)
         self.asked, least = self.open[chosen], np.repeat(self.names[self.name_of_run], self.run_size)[chosen]
         owners = self.block.owner[self.asked]
@@ -251,6 +282,7 @@ class _Asked:
         self.first_of = first[place]
         self.later = owners > owners[self.first_of]
         sent = np.flatnonzero(self.first_of == np.arange(len(place)))
+        least = np.where(np.repeat(hot[self.name_of_run], self.run_size)[chosen], hashes, least)
         # Runs of places of one bucket are a segment; it ends with the string that begins at its last place.
         buckets = (least[sent] >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(sent), np.int64)
         at = self.asked[sent]
@@ -324,17 +356,20 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
 
     1. Content-defined chunks, one hash each: a chunk that a smaller id has as well is removed as a whole.
     2. Of the strings left, the least gram: equal strings have the same, so a gram that only one text has needs no more.
-    3. Strings left go to the bucket of their least gram, so equal ones meet. There each block is a shard with its own
+    3. Strings left go to the bucket of their least gram, so equal ones meet; where all strings under a gram take more than
+       one in ``HOT_SHARE`` bytes of a bucket, each goes to the bucket of its own hash instead. There each block is a shard with its own
        Burrows-Wheeler transform, and the shards are merged by interleave refinement; intervals with a common prefix of
        ``width`` or more are the equal strings, and the least id in an interval decides.
 
     A block asks for each different chunk, gram and string once, so what is everywhere comes once from each block. Hashes
-    have 64 bits. Buckets and blocks grow in number with the input, not in size.
+    have 64 bits. Buckets and blocks grow in number with the input, not in size, whatever the texts have in common; a string
+    under a hot gram is sent by itself, so it takes more bytes than in a run of neighbours.
     """
     inner = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     chars = inner.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     bits = max(0, (max(1, chars // BUCKET_CHARS) - 1).bit_length())
+    most = BUCKET_CHARS // HOT_SHARE
     dealt = inner.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition("block")
     by_block = dealt.groupBy("block")
 
@@ -363,26 +398,24 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
     def send_names(texts: pa.Table, answers: pa.Table) -> pa.Table:
         asked = _Asked(texts, width, bits)
         asked.take_chunks(answers)
-        shared, (filled, edges) = asked.shared_in_block(), _by_bucket(asked.names, bits)
+        shared, chars, (filled, edges) = asked.shared_in_block(), asked.name_chars(), _by_bucket(asked.names, bits)
         return pa.table(
             {
                 "bucket": pa.array(filled, pa.int64()),
                 "block": pa.array([texts.column("block")[0].as_py()] * len(filled), pa.int64()),
                 "keys": pa.array([asked.names[a:b].tobytes() for a, b in edges], pa.binary()),
                 "rest": pa.array([_bits(shared[a:b]) for a, b in edges], pa.binary()),
+                "chars": pa.array([chars[a:b].astype(np.int32).tobytes() for a, b in edges], pa.binary()),
             }
         )
 
     def answer_names(group: pa.Table) -> pa.Table:
         keys = [np.frombuffer(c.as_buffer(), np.uint64) for c in group.column("keys")]
-        shared = np.concatenate([_unpacked(c, len(k)) for c, k in zip(group.column("rest"), keys)])
-        _, place, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-        any_shared = np.zeros(len(counts), bool)
-        any_shared[place[shared]] = True
-        several = (counts > 1)[place] | any_shared[place]
-        edges = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        rows = zip(group.column("bucket").to_pylist(), group.column("block").to_pylist(), zip(edges[:-1], edges[1:]))
-        return _answers(1, [(bucket, block, _bits(several[a:b]), b - a) for bucket, block, (a, b) in rows])
+        shared = [_unpacked(c, len(k)) for c, k in zip(group.column("rest"), keys)]
+        chars = [np.frombuffer(c.as_buffer(), np.int32) for c in group.column("chars")]
+        payloads = _named(list(zip(keys, shared, chars)), most)
+        rows = zip(group.column("bucket").to_pylist(), group.column("block").to_pylist(), payloads, keys)
+        return _answers(1, [(bucket, block, payload, len(k)) for bucket, block, payload, k in rows])
 
     def send_segments(texts: pa.Table, answers: pa.Table) -> pa.Table:
         asked = _Asked(texts, width, bits)
@@ -437,7 +470,7 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
 
     keyed = "bucket bigint, block bigint, keys binary, rest binary"
     known = by_block.applyInArrow(send_chunks, keyed).groupBy("bucket").applyInArrow(answer_chunks, _ANSWER)
-    names = by_block.cogroup(known.groupBy("block")).applyInArrow(send_names, keyed)
+    names = by_block.cogroup(known.groupBy("block")).applyInArrow(send_names, keyed + ", chars binary")
     known = known.union(names.groupBy("bucket").applyInArrow(answer_names, _ANSWER))
     segments = by_block.cogroup(known.groupBy("block")).applyInArrow(send_segments, keyed + ", lengths binary")
     known = known.union(segments.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(answer_segments, _ANSWER))

@@ -185,6 +185,36 @@ def test_suffixes(docs, empty, monkeypatch, size):
     assert suffixes.remove_repeated_bytes(empty).count() == 0
 
 
+def test_strings_of_a_hot_gram_are_dealt_out():
+    rng, phrase = np.random.default_rng(4), "a phrase that a third of all texts hold in their middle."
+    odd = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    texts = [odd(40) + phrase + odd(40) if i % 3 == 0 else odd(136) for i in range(900)]
+    bits, blocks = 4, []
+    for k in range(3):
+        table = pa.table({"id": pa.array(range(k, 900, 3), pa.int64()), "text": texts[k::3]})
+        # A third of each block's texts, in all blocks.
+        table = pa.concat_tables([table.slice(0, 200), pa.table({"id": pa.array(range(1000 + k, 1300, 3), pa.int64()), "text": [odd(40) + phrase + odd(40) for _ in range(100)]})])
+        blocks.append(suffixes._Asked(table, 50, bits))
+    named = []
+    for b in blocks:
+        owners = [(0, b.chunk_owners().tobytes(), len(b.unique))]
+        b.take_chunks(suffixes._answers(0, [(0, 0, payload, n) for _, payload, n in owners]))
+        named.append((b.names, b.shared_in_block(), b.name_chars()))
+    sizes, met = {}, {}
+    for most in (1 << 30, 2000):
+        total, buckets = Counter(), {}
+        for b, payload in zip(blocks, suffixes._named(named, most)):
+            b.take_names(suffixes._answers(1, [(0, 0, payload, len(b.names))]))
+            for bucket, text, _, _ in b.segments():
+                total[bucket] += len(text)
+                for segment in text.split(b"\0"):
+                    for p in range(len(segment) - 49):
+                        buckets.setdefault(segment[p : p + 50], set()).add(bucket)
+        sizes[most], met[most] = max(total.values()) / sum(total.values()), buckets
+    assert sizes[1 << 30] > 0.3 and sizes[2000] < 0.15
+    assert met[2000].keys() == met[1 << 30].keys() and all(len(x) == 1 for x in met[2000].values())
+
+
 @pytest.mark.parametrize("least", [1, 2, 3, 5])
 def test_lines(spark, docs, empty, least):
     table = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
