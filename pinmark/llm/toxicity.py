@@ -30,9 +30,12 @@ GRADES = 3
 #: Weight of the absolute values of all weights against the mean loss.
 SPARSITY = 2e-5
 
-#: The share of sampled rows that are not toxic which may be flagged.
+#: The share of labelled rows that are not toxic which may be flagged.
 LOSS = 0.002
 
+#: Bins of severities, from 0 to ``GRADES`` - 1, that the limit is chosen from.
+_BINS = 1 << 17
+
 
 def _row_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different words of each row as hashes, how often each occurs, and where each row's begin."""
@@ -82,20 +85,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_ordinal(rows, words, values, grades, width: int, sparsity: float = SPARSITY, steps: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows, words, values, grades, width: int, sparsity: float = SPARSITY, steps: int = 1500, mass: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds by proximal gradient steps with momentum on the mean negative log likelihood.
 
-    The sparse features are given as (row, word, value) triples. Weights are not negative: a word may speak for severity,
+    The sparse features are given as (row, word, value) triples; a row counts ``mass`` times, 1 or more. Weights are not negative: a word may speak for severity,
     but none excuses another, so that a long text does not dilute it. The step that makes weights smaller sets many to 0.
     """
     n, top = len(grades), int(GRADES) - 1
+    mass = np.ones(n) if mass is None else np.asarray(mass, float)
+    total = mass.sum()
     weights, gap = np.zeros(width), np.zeros(top)
-    share = np.clip([(grades <= k).mean() for k in range(top)], 0.02, 0.98)
+    share = np.clip([mass[grades <= k].sum() / total for k in range(top)], 0.02, 0.98)
     cuts = np.log(share / (1 - share))
     gap[0], gap[1:] = cuts[0], np.log(np.maximum(np.diff(cuts), 0.1))
     ahead, ahead_gap, momentum = weights.copy(), gap.copy(), 1.0
     energy = np.bincount(rows, weights=values**2, minlength=n)
-    rate = 4.0 / max(1e-9, np.quantile(energy, 0.9)) if n else 1.0
+    by_energy = np.argsort(energy)
+    rate = 4.0 / max(1e-9, np.interp(0.9 * (total - 1), np.cumsum(mass[by_energy]) - 1, energy[by_energy])) if n else 1.0
     for _ in range(steps):
         theta = np.concatenate([[ahead_gap[0]], ahead_gap[0] + np.cumsum(np.exp(ahead_gap[1:]))])
         strain = np.bincount(rows, weights=values * ahead[words], minlength=n)
@@ -103,8 +109,9 @@ def fit_ordinal(rows, words, values, grades, width: int, sparsity: float = SPARS
         down = np.where(grades > 0, _sigmoid(np.append(theta, 50.0)[np.maximum(grades - 1, 0)] - strain), 0.0)
         likely = np.maximum(up - down, 1e-9)
         d_up, d_down = np.where(grades < top, up * (1 - up), 0) / likely, np.where(grades > 0, down * (1 - down), 0) / likely
-        slope = (d_up - d_down) / n  # by the strain
-        d_theta = np.array([(d_down[grades == k + 1].sum() - d_up[grades == k].sum()) / n for k in range(top)])
+        d_up, d_down = d_up * mass / total, d_down * mass / total
+        slope = d_up - d_down  # by the strain
+        d_theta = np.array([d_down[grades == k + 1].sum() - d_up[grades == k].sum() for k in range(top)])
         d_gap = np.concatenate([[d_theta.sum()], [d_theta[k:].sum() * np.exp(ahead_gap[k]) for k in range(1, top)]])
         moved = ahead - rate * np.bincount(words, weights=values * slope[rows], minlength=width)
         fresh = np.maximum(moved - rate * sparsity, 0)
@@ -120,8 +127,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     """A model from at most ``FIT_ROWS`` labelled rows of either kind; rows with a null label or id are not used.
 
     The labels know two kinds only. Toxic rows are graded by how many different marker words they hold, markers being
-    the features. What comes to the driver is bounded: ``WORDS`` words, and for
-    each sampled row its counts of them. Without toxic rows, or without others, every row gets severity 0.
+    the features. The sampled rows of a kind count for all labelled rows of it, so the mix does not depend on the size of
+    the table, and the limit is chosen over all labelled rows. Labels meet ids and severities, not texts, but for the
+    sample's. What comes to the driver is bounded: ``WORDS`` words, for each sampled row its counts of them, and counts by
+    bin of severity. Without toxic rows, or without others, every row gets severity 0.
     """
     marked = labels.where(F.col(toxic).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg((F.max(toxic) > 0).alias("toxic"))
     ordered = F.xxhash64(F.col(id_column)), F.col(id_column)
@@ -138,6 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
                 kind = np.repeat(np.asarray(part.column(0)), np.diff(first))
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(kind)], ["word", "toxic"])
 
+    every = marked.withColumnRenamed(id_column, "__id")
+    totals = {r.toxic: r.n for r in texts.select("id").join(every, F.col("id") == F.col("__id")).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     nothing = Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 40.0), 1.0)
@@ -176,28 +187,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     markers = np.array([len(a) for a in at])
     grades = np.where(is_toxic, 1 + (markers > np.median(markers[is_toxic])), 0).astype(np.int64)
     rows = np.repeat(np.arange(len(held)), [len(a) for a in at])
-    weights, thresholds = fit_ordinal(rows, np.concatenate(at), np.log1p(np.concatenate(counts)), grades, len(words))
+    weights, thresholds = fit_ordinal(rows, np.concatenate(at), np.log1p(np.concatenate(counts)), grades, len(words), mass=np.where(is_toxic, totals[True] / n_toxic, totals[False] / n_clean))
     kept = weights != 0
     model = Ordinal(words[kept], weights[kept], thresholds, 1.0)
-    expected = model.expected(np.bincount(rows, weights=weights[np.concatenate(at)] * np.log1p(np.concatenate(counts)), minlength=len(held)))
-    model.limit = _limit(expected, is_toxic)
+
+    severe = graded(docs, model, id_column, text_column).select("id", "severity")
+    bins = severe.join(every, F.col("id") == F.col("__id")).groupBy(F.floor(F.col("severity") * (_BINS / (GRADES - 1))).alias("bin"))
+    found = bins.agg(F.min("severity").alias("least"), F.max("severity").alias("most"), F.count_if(~F.col("toxic")).alias("clean"), F.count_if("toxic").alias("toxic")).collect()
+    model.limit = _limit(*(np.array(c) for c in zip(*((r.least, r.most, r.clean, r.toxic) for r in found))))
     return model
 
 
-def _limit(expected: np.ndarray, toxic: np.ndarray) -> float:
-    """The severity that flags at most ``LOSS`` of the clean rows and most toxic ones; the middle of a gap if there is one."""
-    order = np.argsort(-expected, kind="stable")
-    lost, caught = np.cumsum(~toxic[order]), np.cumsum(toxic[order])
-    allowed = lost <= LOSS * max(1, (~toxic).sum())
-    distinct = np.append(expected[order][1:] < expected[order][:-1], True)
-    good = np.flatnonzero(allowed & distinct)
+def _limit(least: np.ndarray, most: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> float:
+    """The severity that flags at most ``LOSS`` of the clean rows and most toxic ones; the middle of a gap if there is one.
+
+    Of each bin the least and greatest severity and the number of clean and toxic rows are given; a cut lies between bins.
+    """
+    order = np.argsort(-least, kind="stable")
+    lost, caught = np.cumsum(clean[order]), np.cumsum(toxic[order])
+    good = np.flatnonzero(lost <= LOSS * max(1, clean.sum()))
     if not len(good) or not caught[good].max():
-        return float(expected.max()) + 1e-9
+        return float(most.max()) + 1e-9
     # Of the cuts that catch almost all that can be caught the one that flags fewest clean rows.
     enough = good[caught[good] >= 0.98 * caught[good].max()]
     best = enough[np.lexsort((-caught[enough], lost[enough]))[0]]
-    under = expected[order][best + 1] if best + 1 < len(order) else 0.0
-    return float(expected[order][best] + under) / 2
+    under = most[order][best + 1] if best + 1 < len(order) else 0.0
+    return float(least[order][best] + under) / 2
 
 
 def graded(docs: DataFrame, model: Ordinal, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -344,6 +344,27 @@ def test_toxicity_held_out(spark, docs, empty):
     assert toxicity.graded(docs, model).count() == docs.count() and toxicity.graded(empty, model).count() == 0
 
 
+def test_toxicity_of_a_sample_keeps_the_mix(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    grades = rng.choice(3, 300, p=[0.7, 0.2, 0.1])
+    rows, words = np.repeat(np.arange(300), 3), rng.integers(0, 12, 900) // (1 + np.repeat(grades, 3))
+    mass, values = np.where(grades > 0, 1, 4), np.ones(900)
+    again = np.repeat(np.arange(300), mass)
+    triples = np.repeat(np.arange(len(again)), 3), words.reshape(-1, 3)[again].ravel(), np.ones(3 * len(again))
+    for a, b in zip(toxicity.fit_ordinal(rows, words, values, grades, 12, mass=mass), toxicity.fit_ordinal(*triples, grades[again], 12)):
+        assert np.allclose(a, b, atol=1e-6)
+
+    folder = "/root/testdata/sf0.1"
+    table, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    whole = toxicity.fit(table, labels)
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 450)
+    part = toxicity.fit(table, labels)
+    plain = [m.expected(np.zeros(1))[0] for m in (whole, part)]
+    assert abs(plain[0] - plain[1]) < 0.05
+    marked = toxicity.graded(table, part).join(labels.where("toxic = 0"), F.col("id") == F.col("doc_id"))
+    assert marked.where(F.col("severity") > part.limit).count() <= toxicity.LOSS * marked.count()
+
+
 def test_words_end_with_their_row():
     data, offsets = tokens.text_bytes(pa.array(["ab", None, "c d", ""]))
     found = tokens.split(data, offsets)
