@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licenses, lines, packing, pieces, quality, simhash, suffixes, toxicity, windows
+from . import exact, licenses, lines, packing, pieces, quality, simhash, spelling, suffixes, toxicity, windows
 from .registry import query, table
 from .storage import stored
 
@@ -149,3 +149,44 @@ def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffixes.remove_repeated_bytes(table(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op11_spelling_variants",
+    r"""
+    WITH RECURSIVE powers AS (
+        SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+                                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+        FROM (SELECT unnest(generate_series(0, 255)) AS i)),
+    runs AS (
+        SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)),
+    counted AS (SELECT doc_id, run, count(*) AS times FROM runs GROUP BY ALL),
+    spelt AS (
+        SELECT run, times, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+               lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, unicode(x) - 64] END)) AS bytes
+        FROM counted),
+    hashed AS (
+        SELECT run, times, xor(list_reduce(list_prepend(4294967295, bytes),
+               lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS h
+        FROM spelt, powers),
+    results AS (
+        SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word,
+               times FROM hashed),
+    words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM results WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+    places AS (SELECT word, unnest(generate_series(1, length(word))) AS i FROM words),
+    masks AS (SELECT word, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS mask FROM places),
+    shorter AS (SELECT DISTINCT p.word AS a, w.word AS b FROM places p JOIN words w ON substr(p.word, 1, i - 1) || substr(p.word, i + 1) = w.word),
+    near AS (SELECT a.word AS a, b.word AS b FROM masks a JOIN masks b ON a.mask = b.mask AND a.word <> b.word
+             UNION SELECT a, b FROM shorter UNION SELECT b, a FROM shorter),
+    ranked AS (SELECT a, b, w.n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY w.n DESC, b) AS r
+               FROM near JOIN words w ON w.word = near.b),
+    forms AS (SELECT w.word, CASE WHEN r.n >= 10 * w.n THEN r.b END AS form, w.n, coalesce(r.n_near, 0) AS n_near,
+                     CASE WHEN r.n >= 10 * w.n THEN r.n END AS form_n FROM words w LEFT JOIN ranked r ON r.a = w.word AND r.r = 1),
+    paths AS (SELECT word, word AS root, form AS next FROM forms
+              UNION ALL SELECT p.word, f.word, f.form FROM paths p JOIN forms f ON f.word = p.next)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM paths WHERE next IS NULL) USING (word)
+    """,
+)
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
