@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licenses, lines, packing, pieces, quality, simhash, spelling, suffixes, toxicity, windows
+from . import exact, licenses, lines, packing, pieces, quality, ranking, simhash, spelling, suffixes, toxicity, windows
 from .registry import query, table
 from .storage import stored
 
@@ -190,3 +190,29 @@ def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 )
 def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
+
+
+@query(
+    "op12_ranked_search",
+    r"""
+    WITH terms AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+        FROM documents),
+    sizes AS (SELECT r, doc_id, len(t) AS n FROM terms WHERE len(t) > 0),
+    sums AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+    held AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM terms) GROUP BY ALL),
+    dfs AS (SELECT term, count(*) AS df FROM held GROUP BY term),
+    asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    weights AS (SELECT item_id, term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM asked JOIN dfs USING (term), sums),
+    scored AS (
+        SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+        FROM weights JOIN held USING (term) JOIN sizes USING (r), sums GROUP BY ALL),
+    ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM scored WHERE score > 0)
+    SELECT * FROM ranked WHERE rank <= 50
+    """,
+)
+def ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
