@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licenses, lines, packing, pieces, quality, ranking, simhash, spelling, suffixes, toxicity, windows
+from . import exact, jaccard, licenses, lines, packing, pieces, quality, ranking, simhash, spelling, suffixes, toxicity, windows
 from .registry import query, table
 from .storage import stored
 
@@ -216,3 +216,28 @@ def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
 )
 def ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(
+    "op13_ngram_jaccard",
+    r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+               ELSE list_distinct(list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+        FROM words),
+    tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS m, b.n AS n, count(*) AS c
+                 FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM common WHERE 100 * c >= 85 * (m + n - c)),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, b.b FROM reached r JOIN ways b ON r.other = b.a)
+    SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c.component_id
+    FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) c USING (doc_id)
+    """,
+)
+def ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard.similar_groups(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
