@@ -28,6 +28,12 @@ SIMILARITY = 85
 #: Shingles are filed under slots by their leading bits, in tables whose size does not depend on the input.
 SLOT_BITS = 20
 
+#: Ranges of hashes whose tokens are counted in a set's signature.
+SIGNATURE_BITS = 8
+
+#: Words that are hashed in one go.
+TOGETHER = 1 << 16
+
 #: Shingles that a task counts in one go, and the count from which it tells of one.
 COUNTED = 1 << 21
 FREQUENT = 4
@@ -54,18 +60,37 @@ class _Hashes(dict):
 
 
 def _sets(column: pa.Array, known: _Hashes) -> Iterator[np.ndarray]:
-    """The different shingles of each text as sorted 64-bit hashes; mixed after every word, so equal words keep their places."""
-    for text in column:
-        words = text.as_buffer().to_pybytes().lower().split() if text.is_valid else []
+    """The different shingles of each text as sorted 64-bit hashes; mixed after every word, so that order counts."""
+
+    def cut(texts: list[list[bytes]]) -> Iterator[np.ndarray]:
+        words = [w for text in texts for w in text]
         hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        width = min(len(words), SHINGLE)
-        if not width:
-            yield hashes
-            continue
-        mixed = np.full(len(words) - width + 1, _SEEDS[width], np.uint64)
-        for i in range(width):
-            mixed = mix(mixed + hashes[i : len(words) - width + 1 + i])
-        yield np.unique(mixed)
+        places = max(0, len(words) - SHINGLE + 1)
+        mixed = np.full(places, _SEEDS[SHINGLE], np.uint64)
+        for i in range(SHINGLE):
+            mixed = mix(mixed + hashes[i : places + i])
+        begin = 0
+        for text in texts:
+            size, end = len(text), begin + len(text)
+            if size >= SHINGLE:
+                yield np.unique(mixed[begin : end - SHINGLE + 1])
+            elif size:
+                whole = _SEEDS[size : size + 1]
+                for i in range(begin, end):
+                    whole = mix(whole + hashes[i])
+                yield whole
+            else:
+                yield hashes[:0]
+            begin = end
+
+    held, size = [], 0
+    for text in column:
+        held.append(text.as_buffer().to_pybytes().lower().split() if text.is_valid else [])
+        size += len(held[-1])
+        if size > TOGETHER:
+            yield from cut(held)
+            held, size = [], 0
+    yield from cut(held)
 
 
 def _named(tokens: np.ndarray) -> tuple[int, int]:
@@ -81,43 +106,69 @@ def _kind(texts: DataFrame) -> str:
     return texts.schema["id"].dataType.simpleString()
 
 
-def measured(texts: DataFrame) -> DataFrame:
-    """(id, n, a, b, times) of (id, text): size and name of each row's set; and, where ``times`` is set, frequent tokens a.
+def _signature(tokens: np.ndarray) -> bytes | None:
+    """How many tokens lie in each of some ranges of hashes; None where a byte cannot hold a number.
+
+    Two sets share at most the sum of the lesser numbers.
+    """
+    counts = np.bincount((tokens >> np.uint64(64 - SIGNATURE_BITS)).astype(np.int64), minlength=1 << SIGNATURE_BITS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def measured(texts: DataFrame, similarity: int) -> DataFrame:
+    """Of (id, text), one row for each text: id, n, a, b, signature, the size and the name of its set; and two more kinds.
 
-    A task tells of tokens that are frequent in a run of its rows. They only serve the order of tokens.
+    Rows with ``times`` tell of tokens ``a`` that are frequent in a run of rows; they only serve the order of tokens. Rows
+    without ``a`` sum up, for light enough sets of size ``n``, how long the lists of their first tokens are: ``lists`` for
+    rare tokens, and ``shares``, as parts of all rows, for frequent ones.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = _Hashes(), [], 0
+        known, held, size, kind = _Hashes(), [], 0, None
 
-        def frequent(kind: pa.DataType) -> pa.RecordBatch:
+        def told() -> pa.RecordBatch:
             tokens, times = np.unique(np.concatenate(held), return_counts=True)
-            chosen = times >= FREQUENT
-            tokens, times = tokens[chosen].view(np.int64), times[chosen]
-            none = pa.nulls(len(tokens), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.nulls(len(tokens), kind), none, pa.array(tokens), none, pa.array(times)], names)
+            costs = np.zeros((LARGEST_LIGHT + 1, 2))
+            for one in held:
+                n = len(one)
+                if n <= LARGEST_LIGHT and has_partners(n, similarity):
+                    first = _spare(n, similarity)
+                    lengths = np.partition(times[np.searchsorted(tokens, one)], first)[: first + 1]
+                    often = lengths >= FREQUENT
+                    costs[n] += lengths[~often].sum(), lengths[often].sum() / len(held)
+            sizes = np.flatnonzero(costs.any(axis=1))
+            often = times >= FREQUENT
+            tokens, times = tokens[often].view(np.int64), times[often]
+            no, also = pa.nulls(len(tokens)), pa.nulls(len(sizes))
+            columns = zip(
+                (no, no, pa.array(tokens), no, no, pa.array(times), no, no),
+                (also, pa.array(sizes), also, also, also, also, pa.array(costs[sizes, 0]), pa.array(costs[sizes, 1])),
+                kinds(),
+            )
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([x.cast(t), y.cast(t)]) for x, y, t in columns], names)
+
+        def kinds() -> list[pa.DataType]:
+            return [kind, *[pa.int64()] * 3, pa.binary(), pa.int64(), pa.float64(), pa.float64()]
 
-        kind = None
         for batch in batches:
             kind = batch.schema.field(0).type
-            n, a, b = [], [], []
+            rows = []
             for tokens in _sets(batch.column(1), known):
-                name = _named(tokens)
-                n.append(len(tokens))
-                a.append(name[0])
-                b.append(name[1])
+                rows.append((len(tokens), *_named(tokens), _signature(tokens)))
                 held.append(tokens)
                 size += len(tokens)
                 if size > COUNTED:
-                    yield frequent(kind)
+                    yield told()
                     held, size = [], 0
-            numbers = [pa.array(x, pa.int64()) for x in (n, a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.nulls(batch.num_rows, pa.int64())], names)
+            found = [pa.array(c, t) for c, t in zip(zip(*rows), kinds()[1:])] if rows else [pa.nulls(0, t) for t in kinds()[1:5]]
+            rest = [pa.nulls(batch.num_rows, t) for t in kinds()[5:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found, *rest], names)
         if held:
-            yield frequent(kind)
+            yield told()
 
-    names = ["id", "n", "a", "b", "times"]
-    return texts.mapInArrow(work, f"id {_kind(texts)}, n bigint, a bigint, b bigint, times bigint")
+    names = ["id", "n", "a", "b", "signature", "times", "lists", "shares"]
+    schema = f"id {_kind(texts)}, n bigint, a bigint, b bigint, signature binary, times bigint, lists double, shares double"
+    return texts.mapInArrow(work, schema)
 
 
 def token_levels(frequent: DataFrame) -> bytes:
@@ -152,32 +203,24 @@ def has_partners(size: int, similarity: int) -> bool:
     return 100 * size >= similarity * (size + 1)
 
 
-def boundary(texts: DataFrame, levels: bytes, similarity: int) -> int:
+def boundary(told: DataFrame, similarity: int) -> int:
     """The largest size of a light set: up to it pairs of tokens, beyond it inverted lists, at the least cost in total.
 
-    The cost of a light set is its number of pairs, that of a heavy one its first tokens and the length of their lists, by
-    the levels of tokens. Costs are summed up for each size; one row for each size up to ``LARGEST_LIGHT`` leaves Spark.
+    The cost of a light set is its number of pairs, that of a heavy one its first tokens and the length of their lists. Costs
+    are summed up for each size; one row for each size up to ``LARGEST_LIGHT`` leaves Spark.
     """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table, costs = _Hashes(), np.frombuffer(levels, np.uint8), np.zeros((LARGEST_LIGHT + 1, 2))
-        for batch in batches:
-            for tokens in _sets(batch.column(0), known):
-                size = len(tokens)
-                if size <= LARGEST_LIGHT and has_partners(size, similarity):
-                    spare = _spare(size, similarity)
-                    lists = np.exp2(_level(_first(tokens, table, spare + 1), table).astype(float))
-                    costs[size] += (spare + 2) * (spare + 1) / 2, (1 + lists).sum()
-        sizes = np.flatnonzero(costs.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(sizes), pa.array(costs[sizes, 0]), pa.array(costs[sizes, 1])], ["size", "light", "heavy"])
-
-    found = texts.select("text").mapInArrow(work, "size bigint, light double, heavy double").groupBy("size").agg(F.sum("light").alias("light"), F.sum("heavy").alias("heavy"))
-    costs = found.toPandas().sort_values("size")
-    if not len(costs):
+    sizes = told.where("times IS NULL").where(F.col("n") <= LARGEST_LIGHT).groupBy("n")
+    found = sizes.agg(F.count("a").alias("sets"), F.sum("lists").alias("lists"), F.sum("shares").alias("shares")).toPandas().fillna(0)
+    found = found[[has_partners(int(n), similarity) for n in found["n"]]].sort_values("n")
+    if not len(found):
         return 0
-    # Light up to each size, heavy from there on.
-    total = costs["light"].cumsum() + costs["heavy"].sum() - costs["heavy"].cumsum()
-    return int(costs["size"].to_numpy()[total.to_numpy().argmin()]) if total.min() < costs["heavy"].sum() else 0
+    rows = told.where("times IS NULL AND a IS NOT NULL").count()
+    first = np.array([_spare(int(n), similarity) + 1 for n in found["n"]])
+    light = found["sets"].to_numpy() * (first + 1) * first / 2
+    heavy = found["sets"].to_numpy() * first + found["lists"].to_numpy() + found["shares"].to_numpy() * rows
+    # Nothing light at all, or light up to each size and heavy from there on.
+    total = np.concatenate([[heavy.sum()], light.cumsum() + heavy.sum() - heavy.cumsum()])
+    return int([0, *found["n"]][total.argmin()])
 
 
 def keys(texts: DataFrame, levels: bytes, light: int, similarity: int) -> DataFrame:
@@ -238,55 +281,58 @@ def shared_keys(filed: DataFrame) -> DataFrame:
     return once.withColumn("alone", alone).where(~F.col("alone") | (F.col("part") > 0)).select("key", "a", "b", "n")
 
 
-def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, tokens): the sets of the classes ``wanted`` (node, least, a, b), one row each.
+def possible(pairs: DataFrame, signatures: DataFrame, similarity: int) -> DataFrame:
+    """Those of the pairs (x, y, m, n: two sets and their sizes) whose signatures leave enough to share."""
 
-    Sets are derived once more from the texts. A table of marks, of fixed size, keeps back most sets that are not asked
-    for, copies among them: what leaves the reading tasks are sets of the row that has a class's smallest id.
-    """
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            known = batch.column(4).is_valid().to_numpy(zero_copy_only=False) & batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+            most = np.minimum(m, n)
+            if known.any():
+                one, other = (np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(c).filter(pa.array(known))]) for c in (4, 5))
+                most[known] = np.minimum(one, other).sum(axis=1, dtype=np.int64)
+            yield batch.select(range(4)).filter(pa.array(100 * most >= similarity * (m + n - most)))
 
-    def mark(a: np.ndarray, least: np.ndarray) -> np.ndarray:
-        return (mix(a.astype(np.int64).view(np.uint64) + mix(least.astype(np.int64).view(np.uint64))) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    one, other = signatures.toDF("x", "one"), signatures.toDF("y", "other")
+    met = pairs.join(one, "x").join(other, "y").select("x", "y", "m", "n", "one", "other")
+    return met.mapInArrow(work, "x bigint, y bigint, m bigint, n bigint")
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = mark(*(batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(slots)], ["slot"])
 
-    hashed = F.xxhash64("id").alias("least")
-    asked = wanted.select("a", F.xxhash64("least").alias("least"))
-    marks = np.zeros(1 << SLOT_BITS, bool)
-    marks[asked.mapInArrow(marked, "slot bigint").distinct().toPandas()["slot"].to_numpy()] = True
+def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, tokens): the sets of the classes ``wanted`` (node, least, a, b), one row each.
+
+    They are read from the texts of the rows that have a class's smallest id. Marks of those ids, in a table of fixed size,
+    keep back nearly all other texts before they are read.
+    """
+    slot = F.shiftrightunsigned(F.xxhash64("id"), 64 - SLOT_BITS).cast("int")
+    marks = np.zeros(1 << SLOT_BITS, np.uint8)
+    marks[wanted.select(F.col("least").alias("id")).select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy()] = 1
     bits = np.packbits(marks).tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, asked_for = _Hashes(), np.unpackbits(np.frombuffer(bits, np.uint8))
+        known, asked = _Hashes(), np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         for batch in batches:
-            least = batch.column(0).to_numpy()
-            names, found = [], []
-            for place, tokens in enumerate(_sets(batch.column(1), known)):
-                name = _named(tokens)
-                if asked_for[mark(np.array(name[:1]), least[place : place + 1])[0]]:
-                    names.append((*name, least[place]))
-                    found.append(tokens.view(np.int64))
-            if found:
-                columns = [pa.array(c, pa.int64()) for c in zip(*names)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int64()))], ["a", "b", "least", "tokens"])
+            held = batch.filter(pa.array(asked[batch.column(1).to_numpy()]))
+            found = list(_sets(held.column(2), known))
+            names = np.array([_named(tokens) for tokens in found], np.int64).reshape(-1, 2)
+            tokens = pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([held.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), tokens], ["hash", "a", "b", "tokens"])
 
-    rows = texts.select(hashed, "text").mapInArrow(work, "a bigint, b bigint, least bigint, tokens array<bigint>")
-    asked = wanted.select("node", "a", "b", F.xxhash64("least").alias("least"))
-    return rows.join(asked, ["a", "b", "least"]).dropDuplicates(["a", "b", "least"]).select("node", "tokens")
+    rows = texts.select(F.xxhash64("id").alias("hash"), slot.alias("slot"), "text").mapInArrow(work, "hash bigint, a bigint, b bigint, tokens array<bigint>")
+    asked = wanted.select("node", "a", "b", F.xxhash64("least").alias("hash"))
+    return rows.join(asked, ["a", "b", "hash"]).dropDuplicates(["a", "b", "hash"]).select("node", "tokens")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Those of the pairs (x, y, m, n: two sets and their sizes) whose sets are similar."""
+    """Those of the pairs (x, y, m, n) whose sets are similar."""
     one, other = sets.toDF("x", "one"), sets.toDF("y", "other")
     met = pairs.join(one, "x").join(other, "y")
     common = F.size(F.array_intersect("one", "other"))
     return met.where(100 * common >= similarity * (F.col("m") + F.col("n") - common)).select("x", "y")
 
 
-def linked(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame | None:
+def linked(members: DataFrame, classes: DataFrame, texts: DataFrame, similarity: int) -> DataFrame | None:
     """(node, root) of all sets with a link; ``members`` (key, node, n) lists the sets under each key they share.
 
     Pairs under a key are never all written out while many are open. A round draws a star: the set with the most shared
@@ -320,7 +366,11 @@ def linked(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame |
                 F.when(F.col("node") < F.col("hub.node"), F.col("hub.n")).otherwise(F.col("n")).alias("n"),
             )
         long_enough = 100 * F.least("m", "n") >= similarity * F.greatest("m", "n")
-        new = stored(similar(drawn.where(long_enough).select("x", "y", "m", "n").distinct(), sets, similarity))
+        drawn = drawn.where(long_enough).select("x", "y", "m", "n").distinct()
+        drawn = stored(possible(drawn, classes.select("node", "signature"), similarity))
+        ends = drawn.select(F.col("x").alias("node")).union(drawn.select("y")).distinct()
+        sets = stored(sets_of(texts, classes.join(ends, "node", "left_semi")))
+        new = stored(similar(drawn, sets, similarity))
         links = new if links is None else links.unionByName(new)
         found = stored(components(links, "x", "y"))
         if whole:
@@ -342,17 +392,14 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     its rows are without one. An empty table gives no rows, other columns are not read.
     """
     texts = _read(docs, id_column, text_column)
-    told = stored(measured(texts))
-    rows = told.where("times IS NULL").select("id", "n", "a", "b")
+    told = stored(measured(texts, similarity))
+    rows = told.where("times IS NULL AND a IS NOT NULL").select("id", "n", "a", "b", "signature")
     levels = token_levels(told.where("times IS NOT NULL").select("a", "times"))
-    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"))
+    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.first("signature").alias("signature"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
-    light = boundary(texts, levels, similarity)
-    filed = shared_keys(keys(texts, levels, light, similarity))
+    filed = shared_keys(keys(texts, levels, boundary(told, similarity), similarity))
     members = stored(filed.join(classes, ["a", "b"]).select("key", "node", "n"))
-    wanted = classes.join(members.select("node").distinct(), "node", "left_semi")
-    sets = stored(sets_of(texts, wanted))
-    found = linked(members, sets, similarity)
+    found = linked(members, classes, texts, similarity)
     if found is None:
         named = classes.withColumn("component", F.col("least"))
     else:
