@@ -28,8 +28,9 @@ SIMILARITY = 85
 #: Shingles are filed under slots by their leading bits, in tables whose size does not depend on the input.
 SLOT_BITS = 20
 
-#: Ranges of hashes whose tokens are counted in a set's signature.
+#: Ranges of hashes whose tokens are counted in a set's signature, and in the short one that goes along with lists.
 SIGNATURE_BITS = 8
+SHORT_BITS = 6
 
 #: Words that are hashed in one go.
 TOGETHER = 1 << 16
@@ -45,8 +46,12 @@ LARGEST_LIGHT = 200
 CROWDED = 1 << 16
 PARTS = 64
 
-#: Stars are drawn until no more than this many pairs for each listed set are open.
-OPEN_PAIRS = 4
+#: Stars are drawn while each leaves at most this part of the open pairs.
+SHRINKING = 0.5
+
+#: Sets of a list that are compared in one block, and rows of blocks that are compared in one go.
+BLOCK = 1 << 12
+COMPARED = 1 << 16
 
 _SEEDS = np.random.default_rng(13).integers(1, 2**63, SHINGLE + 2, dtype=np.uint64)
 
@@ -106,17 +111,17 @@ def _kind(texts: DataFrame) -> str:
     return texts.schema["id"].dataType.simpleString()
 
 
-def _signature(tokens: np.ndarray) -> bytes | None:
+def _signature(tokens: np.ndarray, bits: int) -> bytes | None:
     """How many tokens lie in each of some ranges of hashes; None where a byte cannot hold a number.
 
     Two sets share at most the sum of the lesser numbers.
     """
-    counts = np.bincount((tokens >> np.uint64(64 - SIGNATURE_BITS)).astype(np.int64), minlength=1 << SIGNATURE_BITS)
+    counts = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
 def measured(texts: DataFrame, similarity: int) -> DataFrame:
-    """Of (id, text), one row for each text: id, n, a, b, signature, the size and the name of its set; and two more kinds.
+    """Of (id, text), one row for each text: id, n, a, b, signature, short: size and name of its set; and two more kinds.
 
     Rows with ``times`` tell of tokens ``a`` that are frequent in a run of rows; they only serve the order of tokens. Rows
     without ``a`` sum up, for light enough sets of size ``n``, how long the lists of their first tokens are: ``lists`` for
@@ -141,33 +146,33 @@ def measured(texts: DataFrame, similarity: int) -> DataFrame:
             tokens, times = tokens[often].view(np.int64), times[often]
             no, also = pa.nulls(len(tokens)), pa.nulls(len(sizes))
             columns = zip(
-                (no, no, pa.array(tokens), no, no, pa.array(times), no, no),
-                (also, pa.array(sizes), also, also, also, also, pa.array(costs[sizes, 0]), pa.array(costs[sizes, 1])),
+                (no, no, pa.array(tokens), no, no, no, pa.array(times), no, no),
+                (also, pa.array(sizes), also, also, also, also, also, pa.array(costs[sizes, 0]), pa.array(costs[sizes, 1])),
                 kinds(),
             )
             return pa.RecordBatch.from_arrays([pa.concat_arrays([x.cast(t), y.cast(t)]) for x, y, t in columns], names)
 
         def kinds() -> list[pa.DataType]:
-            return [kind, *[pa.int64()] * 3, pa.binary(), pa.int64(), pa.float64(), pa.float64()]
+            return [kind, *[pa.int64()] * 3, pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.float64()]
 
         for batch in batches:
             kind = batch.schema.field(0).type
             rows = []
             for tokens in _sets(batch.column(1), known):
-                rows.append((len(tokens), *_named(tokens), _signature(tokens)))
+                rows.append((len(tokens), *_named(tokens), _signature(tokens, SIGNATURE_BITS), _signature(tokens, SHORT_BITS)))
                 held.append(tokens)
                 size += len(tokens)
                 if size > COUNTED:
                     yield told()
                     held, size = [], 0
-            found = [pa.array(c, t) for c, t in zip(zip(*rows), kinds()[1:])] if rows else [pa.nulls(0, t) for t in kinds()[1:5]]
-            rest = [pa.nulls(batch.num_rows, t) for t in kinds()[5:]]
+            found = [pa.array(c, t) for c, t in zip(zip(*rows), kinds()[1:])] if rows else [pa.nulls(0, t) for t in kinds()[1:6]]
+            rest = [pa.nulls(batch.num_rows, t) for t in kinds()[6:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *found, *rest], names)
         if held:
             yield told()
 
-    names = ["id", "n", "a", "b", "signature", "times", "lists", "shares"]
-    schema = f"id {_kind(texts)}, n bigint, a bigint, b bigint, signature binary, times bigint, lists double, shares double"
+    names = ["id", "n", "a", "b", "signature", "short", "times", "lists", "shares"]
+    schema = f"id {_kind(texts)}, n bigint, a bigint, b bigint, signature binary, short binary, times bigint, lists double, shares double"
     return texts.mapInArrow(work, schema)
 
 
@@ -281,17 +286,23 @@ def shared_keys(filed: DataFrame) -> DataFrame:
     return once.withColumn("alone", alone).where(~F.col("alone") | (F.col("part") > 0)).select("key", "a", "b", "n")
 
 
+def _most(m: np.ndarray, n: np.ndarray, one: pa.Array, other: pa.Array) -> np.ndarray:
+    """How many tokens sets of m and n tokens share at most, by their signatures where both have one."""
+    most = np.minimum(m, n)
+    known = one.is_valid().to_numpy(zero_copy_only=False) & other.is_valid().to_numpy(zero_copy_only=False)
+    if known.any():
+        both = (np.frombuffer(b"".join(x.filter(pa.array(known)).to_pylist()), np.uint8).reshape(known.sum(), -1) for x in (one, other))
+        most[known] = np.minimum(*both).sum(axis=1, dtype=np.int64)
+    return most
+
+
 def possible(pairs: DataFrame, signatures: DataFrame, similarity: int) -> DataFrame:
     """Those of the pairs (x, y, m, n: two sets and their sizes) whose signatures leave enough to share."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, n = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            known = batch.column(4).is_valid().to_numpy(zero_copy_only=False) & batch.column(5).is_valid().to_numpy(zero_copy_only=False)
-            most = np.minimum(m, n)
-            if known.any():
-                one, other = (np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(c).filter(pa.array(known))]) for c in (4, 5))
-                most[known] = np.minimum(one, other).sum(axis=1, dtype=np.int64)
+            most = _most(m, n, batch.column(4), batch.column(5))
             yield batch.select(range(4)).filter(pa.array(100 * most >= similarity * (m + n - most)))
 
     one, other = signatures.toDF("x", "one"), signatures.toDF("y", "other")
@@ -299,6 +310,65 @@ def possible(pairs: DataFrame, signatures: DataFrame, similarity: int) -> DataFr
     return met.mapInArrow(work, "x bigint, y bigint, m bigint, n bigint")
 
 
+def _compared(block: pa.Table, similarity: int) -> pa.RecordBatch:
+    """Pairs (x, y, m, n) of some whole blocks, sorted by block and size, that may be similar and are not connected yet."""
+    key, low, high, part, node, root, n = (block.column(c).to_numpy() for c in ("key", "low", "high", "part", "node", "root", "n"))
+    short = block.column("short").combine_chunks()
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+    end = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
+    active, ahead, found = np.arange(len(key)), 1, []
+    while len(active):
+        # Sizes grow in a block, so a set that is too short for the one ahead is too short for all behind that.
+        other = active + ahead
+        going = other < end[active]
+        active, other = active[going], other[going]
+        going = 100 * n[active] >= similarity * n[other]
+        active, other = active[going], other[going]
+        open_ = (root[active] != root[other]) & ((low[active] == high[active]) | (part[active] != part[other]))
+        x, y = active[open_], other[open_]
+        if len(x):
+            most = _most(n[x], n[y], short.take(pa.array(x)), short.take(pa.array(y)))
+            kept = 100 * most >= similarity * (n[x] + n[y] - most)
+            found.append((x[kept], y[kept]))
+        ahead += 1
+    x, y = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else ((), ())))
+    first = node[x] < node[y]
+    x, y = np.where(first, x, y), np.where(first, y, x)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (node[x], node[y], n[x], n[y])], ["x", "y", "m", "n"])
+
+
+def compared(open_: DataFrame, short: DataFrame, similarity: int) -> DataFrame:
+    """(x, y, m, n): the pairs under a key that may be similar and are in different components, by short signatures.
+
+    A long list is cut into parts, and every two parts make a block, so a block is bounded and a list of any length is
+    shared by many tasks. Pairs are compared inside the tasks; only those that may be similar leave them.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size < COMPARED:
+                continue
+            table = pa.Table.from_batches(held)
+            names = np.stack([table.column(c).to_numpy() for c in ("key", "low", "high")])
+            last = np.flatnonzero((names != names[:, -1:]).any(axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield _compared(table.slice(0, cut), similarity)
+            held, size = table.slice(cut).to_batches(), table.num_rows - cut
+        if held:
+            yield _compared(pa.Table.from_batches(held), similarity)
+
+    sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    placed = open_.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    blocks = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(short, "node")
+    blocks = blocks.select("key", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "node", "root", "n", "short")
+    ordered = blocks.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n")
+    return ordered.mapInArrow(work, "x bigint, y bigint, m bigint, n bigint").distinct()
+
+
 def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, tokens): the sets of the classes ``wanted`` (node, least, a, b), one row each.
 
@@ -335,48 +405,41 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 def linked(members: DataFrame, classes: DataFrame, texts: DataFrame, similarity: int) -> DataFrame | None:
     """(node, root) of all sets with a link; ``members`` (key, node, n) lists the sets under each key they share.
 
-    Pairs under a key are never all written out while many are open. A round draws a star: the set with the most shared
-    keys, which the others of a group of copies resemble most, is compared with the rest of its key. What is connected
-    then need not be compared. A set that was the middle of a star leaves its key, so every pair is either compared or
-    connected in the end. When few pairs are open, they are compared at once.
+    The pairs under a key are never written out. A round draws a star: the set with the most shared keys, which the others
+    of a group of copies resemble most, is compared with the rest of its key. What is connected then need not be compared,
+    and the middle of a star leaves its key, so every pair is either compared or connected in the end. When stars do not
+    connect much any more, what is open is compared inside tasks.
     """
     shares = members.groupBy("node").agg(F.count("*").alias("share"))
     open_ = stored(members.join(shares, "node").select("key", "node", "n", "share", F.col("node").alias("root")))
-    links, found = None, None
+    links, found, before = None, None, None
     while True:
-        size = open_.count()
         # Pairs of sets in different components under a key, from counts of its components.
-        parts = open_.groupBy("key", "root").agg(F.count("*").alias("c"))
+        parts = open_.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
         per_key = parts.groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("pairs"))
-        pairs = (per_key.agg(F.sum(F.col("pairs").cast("double"))).first()[0] or 0) / 2
+        pairs = per_key.agg(F.sum("pairs")).first()[0] or 0
         if not pairs:
             return found
-        whole = pairs <= OPEN_PAIRS * size
-        if whole:
-            one = open_.select("key", F.col("node").alias("x"), F.col("n").alias("m"), F.col("root").alias("root_x"))
-            other = open_.select("key", F.col("node").alias("y"), "n", F.col("root").alias("root_y"))
-            drawn = one.join(other, "key").where((F.col("x") < F.col("y")) & (F.col("root_x") != F.col("root_y")))
+        last = before is not None and pairs > SHRINKING * before
+        before = pairs
+        if last:
+            drawn = compared(open_, classes.select("node", "short"), similarity)
         else:
             middle = open_.groupBy("key").agg(F.max(F.struct("share", "node", "n", "root")).alias("hub"))
-            met = open_.join(middle, "key").where(F.col("node") != F.col("hub.node"))
-            drawn = met.where(F.col("root") != F.col("hub.root")).select(
-                F.least("node", "hub.node").alias("x"),
-                F.greatest("node", "hub.node").alias("y"),
-                F.when(F.col("node") < F.col("hub.node"), F.col("n")).otherwise(F.col("hub.n")).alias("m"),
-                F.when(F.col("node") < F.col("hub.node"), F.col("hub.n")).otherwise(F.col("n")).alias("n"),
-            )
-        long_enough = 100 * F.least("m", "n") >= similarity * F.greatest("m", "n")
-        drawn = drawn.where(long_enough).select("x", "y", "m", "n").distinct()
+            rest = open_.join(middle, "key").where(F.col("node") != F.col("hub.node"))
+            sizes = F.array_sort(F.array(F.struct("node", "n"), F.struct(F.col("hub.node").alias("node"), F.col("hub.n").alias("n"))))
+            drawn = rest.where(F.col("root") != F.col("hub.root")).select(sizes.alias("s"))
+            drawn = drawn.selectExpr("s[0].node AS x", "s[1].node AS y", "s[0].n AS m", "s[1].n AS n")
+            drawn = drawn.where(100 * F.least("m", "n") >= similarity * F.greatest("m", "n")).distinct()
         drawn = stored(possible(drawn, classes.select("node", "signature"), similarity))
         ends = drawn.select(F.col("x").alias("node")).union(drawn.select("y")).distinct()
         sets = stored(sets_of(texts, classes.join(ends, "node", "left_semi")))
         new = stored(similar(drawn, sets, similarity))
         links = new if links is None else links.unionByName(new)
         found = stored(components(links, "x", "y"))
-        if whole:
+        if last:
             return found
-        named = found.toDF("node", "now")
-        rest = met.select("key", "node", "n", "share").join(named, "node", "left")
+        rest = rest.select("key", "node", "n", "share").join(found.toDF("node", "now"), "node", "left")
         rest = stored(rest.select("key", "node", "n", "share", F.coalesce("now", "node").alias("root")))
         several = rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         open_ = stored(rest.join(several.select("key"), "key", "left_semi"))
@@ -393,9 +456,9 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     texts = _read(docs, id_column, text_column)
     told = stored(measured(texts, similarity))
-    rows = told.where("times IS NULL AND a IS NOT NULL").select("id", "n", "a", "b", "signature")
+    rows = told.where("times IS NULL AND a IS NOT NULL").select("id", "n", "a", "b", "signature", "short")
     levels = token_levels(told.where("times IS NOT NULL").select("a", "times"))
-    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.first("signature").alias("signature"))
+    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.first("signature").alias("signature"), F.first("short").alias("short"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
     filed = shared_keys(keys(texts, levels, boundary(told, similarity), similarity))
     members = stored(filed.join(classes, ["a", "b"]).select("key", "node", "n"))
