@@ -28,9 +28,8 @@ SIMILARITY = 85
 #: Shingles are filed under slots by their leading bits, in tables whose size does not depend on the input.
 SLOT_BITS = 20
 
-#: Ranges of hashes whose tokens are counted in a set's signature, and in the short one that goes along with lists.
+#: Ranges of hashes whose tokens are counted in a set's signature.
 SIGNATURE_BITS = 8
-SHORT_BITS = 6
 
 #: Words that are hashed in one go.
 TOGETHER = 1 << 16
@@ -111,17 +110,17 @@ def _kind(texts: DataFrame) -> str:
     return texts.schema["id"].dataType.simpleString()
 
 
-def _signature(tokens: np.ndarray, bits: int) -> bytes | None:
+def _signature(tokens: np.ndarray) -> bytes | None:
     """How many tokens lie in each of some ranges of hashes; None where a byte cannot hold a number.
 
     Two sets share at most the sum of the lesser numbers.
     """
-    counts = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    counts = np.bincount((tokens >> np.uint64(64 - SIGNATURE_BITS)).astype(np.int64), minlength=1 << SIGNATURE_BITS)
     return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
 
 
 def measured(texts: DataFrame, similarity: int) -> DataFrame:
-    """Of (id, text), one row for each text: id, n, a, b, signature, short: size and name of its set; and two more kinds.
+    """Of (id, text), one row for each text: id, n, a, b, signature, the size and the name of its set; and two more kinds.
 
     Rows with ``times`` tell of tokens ``a`` that are frequent in a run of rows; they only serve the order of tokens. Rows
     without ``a`` sum up, for light enough sets of size ``n``, how long the lists of their first tokens are: ``lists`` for
@@ -146,33 +145,33 @@ def measured(texts: DataFrame, similarity: int) -> DataFrame:
             tokens, times = tokens[often].view(np.int64), times[often]
             no, also = pa.nulls(len(tokens)), pa.nulls(len(sizes))
             columns = zip(
-                (no, no, pa.array(tokens), no, no, no, pa.array(times), no, no),
-                (also, pa.array(sizes), also, also, also, also, also, pa.array(costs[sizes, 0]), pa.array(costs[sizes, 1])),
+                (no, no, pa.array(tokens), no, no, pa.array(times), no, no),
+                (also, pa.array(sizes), also, also, also, also, pa.array(costs[sizes, 0]), pa.array(costs[sizes, 1])),
                 kinds(),
             )
             return pa.RecordBatch.from_arrays([pa.concat_arrays([x.cast(t), y.cast(t)]) for x, y, t in columns], names)
 
         def kinds() -> list[pa.DataType]:
-            return [kind, *[pa.int64()] * 3, pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.float64()]
+            return [kind, *[pa.int64()] * 3, pa.binary(), pa.int64(), pa.float64(), pa.float64()]
 
         for batch in batches:
             kind = batch.schema.field(0).type
             rows = []
             for tokens in _sets(batch.column(1), known):
-                rows.append((len(tokens), *_named(tokens), _signature(tokens, SIGNATURE_BITS), _signature(tokens, SHORT_BITS)))
+                rows.append((len(tokens), *_named(tokens), _signature(tokens)))
                 held.append(tokens)
                 size += len(tokens)
                 if size > COUNTED:
                     yield told()
                     held, size = [], 0
-            found = [pa.array(c, t) for c, t in zip(zip(*rows), kinds()[1:])] if rows else [pa.nulls(0, t) for t in kinds()[1:6]]
-            rest = [pa.nulls(batch.num_rows, t) for t in kinds()[6:]]
+            found = [pa.array(c, t) for c, t in zip(zip(*rows), kinds()[1:])] if rows else [pa.nulls(0, t) for t in kinds()[1:5]]
+            rest = [pa.nulls(batch.num_rows, t) for t in kinds()[5:]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *found, *rest], names)
         if held:
             yield told()
 
-    names = ["id", "n", "a", "b", "signature", "short", "times", "lists", "shares"]
-    schema = f"id {_kind(texts)}, n bigint, a bigint, b bigint, signature binary, short binary, times bigint, lists double, shares double"
+    names = ["id", "n", "a", "b", "signature", "times", "lists", "shares"]
+    schema = f"id {_kind(texts)}, n bigint, a bigint, b bigint, signature binary, times bigint, lists double, shares double"
     return texts.mapInArrow(work, schema)
 
 
@@ -313,7 +312,7 @@ def possible(pairs: DataFrame, signatures: DataFrame, similarity: int) -> DataFr
 def _compared(block: pa.Table, similarity: int) -> pa.RecordBatch:
     """Pairs (x, y, m, n) of some whole blocks, sorted by block and size, that may be similar and are not connected yet."""
     key, low, high, part, node, root, n = (block.column(c).to_numpy() for c in ("key", "low", "high", "part", "node", "root", "n"))
-    short = block.column("short").combine_chunks()
+    signature = block.column("signature").combine_chunks()
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
     end = np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
     active, ahead, found = np.arange(len(key)), 1, []
@@ -327,18 +326,21 @@ def _compared(block: pa.Table, similarity: int) -> pa.RecordBatch:
         open_ = (root[active] != root[other]) & ((low[active] == high[active]) | (part[active] != part[other]))
         x, y = active[open_], other[open_]
         if len(x):
-            most = _most(n[x], n[y], short.take(pa.array(x)), short.take(pa.array(y)))
+            most = _most(n[x], n[y], signature.take(pa.array(x)), signature.take(pa.array(y)))
             kept = 100 * most >= similarity * (n[x] + n[y] - most)
             found.append((x[kept], y[kept]))
         ahead += 1
     x, y = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else ((), ())))
     first = node[x] < node[y]
     x, y = np.where(first, x, y), np.where(first, y, x)
+    # Sets that share several keys met under each of them.
+    _, once = np.unique(np.stack([node[x], node[y]]), axis=1, return_index=True)
+    x, y = x[once], y[once]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (node[x], node[y], n[x], n[y])], ["x", "y", "m", "n"])
 
 
-def compared(open_: DataFrame, short: DataFrame, similarity: int) -> DataFrame:
-    """(x, y, m, n): the pairs under a key that may be similar and are in different components, by short signatures.
+def compared(open_: DataFrame, signatures: DataFrame, similarity: int) -> DataFrame:
+    """(x, y, m, n): the pairs under a key that may be similar and are in different components, by their signatures.
 
     A long list is cut into parts, and every two parts make a block, so a block is bounded and a list of any length is
     shared by many tasks. Pairs are compared inside the tasks; only those that may be similar leave them.
@@ -363,8 +365,8 @@ def compared(open_: DataFrame, short: DataFrame, similarity: int) -> DataFrame:
 
     sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     placed = open_.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    blocks = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(short, "node")
-    blocks = blocks.select("key", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "node", "root", "n", "short")
+    blocks = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(signatures, "node")
+    blocks = blocks.select("key", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "node", "root", "n", "signature")
     ordered = blocks.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n")
     return ordered.mapInArrow(work, "x bigint, y bigint, m bigint, n bigint").distinct()
 
@@ -423,7 +425,7 @@ def linked(members: DataFrame, classes: DataFrame, texts: DataFrame, similarity:
         last = before is not None and pairs > SHRINKING * before
         before = pairs
         if last:
-            drawn = compared(open_, classes.select("node", "short"), similarity)
+            drawn = compared(open_, classes.select("node", "signature"), similarity)
         else:
             middle = open_.groupBy("key").agg(F.max(F.struct("share", "node", "n", "root")).alias("hub"))
             rest = open_.join(middle, "key").where(F.col("node") != F.col("hub.node"))
@@ -431,7 +433,8 @@ def linked(members: DataFrame, classes: DataFrame, texts: DataFrame, similarity:
             drawn = rest.where(F.col("root") != F.col("hub.root")).select(sizes.alias("s"))
             drawn = drawn.selectExpr("s[0].node AS x", "s[1].node AS y", "s[0].n AS m", "s[1].n AS n")
             drawn = drawn.where(100 * F.least("m", "n") >= similarity * F.greatest("m", "n")).distinct()
-        drawn = stored(possible(drawn, classes.select("node", "signature"), similarity))
+            drawn = possible(drawn, classes.select("node", "signature"), similarity)
+        drawn = stored(drawn)
         ends = drawn.select(F.col("x").alias("node")).union(drawn.select("y")).distinct()
         sets = stored(sets_of(texts, classes.join(ends, "node", "left_semi")))
         new = stored(similar(drawn, sets, similarity))
@@ -456,9 +459,9 @@ def similar_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     texts = _read(docs, id_column, text_column)
     told = stored(measured(texts, similarity))
-    rows = told.where("times IS NULL AND a IS NOT NULL").select("id", "n", "a", "b", "signature", "short")
+    rows = told.where("times IS NULL AND a IS NOT NULL").select("id", "n", "a", "b", "signature")
     levels = token_levels(told.where("times IS NOT NULL").select("a", "times"))
-    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.first("signature").alias("signature"), F.first("short").alias("short"))
+    classes = rows.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("least"), F.first("signature").alias("signature"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
     filed = shared_keys(keys(texts, levels, boundary(told, similarity), similarity))
     members = stored(filed.join(classes, ["a", "b"]).select("key", "node", "n"))
