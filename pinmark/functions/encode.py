@@ -166,10 +166,14 @@ def arguments(args) -> tuple:
 
 
 def output(value, limit: int = DIGEST_LIMIT) -> tuple:
-    """(out_type, out_json, out_key, out_double, out_len, out_digest, out_hash); big values keep digest and hash only."""
+    """(out_type, out_json, out_key, out_double, out_len, out_digest, out_hash); big values keep digest and hash only.
+
+    The hash names the whole value, NaN included, where ``out_key`` does not.
+    """
     value, out_type, text, key, nan = described(value)
-    name = None if nan else hashlib.sha256(key.encode("utf-8", "surrogatepass")).hexdigest()
-    if len(text) > limit and value is not None:
+    long = len(text) > limit and value is not None
+    name = hashlib.sha256(key.encode("utf-8", "surrogatepass")).hexdigest() if long or nan else None
+    if long:
         if out_type == "list":
             short = f"[list of {len(value)} items]"
         else:

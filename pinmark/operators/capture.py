@@ -89,7 +89,7 @@ def outcome_columns(
         "out_double": F.when(kept, keys.as_double(value, dtype)),
         "out_len": F.when(ok, length),
         "out_digest": no_text if bounded else F.when(ok, keys.digest(value, dtype, length, digest_limit)),
-        "out_hash": F.when(ok, F.sha2(keys.equality_key(value, dtype), 256)),
+        "out_hash": _whole_hash(value, dtype, length, ok, bounded, digest_limit),
         "error": error,
         "error_class": error_class,
         "error_mro": error_mro,
@@ -97,6 +97,16 @@ def outcome_columns(
     }
 
 
+def _whole_hash(value: Column, dtype: T.DataType, length: Column, ok: Column, bounded: bool, digest_limit: int) -> Column:
+    """SHA-256 of the identity key of outputs that ``out_key`` does not name: long ones, and those that hold NaN."""
+    if bounded and not keys.may_hold_nan(dtype):
+        return F.lit(None).cast("string")
+    unnamed = keys.holds_nan(value, dtype)
+    if not bounded:
+        unnamed = unnamed | (length > digest_limit)
+    return F.when(ok & unnamed, F.sha2(keys.identity_key(value, dtype), 256))
+
+
 Subject = tuple[Outcome, Sequence[Column]]
 
 
@@ -368,8 +378,8 @@ def behaviour_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """What two capture generations of the same calls disagree on, duplicates counted.
 
     Same content as EXCEPT ALL both ways, in one shuffle: both sides are tagged +1 / -1 and summed per behaviour, which
-    also combines repeated calls before they are exchanged. ``behaviour`` is a text to read; outputs are told apart by the
-    hash of their whole value.
+    also combines repeated calls before they are exchanged. ``behaviour`` is a text to read; long
+    outputs and those that hold NaN are told apart by the hash of their whole value, in which NaN is like NaN.
     """
     behaviour = ["module", "function", "arg_keys", "status", "behaviour", "out_hash"]
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import unquoted
-from ..schema import EXPECTATION_COLUMNS, SUCCESS
-from .ordering import dense_index
+from ..schema import EXPECTATION_COLUMNS, IDENTITY, SUCCESS
+from .ordering import dense_index, numbered
 
 ASSERTIONS = ("not_null", "member", "approx", "approx_nan", "is_bool", "equal", "raises")
 
@@ -71,12 +71,11 @@ def member_of(arg_keys: Column, arg_elem_keys: Column, out_key: Column) -> Colum
 
 
 def varying_calls(captures: DataFrame) -> DataFrame:
-    """Calls whose repeated captures do not all agree, by the hash of the whole output; NaN agrees with no other output."""
-    nan = F.col("status").eqNullSafe(SUCCESS) & F.col("out_hash").isNull()
-    calls = captures.groupBy("module", "function", "arg_keys").agg(
-        F.min("out_hash").alias("__low"), F.max("out_hash").alias("__high"), F.coalesce(F.bool_or(nan), F.lit(False)).alias("__nan")
-    )
-    varies = (F.col("__low") != F.col("__high")) | (F.col("__nan") & F.col("__low").isNotNull())
+    """Calls whose repeated captures do not all agree on the whole output, however long it is; NaN agrees with NaN."""
+    whole = F.xxhash64(F.coalesce(*IDENTITY), F.col("status"))
+    captured = captures.where(F.col("status").eqNullSafe(SUCCESS))
+    calls = captured.groupBy("module", "function", "arg_keys").agg(F.min(whole).alias("__low"), F.max(whole).alias("__high"))
+    varies = F.col("__low") != F.col("__high")
     return calls.where(varies).select("module", "function", "arg_keys", F.lit(True).alias("__varies"))
 
 
@@ -148,6 +147,7 @@ def derive_expectations(
         assertion.alias("assertion"),
         F.col("out_json").alias("exp_json"),
         F.col("out_key").alias("exp_key"),
+        F.col("out_hash").alias("exp_hash"),
         F.col("out_double").alias("exp_double"),
         F.when(member, from_list).alias("source_keys"),
         F.when(member & from_list.isNull(), unquoted(source)).alias("source_text"),
@@ -165,6 +165,15 @@ def derive_expectations(
     )
 
 
+def with_seq(captures: DataFrame, order: Sequence[Column | str] = ()) -> DataFrame:
+    """Give captures without ``seq`` their position, by ``order`` or as they are read: then they are cases with a key.
+
+    Positions run over all modules, which is as good: ``case_idx`` counts within its own group. See ``ordering.numbered``.
+    """
+    rest = [c for c in captures.columns if c != "seq"]
+    return numbered(captures.select(*rest), "seq", order).select(*captures.columns)
+
+
 def override_cases(auto: DataFrame, manual: DataFrame, keys=("module", "case_name")) -> DataFrame:
     """Hand-written cases replace derived ones of the same name."""
     return manual.unionByName(auto.join(manual.select(*keys).distinct(), list(keys), "left_anti"))

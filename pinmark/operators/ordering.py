@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 # A block spans 2^21 order values, a region 2^21 blocks; 63 bits of order values make at most 2^22 regions.
 _BITS = 21
 
@@ -47,11 +49,45 @@ def dense_index(df: DataFrame, groups: Sequence[str], order: str, name: str) ->
     )
 
 
+def numbered(df: DataFrame, name: str, order: Sequence[Column | str] = ()) -> DataFrame:
+    """Add the 0-based position of each row among all rows, for tables without an order column that is unique.
+
+    With ``order`` by these columns, rows that are equal in them in some order; else as the rows are read. Two passes and
+    no window over the rows: they are written once, with their place in their task, to the shared folder; sizes of tasks
+    are summed up, and each row adds its place to where its task begins. Only the sizes, one row a task, are ever in one
+    place. As the written rows are read again, the numbers do not change when a task is repeated.
+    """
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place, task, start = f"__{name}_place", f"__{name}_task", f"__{name}_start"
+    # The number holds the task in its upper bits and the place in it in the lower 33.
+    kept = stored(df.withColumn(place, F.monotonically_increasing_id()), "numbered")
+    sizes = kept.groupBy(F.shiftright(place, 33).alias(task)).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy(task).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(task, before.alias(start))
+    at = F.col(start) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    placed = kept.withColumn(task, F.shiftright(place, 33)).join(starts, task)
+    return placed.select(*[F.col(c) for c in df.columns if c != name], at.cast("bigint").alias(name))
+
+
+# Up to this k Spark prunes every task to k rows a group before the exchange.
+_PRUNED = 1000
+_SPREAD = 64
+
+
 def top_k(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], k: int) -> DataFrame:
     """The first ``k`` rows per group.
 
     Spark prunes to ``k`` per group in every task before the exchange (WindowGroupLimit), so a hot group costs ``k``
-    rows per task, not its size. It does so up to spark.sql.optimizer.windowGroupLimitThreshold, 1000 by default.
+    rows per task, not its size. It does so up to spark.sql.optimizer.windowGroupLimitThreshold, 1000 by default; for
+    larger ``k`` a group is first dealt out to ``_SPREAD`` parts, of which each keeps its own first ``k`` rows.
     """
-    rank = F.row_number().over(W.partitionBy(*groups).orderBy(*order))
-    return df.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+
+    def first(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+        return rows.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
+
+    if k <= _PRUNED:
+        return first(df, groups)
+    dealt = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(_SPREAD)))
+    return first(first(dealt, [*groups, "__part"]), groups).drop("__part")

@@ -37,15 +37,18 @@ def suite_rollup(results: DataFrame, suites: DataFrame | None = None) -> DataFra
     """Passed, failed and status per module; no case failed means PASSED, also with no case at all.
 
     ``suites`` (column ``module``) lists what was asked for; a suite without a single result is an ERROR without counts.
+    Asked names and results are counted together, in one exchange of partial counts.
     """
-    counted = results.groupBy("module").agg(
-        F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed")
-    )
+    counts = [F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed")]
     status = F.when(F.col("failed") == 0, F.lit("PASSED")).otherwise(F.lit("FAILED"))
     if suites is None:
-        return counted.withColumn("status", status)
-    asked = suites.select("module").distinct().join(counted, "module", "left")
-    return asked.withColumn("status", F.when(F.col("failed").isNull(), F.lit("ERROR")).otherwise(status))
+        return results.groupBy("module").agg(*counts).withColumn("status", status)
+    no, yes = F.lit(False), F.lit(True)
+    asked = suites.select("module", F.lit(None).cast("boolean").alias("passed"), yes.alias("asked"))
+    both = results.select("module", "passed", no.alias("asked")).unionByName(asked)
+    counted = both.groupBy("module").agg(*counts, F.bool_or("asked").alias("asked"), F.bool_or(~F.col("asked")).alias("ran"))
+    shown = [F.when(F.col("ran"), F.col(c)).alias(c) for c in ("passed", "failed")]
+    return counted.where("asked").select("module", *shown, F.when(F.col("ran"), status).otherwise(F.lit("ERROR")).alias("status"))
 
 
 def total_rollup(suites: DataFrame) -> DataFrame:

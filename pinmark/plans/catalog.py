@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import captures, texts, verification
+from . import captures, observed, texts, verification
 from .registry import ORACLES, QUERIES, Query
 
-_MODULES = (captures, verification, texts)
+_MODULES = (captures, verification, texts, observed)
 
 
 def queries() -> dict[str, Query]:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import python_type
 from ..operators.capture import Outcome, capture_native, replay, with_outcome
 from ..operators.expect import derive_expectations
-from ..operators.verify import judge
+from ..operators.rollup import suite_rollup
+from ..operators.verify import judge, verify
 
 
 def compare_native(
@@ -35,15 +36,12 @@ def compare_native(
     fresh = [c for c in beside.columns if c not in rows.columns]
     captured = capture_native(beside, baseline, args, module=module, function=function, seq=seq, keep=fresh)
     if exact:
-        cases = derive_expectations(captured, index=False, plain=True, keep=[*fresh, "out_type", "out_hash", "out_digest"])
-        judged = judge(cases)
-        same = F.col("out_hash").eqNullSafe(F.col("act_out_hash")) & (
-            F.col("out_hash").isNotNull() | (F.col("exp_json").eqNullSafe(F.col("act_out_json")) & F.col("out_digest").eqNullSafe(F.col("act_out_digest")))
-        )
-        is_bool = (F.col("out_type") == "bool") == (F.col("act_out_type") == "bool")
-        verdict = F.when(same & is_bool, F.lit("ok")).otherwise(F.lit("mismatch"))
-        reason = F.when(F.col("reason").isin("ok", "mismatch") & (F.col("case_kind") == "success"), verdict).otherwise(F.col("reason"))
-        return judged.withColumn("reason", reason).withColumn("passed", F.col("reason") == "ok").drop("out_type", "out_hash", "out_digest")
+        cases = derive_expectations(captured, index=False, plain=True, keep=[*fresh, "out_type"])
+        judged = judge(cases, exact=True)
+        # A truth value is no number here.
+        kinds = (F.col("out_type") == "bool") == (F.col("act_out_type") == "bool")
+        reason = F.when((F.col("reason") == "ok") & ~F.coalesce(kinds, F.lit(True)), F.lit("mismatch")).otherwise(F.col("reason"))
+        return judged.withColumn("reason", reason).withColumn("passed", F.col("reason") == "ok").drop("out_type")
     typed = rows.withColumns(dict(baseline.given)) if baseline.given else rows
     types = typed.select(baseline.value, *args).schema
     output, *inputs = (python_type(f.dataType) for f in types)
@@ -51,6 +49,29 @@ def compare_native(
     return judge(derive_expectations(captured, index=False, plain=plain, keep=fresh))
 
 
-def replay_python(expectations: DataFrame, functions: Mapping[str, Callable]) -> DataFrame:
+def replay_python(expectations: DataFrame, functions: Mapping[str | tuple[str, str], Callable]) -> DataFrame:
     """Judge Python functions against stored expectations by calling them on the stored arguments."""
     return judge(replay(expectations, functions))
+
+
+def verify_store(
+    spark: SparkSession, table: str, fresh: DataFrame, suites: DataFrame | None = None, exact: bool = False
+) -> DataFrame:
+    """Verdict per suite of all stored suites against fresh captures of any number of modules, in one job.
+
+    The table is bucketed by the case key, so only the fresh captures are exchanged, whatever the number and size of the
+    suites; a module with most of the cases is spread over all buckets. ``suites`` (column ``module``) lists what was asked
+    for: other suites are left out, and one that is not stored is an ERROR.
+    """
+    results = verify(spark.table(table), fresh, exact=exact)
+    return suite_rollup(results, suites)
+
+
+def replay_store(
+    spark: SparkSession, table: str, functions: Mapping[str | tuple[str, str], Callable], suites: DataFrame | None = None
+) -> DataFrame:
+    """Verdict per suite by calling functions on the arguments the suites hold; nothing but partial counts is exchanged.
+
+    ``functions`` by (module, name) where modules share a name.
+    """
+    return suite_rollup(replay_python(spark.table(table), functions), suites)

@@ -25,7 +25,7 @@ OUTCOME_FIELDS = [
     T.StructField("out_double", T.DoubleType()),
     T.StructField("out_len", T.IntegerType()),
     T.StructField("out_digest", T.StringType()),
-    # SHA-256 of the whole equality key, also of outputs that only keep a digest; NULL for a value that holds NaN.
+    # SHA-256 of the whole identity key, NaN like NaN, of outputs without an equality key: long ones, and those with NaN.
     T.StructField("out_hash", T.StringType()),
     T.StructField("error", T.StringType()),
     T.StructField("error_class", T.StringType()),
@@ -49,6 +49,7 @@ EXPECTATIONS = T.StructType(
         T.StructField("assertion", T.StringType()),
         T.StructField("exp_json", T.StringType()),
         T.StructField("exp_key", T.StringType()),
+        T.StructField("exp_hash", T.StringType()),
         T.StructField("exp_double", T.DoubleType()),
         T.StructField("source_keys", _STRINGS),
         T.StructField("source_text", T.StringType()),
@@ -57,6 +58,9 @@ EXPECTATIONS = T.StructType(
 )
 EXPECTATION_COLUMNS = EXPECTATIONS.fieldNames()
 
+# What names an output whole: its equality key, or the hash where it has none.
+IDENTITY = ("out_hash", "out_key")
+
 # A case is identified by its place among the probe inputs; the status is part of the outcome, never of the key.
 CASE_KEY = ("module", "function", "seq")
 # For deterministic functions over tables without a unique row key: the argument tuple itself.
