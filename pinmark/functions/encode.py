@@ -5,11 +5,13 @@ It must give the same keys as ``functions.keys`` gives for typed columns.
 
 from __future__ import annotations
 
+import base64
 import builtins
 import hashlib
 import json
 import math
 import struct
+from datetime import date, datetime
 from decimal import Decimal
 
 try:
@@ -75,8 +77,36 @@ def _text_key(text: str) -> str:
 
 
 def other_text(value) -> str:
-    """Text of a value JSON has no form for; decimals as Spark writes them."""
-    return format(value, "f") if isinstance(value, Decimal) else str(value)
+    """Text of a value JSON has no form for; decimals as Spark writes them, bytes as base64."""
+    if isinstance(value, Decimal):
+        return format(value, "f")
+    return base64.b64encode(value).decode() if isinstance(value, (bytes, bytearray)) else str(value)
+
+
+def other_key(value) -> str:
+    """The same for keys: 1.50 and 1.500 are equal."""
+    text = other_text(value)
+    return text.rstrip("0").rstrip(".") if isinstance(value, Decimal) and "." in text else text
+
+
+def type_name(value) -> str | None:
+    """The type of an argument that its JSON text alone does not give back."""
+    if isinstance(value, Decimal):
+        return "decimal"
+    if isinstance(value, datetime):
+        return "timestamp"
+    if isinstance(value, date):
+        return "date"
+    return "binary" if isinstance(value, (bytes, bytearray)) else None
+
+
+_FROM_TEXT = {"decimal": Decimal, "date": date.fromisoformat, "timestamp": datetime.fromisoformat, "binary": base64.b64decode}
+
+
+def argument(text: str, type_name: str | None):
+    """The argument that ``text`` was recorded of."""
+    value = json.loads(text)
+    return value if type_name is None or value is None else _FROM_TEXT[type_name](value)
 
 
 def identity_key(value) -> str:
@@ -97,7 +127,7 @@ def identity_key(value) -> str:
         if len(names) < len(value):
             raise ValueError("keys that JSON cannot tell apart")
         return "{" + ",".join(sorted(f"{_text_key(k)}:{identity_key(v)}" for k, v in names.items())) + "}"
-    return _text_key(other_text(value))
+    return _text_key(other_key(value))
 
 
 def holds_nan(value) -> bool:
@@ -155,14 +185,15 @@ def described(value) -> tuple:
 
 
 def arguments(args) -> tuple:
-    """(arg_json, arg_keys, arg_elem_keys) of one call."""
-    texts, names, elements = [], [], []
+    """(arg_json, arg_keys, arg_elem_keys, arg_types) of one call."""
+    texts, names, elements, types = [], [], [], []
     for arg in args:
         plain, out_kind, text, name, _ = described(arg)
         texts.append(text)
         names.append(name)
         elements.append([equality_key(e) for e in plain] if out_kind == "list" else None)
-    return texts, names, elements
+        types.append(type_name(arg))
+    return texts, names, elements, types
 
 
 def output(value, limit: int = DIGEST_LIMIT) -> tuple:

@@ -60,6 +60,23 @@ def other_text(value: Column, dtype: T.DataType) -> Column:
     return value.cast("string")
 
 
+def other_key(value: Column, dtype: T.DataType) -> Column:
+    """The same for keys: decimals without trailing zeros."""
+    text = other_text(value, dtype)
+    if isinstance(dtype, T.DecimalType) and dtype.scale > 0:
+        return F.regexp_replace(text, r"\.?0+$", "")
+    return text
+
+
+def type_name(dtype: T.DataType) -> str | None:
+    """The type of an argument that its JSON text alone does not give back."""
+    if isinstance(dtype, T.DecimalType):
+        return "decimal"
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return "timestamp"
+    return "date" if isinstance(dtype, T.DateType) else None
+
+
 def quoted_key(text: Column) -> Column:
     slashed = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     return F.concat(F.lit('"'), F.replace(slashed, F.lit('"'), F.lit('\\"')), F.lit('"'))
@@ -101,7 +118,7 @@ def identity_key(value: Column, dtype: T.DataType) -> Column:
     elif kind == "dict":
         key = F.concat(F.lit("{"), F.array_join(F.array_sort(_entries(value, dtype, identity_key)), ","), F.lit("}"))
     else:
-        key = quoted_key(other_text(value, dtype))
+        key = quoted_key(other_key(value, dtype))
     return F.when(value.isNull(), F.lit("null")).otherwise(key)
 
 

@@ -10,7 +10,6 @@ counts as a crash; KeyboardInterrupt is re-raised; a value JSON cannot hold is r
 
 from __future__ import annotations
 
-import json
 import linecache
 import traceback as tb
 from collections.abc import Callable, Iterator, Mapping, Sequence
@@ -141,6 +140,7 @@ def argument_columns(schema: T.StructType, args: Sequence[str]) -> dict[str, Col
         "arg_json": F.array(*[keys.json_text(a, t) for a, t in typed]).cast("array<string>"),
         "arg_keys": F.array(*[keys.identity_key(a, t) for a, t in typed]).cast("array<string>"),
         "arg_elem_keys": F.array(*[keys.element_keys(a, t) for a, t in typed]).cast("array<array<string>>"),
+        "arg_types": F.array(*[F.lit(keys.type_name(t)) for _, t in typed]).cast("array<string>"),
     }
 
 
@@ -320,23 +320,26 @@ def replay(
 ) -> DataFrame:
     """Call each case's function again on its stored arguments and put the outcome beside the expectation.
 
-    ``functions`` by name, or by (module, name) where modules share a name; the latter go first. A narrow step: no key,
+    ``functions`` by name, or by (module, name) where modules share a name; the latter go first. Decimals, dates, times and
+    bytes among the arguments are given back as such (inside lists and objects they are texts). A narrow step: no key,
     no join, no shuffle. A function that is not offered, or a case without arguments, leaves a NULL outcome.
     """
     missing = (None,) * len(OUTCOME_FIELDS)
 
-    def run(modules: pa.Array, names: pa.Array, arg_json: pa.Array) -> pa.Array:
+    def run(modules: pa.Array, names: pa.Array, arg_json: pa.Array, arg_types: pa.Array) -> pa.Array:
         rows = []
-        for module, name, args in zip(modules.to_pylist(), names.to_pylist(), arg_json.to_pylist()):
+        for module, name, args, types in zip(*(c.to_pylist() for c in (modules, names, arg_json, arg_types))):
             fn = functions.get((module, name)) or functions.get(name)
             callable_ = fn is not None and args is not None
-            rows.append(_call(fn, [json.loads(a) for a in args], digest_limit) if callable_ else missing)
+            # Captures of an older form have no types.
+            given = [encode.argument(a, t) for a, t in zip(args, types or [None] * len(args))] if callable_ else ()
+            rows.append(_call(fn, given, digest_limit) if callable_ else missing)
         return pa.StructArray.from_arrays(_arrays(rows, OUTCOME_FIELDS), names=OUTCOME_COLUMNS)
 
     # Only name and arguments cross to Python; the rest of the expectation waits in the JVM. The call counts as
     # nondeterministic, so the optimizer neither repeats nor drops it.
     call = F.arrow_udf(run, T.StructType(OUTCOME_FIELDS)).asNondeterministic()
-    called = expectations.withColumn("__call", call("module", "function", "arg_json"))
+    called = expectations.withColumn("__call", call("module", "function", "arg_json", "arg_types"))
     return called.select(
         *expectations.columns, *[F.col(f"__call.{c}").alias(prefix + c) for c in OUTCOME_COLUMNS]
     )

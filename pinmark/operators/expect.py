@@ -144,6 +144,7 @@ def derive_expectations(
         F.col("__kind").alias("case_kind"),
         "arg_json",
         "arg_keys",
+        "arg_types",
         assertion.alias("assertion"),
         F.col("out_json").alias("exp_json"),
         F.col("out_key").alias("exp_key"),

@@ -88,6 +88,7 @@ def _missing(probes: DataFrame) -> DataFrame:
         "arg_json": F.array().cast("array<string>"),
         "arg_keys": F.array().cast("array<string>"),
         "arg_elem_keys": F.array().cast("array<array<string>>"),
+        "arg_types": F.array().cast("array<string>"),
         "status": F.lit(CRASHED),
         "error": error,
         "error_class": error,
@@ -101,7 +102,7 @@ def _observed(fn: Callable, texts: Sequence[str], digest_limit: int) -> tuple:
     try:
         call = [json.loads(t) for t in texts]
     except (TypeError, ValueError, RecursionError) as e:
-        return (list(texts), [None] * len(texts), [None] * len(texts), *_failed(f"{type(e).__name__}: {e}"))
+        return (list(texts), *([None] * len(texts) for _ in range(3)), *_failed(f"{type(e).__name__}: {e}"))
     return (*encode.arguments(call), *_call(fn, call, digest_limit))
 
 
@@ -152,7 +153,7 @@ def _run_source(module: str, source: str, calls: Sequence[tuple] | None, seconds
             raise
         except BaseException as e:
             said = f"{type(e).__name__}: {encode.shown(e, str)}"
-            yield (module, None, 0, [], [], [], *_failed(f"Failed to import {module}: {said}"))
+            yield (module, None, 0, [], [], [], [], *_failed(f"Failed to import {module}: {said}"))
             return
         gone = set()
         for place, (name, texts) in enumerate(calls):
@@ -162,7 +163,7 @@ def _run_source(module: str, source: str, calls: Sequence[tuple] | None, seconds
             elif name not in gone:
                 gone.add(name)
                 error = not_found(name)
-                yield (module, name, place, [], [], [], CRASHED, *[None] * 7, error, error, [error], None)
+                yield (module, name, place, [], [], [], [], CRASHED, *[None] * 7, error, error, [error], None)
 
 
 def _timed(fn: Callable, seconds: float | None) -> Callable:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import json
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ def _items(value: Column) -> Column:
 
 
 def _json(value: Column, depth: int = 2) -> Column:
-    """JSON text of a VARIANT that keeps floats apart from integers, down to ``depth`` levels of lists."""
+    """JSON text of a VARIANT that keeps floats apart from integers, down to ``depth`` levels of lists; see ``_deep``."""
     kind = F.schema_of_variant(value)
     number = F.try_variant_get(value, "$", "double")
     whole = kind.rlike(r"^DECIMAL\((\d|1[0-8]),0\)$")
@@ -57,12 +58,58 @@ def _json(value: Column, depth: int = 2) -> Column:
     return text.otherwise(F.to_json(value))
 
 
+def _text(value) -> str:
+    """JSON text of any value a VARIANT holds: decimals with a fraction are floats, those without are large integers."""
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_text(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ", ".join(map(_text, value)) + "]"
+    if isinstance(value, Decimal):
+        return repr(float(value)) if value.as_tuple().exponent < 0 else str(value)
+    return json.dumps(value, ensure_ascii=False, default=str)
+
+
+def _nested_inputs(items: list | None, n_args: int | None) -> list[list[str]] | None:
+    """``normalise_inputs`` of one row, for values nested to any depth."""
+    if items is None:
+        return None
+    inputs = []
+    try:
+        for item in (i.toPython() for i in items if i is not None):
+            if isinstance(item, list) and (len(item) == n_args or n_args != 1):
+                inputs.append([_text(part) for part in item])
+            elif n_args == 1:
+                inputs.append([_text(item)])
+    except RecursionError:
+        return None
+    return inputs
+
+
+# What the columns below do not encode: objects, lists of mixed kinds inside a list, lists inside lists inside a list.
+_DEEP = "OBJECT|VARIANT|ARRAY<ARRAY"
+
+
+def _deep(raw: Column) -> Column:
+    def of(value: Column) -> Column:
+        return F.rlike(F.schema_of_variant(value), F.lit(_DEEP))
+
+    found = F.exists(raw, lambda i: F.coalesce(F.when(_is_list(i), F.exists(_items(i), of)).otherwise(of(i)), F.lit(False)))
+    return F.coalesce(found, F.lit(False))
+
+
 def normalise_inputs(raw: Column, n_args: Column) -> Column:
     """Argument tuples from a VARIANT list whose elements may be tuples, single arguments or stray scalars.
 
     A list of the right length is a tuple; any other value is the argument of a one-argument function. For more
-    arguments other lists are kept as they are (the call will fail and be recorded) and scalars are dropped.
+    arguments other lists are kept as they are (the call will fail and be recorded) and scalars are dropped. Rows that
+    hold objects or deeper lists are encoded in Arrow batches, value by value; all others pass that step as NULLs.
     """
+    deep = _deep(raw)
+    nested = F.udf(_nested_inputs, "array<array<string>>", useArrow=True).asNondeterministic()
+    return F.coalesce(nested(F.when(deep, raw), F.when(deep, n_args.cast("int"))), _flat_inputs(raw, n_args))
+
+
+def _flat_inputs(raw: Column, n_args: Column) -> Column:
 
     # The parts of a list are taken out once and used in every rule.
     tagged = F.transform(
@@ -147,7 +194,8 @@ def extract_inputs(responses: DataFrame, text: str = "response", n_args: str = "
     )
 
 
-def explode_inputs(inputs: DataFrame, keep: Sequence[str]) -> DataFrame:
+def explode_inputs(inputs: DataFrame, keep: Sequence[str] = ("module", "function")) -> DataFrame:
+    """One probe a row, as ``capture_probes`` takes them."""
     return _exploded(inputs, F.col("inputs"), keep)
 
 

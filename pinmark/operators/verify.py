@@ -100,13 +100,22 @@ def judge(cases: DataFrame, prefix: str = "act_", exact: bool = False) -> DataFr
     return cases.withColumn("reason", reason).withColumn("passed", F.col("reason") == "ok")
 
 
+# What expectations are filed under where a capture names no module or function.
+_UNNAMED = {"module": "", "function": "unknown"}
+
+
+def _filed(actual: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Captures under the names that their expectations have."""
+    return actual.withColumns({c: F.coalesce(c, F.lit(_UNNAMED[c])) for c in keys if c in _UNNAMED})
+
+
 def beside(expectations: DataFrame, actual: DataFrame, keys: Sequence[str] = CASE_KEY, prefix: str = "act_") -> DataFrame:
     """Pair each expectation with the fresh capture of the same case, if there is one.
 
     ``keys`` must be unique in ``actual`` (see ``duplicate_cases``). The key names one call, so its hash
     spreads even if one module holds most cases; a small side is broadcast by Spark on its measured size.
     """
-    fresh = actual.select(*keys, *[F.col(c).alias(prefix + c) for c in OUTCOME_COLUMNS])
+    fresh = _filed(actual, keys).select(*keys, *[F.col(c).alias(prefix + c) for c in OUTCOME_COLUMNS])
     return expectations.join(fresh, list(keys), "left")
 
 
@@ -133,7 +142,7 @@ def verify_repeated(
     is exchanged, so a key may have any number of captures.
     """
     one = F.first(F.struct(*OUTCOME_COLUMNS)).alias("__one")
-    fresh = actual.groupBy(*keys).agg(*_sums("out_hash", "out_key", "act"), one)
+    fresh = _filed(actual, keys).groupBy(*keys).agg(*_sums("out_hash", "out_key", "act"), one)
     asked = expectations.groupBy(*keys).agg(*_sums("exp_hash", "exp_key", "exp"))
     alike = F.col("__act_low") == F.col("__act_high")
     equal = F.lit(True)
@@ -167,7 +176,7 @@ def verify(
 
 def unmatched_actuals(actual: DataFrame, expectations: DataFrame, keys: Sequence[str] = CASE_KEY) -> DataFrame:
     """Captures no expectation covers."""
-    return actual.join(expectations.select(*keys), list(keys), "left_anti")
+    return _filed(actual, keys).join(expectations.select(*keys), list(keys), "left_anti")
 
 
 def duplicate_cases(df: DataFrame, keys: Sequence[str] = CASE_KEY) -> DataFrame:

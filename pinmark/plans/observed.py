@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import subjects as S
@@ -15,11 +16,12 @@ from ..operators import observe as B
 from ..operators import probes as P
 from ..operators import verify as V
 from ..session import shared_dir
-from ..sources import store
+from ..sources import logs, store
+from ..streaming import capture_stream as stream
 from .captures import CHANGED_RATE, FUNCTION, billing, changed_billing
-from .regression import compare_native, replay_store, verify_store
+from .regression import compare_native, replay_python, replay_store, verify_store
 from .registry import Tables, query
-from .texts import FUNCTIONS_SQL, found_functions, sources
+from .texts import FROM_LOG_SQL, FUNCTIONS_SQL, LINES_SQL, capture_lines, found_functions, shown_inputs, sources
 from .verification import EXPECTED_SQL, asked_suites, by_segment, part_captures
 
 
@@ -183,9 +185,9 @@ def verify_long(t: Tables) -> DataFrame:
 
 
 def _series(value, last) -> C.Outcome:
-    """A list of 301 numbers with a NaN among them in every other row."""
+    """A list of 101 numbers with a NaN among them in every other row."""
     hole = F.when(F.col("event_id") % 2 == 1, F.lit(float("nan"))).otherwise(F.lit(0.0))
-    steps = F.transform(F.sequence(F.lit(1), F.lit(299)), lambda i: value * i)
+    steps = F.transform(F.sequence(F.lit(1), F.lit(99)), lambda i: value * i)
     return C.Outcome(F.concat(F.array(hole), steps, F.array(last)))
 
 
@@ -244,3 +246,102 @@ def failure_sample_many(t: Tables) -> DataFrame:
         module=F.col("l_returnflag"), function=FUNCTION, seq=F.col("l_orderkey"),
     )
     return V.failure_sample(results, 2000).select("module", "seq")
+
+
+DEEP_INPUTS = """
+CASE o_orderkey % 6
+  WHEN 0 THEN '[[[[[[[1.0]]]]]]]'
+  WHEN 1 THEN concat('[{"a": [2.0], "b": {"c": NaN, "d": ', CAST(o_custkey AS STRING), '}}]')
+  WHEN 2 THEN '[[1, {"k": [1.0, [2.5, true]]}]]'
+  WHEN 3 THEN '[[[1, "é/y"], [[2.0, null]]], 1e400]'
+  WHEN 4 THEN '[[12345678901234567890123, [[-1.50]]]]'
+  ELSE concat('[[7, ', CAST(o_custkey AS STRING), ']]')
+END"""
+
+
+@query(
+    "deep_inputs",
+    r"""
+WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS form, 1 + o_custkey % 2 AS n, CAST(o_custkey AS VARCHAR) AS c FROM orders)
+SELECT o_orderkey, CASE form
+    WHEN 0 THEN '([[[[[1.0]]]]])'
+    WHEN 1 THEN CASE n WHEN 1 THEN concat('({"a":[2.0],"b":{"c":NaN,"d":', c, '}})') ELSE '' END
+    WHEN 2 THEN CASE n WHEN 1 THEN '([1, {"k":[1.0, [2.5, true]]}])' ELSE '(1|{"k":[1.0, [2.5, true]]})' END
+    WHEN 3 THEN CASE n WHEN 1 THEN '([[1, "é/y"], [[2.0, null]]]);(Infinity)' ELSE '([1, "é/y"]|[[2.0, null]])' END
+    WHEN 4 THEN CASE n WHEN 1 THEN '([12345678901234567890123, [[-1.5]]])' ELSE '(12345678901234567890123|[[-1.5]])' END
+    ELSE CASE n WHEN 1 THEN concat('([7, ', c, '])') ELSE concat('(7|', c, ')') END END AS inputs FROM o""",
+)
+def deep_inputs(t: Tables) -> DataFrame:
+    raw = t.orders.select("o_orderkey", (1 + F.col("o_custkey") % 2).alias("n"), P.parse_list(F.expr(DEEP_INPUTS)).alias("raw"))
+    return raw.select("o_orderkey", P.normalise_inputs(F.col("raw"), F.col("n")).alias("inputs")).select("o_orderkey", shown_inputs().alias("inputs"))
+
+
+NUMBERED_SQL = (
+    LINES_SQL
+    + """,
+placed AS (SELECT module, line_no, row_number() OVER (ORDER BY module, line_no) - 1 AS seq FROM lines),
+found AS ("""
+    + FROM_LOG_SQL.replace("line_no AS seq, ", "line_no, ")
+    + """)
+"""
+)
+
+
+def streamed(t: Tables) -> tuple[str, DataFrame]:
+    """Log lines of each module as a file, in order, and the stream that reads them."""
+    root = shared_dir(t.spark, "stream")
+    ordered = capture_lines(t).repartition("module").sortWithinPartitions("module", "line_no").select("module", "line")
+    ordered.write.partitionBy("module").text(f"{root}/logs")
+    return root, stream.log_stream(t.spark, f"{root}/logs", F.regexp_extract("_metadata.file_path", r"/module=([^/]+)/", 1))
+
+
+@query("stream_numbered", NUMBERED_SQL + "SELECT module, seq, function, status, error_class FROM found JOIN placed USING (module, line_no)")
+def stream_numbered(t: Tables) -> DataFrame:
+    """Records of a stream know their position in it."""
+    root, lines = streamed(t)
+    stream.capture_stream(lines, f"{root}/captures", f"{root}/checkpoint", number=True).awaitTermination()
+    return t.spark.read.parquet(f"{root}/captures").select("module", "seq", "function", "status", "error_class")
+
+
+@query(
+    "stream_verified",
+    NUMBERED_SQL
+    + """
+SELECT module, CASE WHEN status = 'success' AND out_json <> 'NaN' AND seq % 3 = 0 THEN 'mismatch' ELSE 'ok' END AS reason, count(*) AS cases
+FROM found JOIN placed USING (module, line_no) GROUP BY ALL""",
+)
+def stream_verified(t: Tables) -> DataFrame:
+    """Stored expectations, some of them altered, judged while the lines of a fresh run arrive."""
+    at = F.row_number().over(W.orderBy("module", "line_no")) - 1
+    known = logs.captures_from_log(capture_lines(t).withColumn("line_no", at.cast("bigint")))
+    cases = X.derive_expectations(known, index=False)
+    altered = F.when((F.col("seq") % 3 == 0) & (F.col("assertion") == "approx"), F.col("exp_double") + 1).otherwise(F.col("exp_double"))
+    cases = cases.withColumns({"exp_double": altered, "exp_key": F.when((F.col("seq") % 3 == 0) & F.col("assertion").isin("member", "equal"), F.lit('"?"')).otherwise(F.col("exp_key"))})
+    root, lines = streamed(t)
+    stream.verify_stream(lines, cases, f"{root}/results", f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/results").groupBy("module", "reason").agg(F.count(F.lit(1)).alias("cases"))
+
+
+def _signed(amount, day, at):
+    if amount == 0:
+        raise ZeroDivisionError(S.DIVISION)
+    return amount if day.month > 6 and at.date() == day else -amount
+
+
+@query(
+    "replay_typed",
+    """
+SELECT 'equal' AS assertion, CASE WHEN month(o_orderdate) > 6 THEN 'ok' ELSE 'mismatch' END AS reason, count(*) AS cases
+FROM orders GROUP BY ALL""",
+)
+def replay_typed(t: Tables) -> DataFrame:
+    """Decimals, dates and times reach the function as such again; a rewrite forgets the sign."""
+    typed = t.orders.select(
+        "o_orderkey",
+        F.col("o_totalprice").cast("decimal(14,3)").alias("amount"),
+        F.to_date("o_orderdate").alias("day"),
+        F.col("o_orderdate").alias("at"),
+    )
+    captured = C.capture(typed, _signed, ["amount", "day", "at"], module="orders", function="signed", seq="o_orderkey")
+    results = replay_python(X.derive_expectations(captured, index=False), {"signed": lambda amount, day, at: abs(_signed(amount, day, at))})
+    return results.groupBy("assertion", "reason").agg(F.count(F.lit(1)).alias("cases"))

@@ -16,6 +16,8 @@ ARGUMENT_FIELDS = [
     T.StructField("arg_json", _STRINGS),
     T.StructField("arg_keys", _STRINGS),
     T.StructField("arg_elem_keys", T.ArrayType(_STRINGS)),
+    # What JSON has no form for: decimal, date, timestamp, binary; NULL for all other arguments.
+    T.StructField("arg_types", _STRINGS),
 ]
 OUTCOME_FIELDS = [
     T.StructField("status", T.StringType()),
@@ -44,7 +46,7 @@ EXPECTATIONS = T.StructType(
         T.StructField("case_idx", T.LongType()),
         T.StructField("case_name", T.StringType()),
     ]
-    + ARGUMENT_FIELDS[:2]
+    + [f for f in ARGUMENT_FIELDS if f.name != "arg_elem_keys"]
     + [
         T.StructField("assertion", T.StringType()),
         T.StructField("exp_json", T.StringType()),

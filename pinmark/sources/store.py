@@ -51,11 +51,10 @@ def write_modules(new: DataFrame, path: str, modules: Sequence[str]) -> None:
     if not modules:
         return
     named = new.where(F.col("module").isin(*modules))
-    # Counted while the rows are written, so they are not computed a second time.
-    counts = Observation()
-    seen = [F.count_if(F.col("module") == m).alias(f"m{i}") for i, m in enumerate(modules)]
+    # Seen while the rows are written, so they are not computed a second time; no more names than were listed.
+    found = Observation()
     (
-        named.observe(counts, *seen)
+        named.observe(found, F.collect_set("module").alias("modules"))
         .hint("rebalance", "module")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -64,8 +63,9 @@ def write_modules(new: DataFrame, path: str, modules: Sequence[str]) -> None:
     )
     columns = T.StructType([f for f in new.schema.fields if f.name != "module"])
     none = new.sparkSession.createDataFrame([], columns).coalesce(1)
-    for i, module in enumerate(modules):
-        if not counts.get[f"m{i}"]:
+    written = set(found.get["modules"])
+    for module in modules:
+        if module not in written:
             none.write.mode("overwrite").parquet(f"{path}/module={_escaped(module)}")
 
 

@@ -86,7 +86,7 @@ def test_first_argument_that_holds_the_output_is_the_source(spark):
 
 
 def test_missing_function_and_status(spark):
-    rows = [("m", None, 5, [], [], [], *[None] * 8, "Function zz not found.", None, None, None)]
+    rows = [("m", None, 5, [], [], [], [], *[None] * 8, "Function zz not found.", None, None, None)]
     case = X.derive_expectations(table(spark, rows)).first()
     assert (case.function, case.case_kind, case.assertion, case.error_class) == (
         "unknown", "crash", "raises", "Function zz not found.",

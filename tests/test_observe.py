@@ -3,6 +3,8 @@
 import json
 import time
 from collections import Counter
+from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,11 +14,13 @@ from pinmark.operators import capture as C
 from pinmark.operators import expect as X
 from pinmark.operators import observe as B
 from pinmark.operators import ordering as O
+from pinmark.operators import probes as P
 from pinmark.operators import rollup as R
 from pinmark.operators import verify as V
-from pinmark.plans.regression import compare_native, replay_store, verify_store
+from pinmark.plans.regression import compare_native, replay_python, replay_store, verify_store
 from pinmark.schema import CAPTURES
-from pinmark.sources import store
+from pinmark.sources import logs, store
+from pinmark.streaming import capture_stream as S
 from tests.plans import executed
 from tests.test_expect_verify import capture_row, table
 
@@ -248,3 +252,105 @@ def test_records_of_observation_are_json(spark):
     table = spark.createDataFrame([("fine", SOURCES["fine"])], "module string, source string")
     for r in B.capture_sources(table).collect():
         assert [json.loads(a) for a in r.arg_json] == [json.loads(k) for k in r.arg_keys]
+
+
+def test_typed_arguments_are_given_back(spark):
+    kinds = "i bigint, n decimal(10,3), d date, t timestamp, l timestamp_ntz, b binary, s string"
+    rows = [
+        (0, Decimal("1.500"), date(2024, 2, 29), datetime(2024, 1, 2, 3, 4, 5), datetime(2024, 1, 2, 3, 4, 5, 678), b"\x00\xff", "1.5"),
+        (1, Decimal("-100"), None, None, None, b"", None),
+        (2, None, date(1, 1, 1), datetime(1999, 12, 31, 23, 59, 59, 1), datetime(2024, 1, 1), None, "x"),
+    ]
+    seen = lambda *args: repr([(type(a).__name__, str(a)) for a in args])
+    args = ["n", "d", "t", "l", "b", "s"]
+    captured = C.capture(spark.createDataFrame(rows, kinds), seen, args, module="m", function="f", seq="i")
+    told = {r.seq: r for r in captured.collect()}
+    assert told[0].arg_types == ["decimal", "date", "timestamp", "timestamp", "binary", None] and told[1].arg_types[1] is None
+    cases = X.derive_expectations(captured, index=False)
+    pinned = cases.where("seq <> 0")
+    assert {r.reason for r in replay_python(pinned, {"f": seen}).collect()} == {"ok"}
+    old = cases.withColumn("arg_types", F.lit(None).cast("array<string>"))
+    assert replay_python(old, {"f": lambda *a: 1}).count() == 3
+
+
+def test_decimals_are_equal_whatever_their_scale(spark):
+    wide = spark.createDataFrame([(0, Decimal("1.5000")), (1, Decimal("100.0000")), (2, Decimal("0.0000")), (3, Decimal("-7.0100"))], "i bigint, n decimal(12,4)")
+    values = [Decimal("1.50"), Decimal("100"), Decimal("0.00"), Decimal("-7.01")]
+    native = C.capture_native(wide, C.Outcome(F.col("n")), [F.col("n")], module="m", function="f", seq=F.col("i"))
+    for r in native.collect():
+        assert r.out_key == r.arg_keys[0] == encode.identity_key(values[r.seq]), r
+        assert r.arg_types == ["decimal"]
+
+
+DEEP = ["[[[[[[1.0]]]]]]", '[{"a": [2.0, {"b": -1.50}]}]', '[["x", {"k": NaN}], [1, 2], 3]', "[[[1, [2.0]], null], null]"]
+
+
+def test_inputs_of_any_depth_keep_their_values(spark):
+    rows = spark.createDataFrame([(i, r, n) for i, r in enumerate(DEEP) for n in (1, 2)] + [(9, None, 1)], "i int, raw string, n int")
+    found = {(r.i, r.n): r.t for r in rows.select("i", "n", P.normalise_inputs(P.parse_list(F.col("raw")), F.col("n")).alias("t")).collect()}
+    for i, raw in enumerate(DEEP):
+        items = json.loads(raw)
+        assert [[repr(json.loads(a)) for a in call] for call in found[i, 1]] == [[repr(x) for x in (v if isinstance(v, list) and len(v) == 1 else [v])] for v in items]
+        lists = [v for v in items if isinstance(v, list)]
+        assert [[repr(json.loads(a)) for a in call] for call in found[i, 2]] == [[repr(x) for x in v] for v in lists]
+    assert found[9, 1] is None
+
+
+def test_inputs_nested_too_deeply_do_not_fail_the_job(spark):
+    raw = "[" * 900 + "1.0" + "]" * 900
+    rows = spark.createDataFrame([(raw, 1), ("[[1]]", 1)], "raw string, n int")
+    assert rows.select(P.normalise_inputs(P.parse_list(F.col("raw")), F.col("n")).alias("t")).count() == 2
+
+
+def lines_of(name, n):
+    return "\n".join(json.dumps({"function": "f", "inputs": {"args": [name, i]}, "status": "success", "output": i}) for i in range(n))
+
+
+def test_a_stream_numbers_its_lines_and_a_repeated_batch_changes_nothing(spark, tmp_path):
+    inbox, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    inbox.mkdir()
+    (inbox / "b.log").write_text(lines_of("b", 30) + "\nnoise")
+    (inbox / "a.log").write_text("noise\n" + lines_of("a", 20))
+    run = lambda: S.capture_stream(S.log_stream(spark, str(inbox)), out, mark, number=True).awaitTermination()
+    read = lambda: sorted((r.seq, r.module, r.out_json) for r in spark.read.parquet(out).collect())
+    run()
+    first = [(i + 1, "a", str(i)) for i in range(20)] + [(i + 21, "b", str(i)) for i in range(30)]
+    assert read() == first
+    (inbox / "c.log").write_text(lines_of("c", 3))
+    run()
+    both = first + [(52 + i, "c", str(i)) for i in range(3)]
+    assert read() == both
+    again = spark.read.text(str(inbox / "c.log")).select(
+        F.lit("c").alias("module"), F.col("value").alias("line"), F.lit("c").alias("file"), F.lit(0).cast("bigint").alias("block"), F.lit(None).cast("bigint").alias("line_no")
+    )
+    S.write_batch(logs.captures_from_log(S.numbered_lines(again, 1, f"{mark}-lines")), 1, out)
+    assert read() == both
+
+
+def test_a_stream_is_verified_as_it_arrives(spark, tmp_path):
+    inbox, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    inbox.mkdir()
+    cases = X.derive_expectations(table(spark, [capture_row(i, [f"{i}"], i, module="a") for i in range(5)]), index=False)
+    for name, values in (("1", [0, 1, 7]), ("2", [3])):
+        text = "\n".join(json.dumps({"function": "f", "inputs": {"args": []}, "status": "success", "output": v}) for v in values)
+        (inbox / f"{name}.log").write_text(text)
+        lines = S.log_stream(spark, str(inbox), F.lit("a"))
+        S.verify_stream(lines, cases, out, mark).awaitTermination()
+    assert sorted((r.seq, r.reason, r.batch_id) for r in spark.read.parquet(out).collect()) == [(0, "ok", 0), (1, "ok", 0), (2, "mismatch", 0), (3, "ok", 1)]
+
+
+def test_captures_that_name_nothing_meet_their_expectations(spark):
+    rows = table(spark, [capture_row(0, [], error="Function zz not found.", function=None, module=None), capture_row(1, [], 5, function=None)])
+    cases = X.derive_expectations(rows, index=False)
+    for found in (V.verify(cases, rows), V.verify_repeated(cases, rows)):
+        assert {r.reason for r in found.collect()} == {"ok"}
+    assert V.unmatched_actuals(rows, cases).count() == 0
+
+
+def test_many_modules_are_replaced_in_one_write(spark, tmp_path):
+    path, names = str(tmp_path / "store"), [f"m{i}" for i in range(40)]
+    rows = lambda which, v: table(spark, [capture_row(0, [], v, module=m) for m in which])
+    store.write_modules(rows(names, 1), path, names)
+    store.write_modules(rows(names[:20], 2), path, names[:21])
+    assert Counter(r.out_json for r in store.scan_captures(spark, path).collect()) == {"2": 20, "1": 19}
+    assert store.scan_captures(spark, path, "m20").count() == 0
