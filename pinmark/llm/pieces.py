@@ -157,6 +157,8 @@ def _merge_runs(vocabulary: Vocabulary, symbols, place, keys, runs, run_end, dro
     """
     done_symbols, done_places = [], []
     sizes = np.diff(np.append(runs, len(symbols)))
+    # Looked up by place, so that rounds need not carry them along.
+    keys_at, base_at = keys, base
     long = np.flatnonzero(sizes > _LONG_RUN)
     for r in long.tolist():
         a, b = runs[r], runs[r] + sizes[r]
@@ -165,52 +167,58 @@ def _merge_runs(vocabulary: Vocabulary, symbols, place, keys, runs, run_end, dro
         done_places.append(at + base[a])
     if len(long):
         chosen = np.repeat(sizes <= _LONG_RUN, sizes)
-        symbols, place, keys, base = symbols[chosen], place[chosen], keys[chosen], base[chosen]
+        symbols, place = symbols[chosen], place[chosen]
         sizes, run_end = sizes[sizes <= _LONG_RUN], run_end[sizes <= _LONG_RUN]
 
     def candidates(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank and piece of the merge of symbols i and i + 1, which lie in one run."""
-        piece = vocabulary.merge(symbols[i], symbols[i + 1])
+        """Rank and place in one number, so that the least is the best and leftmost, and piece of the merges i and i + 1."""
+        piece = vocabulary.merge(symbols[i].astype(np.int64), symbols[i + 1].astype(np.int64))
         out = np.full(len(i), _NONE)
         can = np.flatnonzero(piece >= 0)
         j = i[can]
-        dropped = skipped(keys[j], place[j] - base[j], place[j + 1] - base[j], end[j + 1] - base[j], dropout)
-        can = can[~dropped]
-        out[can] = vocabulary.rank[piece[can]]
-        return out, piece
+        at = place[j]
+        begin = base_at[at]
+        dropped = skipped(keys_at[at], at - begin, place[j + 1] - begin, end[j + 1] - begin, dropout)
+        can, at = can[~dropped], at[~dropped]
+        out[can] = vocabulary.rank[piece[can]].astype(np.int64) << 32 | at
+        return out, piece.astype(np.int32)
 
     heads = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
-    end = np.append(place[1:], 0)
-    if len(heads):
-        end[np.append(heads[1:], len(symbols)) - 1] = run_end
-    best, made = np.full(len(symbols), _NONE), np.full(len(symbols), -1, np.int64)
+    symbols, place = symbols.astype(np.int32), place.astype(np.int32)
+    end = np.append(place[1:], np.int32(0))
+    best, made = np.full(len(symbols), _NONE), np.full(len(symbols), -1, np.int32)
     last = np.zeros(len(symbols), bool)
     if len(heads):
-        last[np.append(heads[1:], len(symbols)) - 1] = True
+        tails = np.append(heads[1:], len(symbols)) - 1
+        end[tails] = run_end
+        last[tails] = True
         inner = np.flatnonzero(~last)
         best[inner], made[inner] = candidates(inner)
     while len(heads):
-        # Rank and place in one number, so that the least is the best and leftmost.
-        order = np.where(best < _NONE, best << 32 | np.arange(len(best)), _NONE)
-        least = np.minimum.reduceat(order, heads)
+        least = np.minimum.reduceat(best, heads)
         going = least < _NONE
         sizes = np.diff(np.append(heads, len(symbols)))
-        at = (least[going] & 0xFFFFFFFF).astype(np.int64)
+        # Places stay in order, whatever has been merged.
+        at = np.searchsorted(place, (least[going] & 0xFFFFFFFF).astype(np.int32))
         symbols[at] = made[at]
         end[at] = end[at + 1]
         last[at] = last[at + 1]
-        of_going = np.repeat(going, sizes)
-        done_symbols.append(symbols[~of_going])
-        done_places.append(place[~of_going])
-        stays = of_going
+        if not going.all():
+            ended = np.flatnonzero(np.repeat(~going, sizes))
+            done_symbols.append(symbols[ended].astype(np.int64))
+            done_places.append(place[ended].astype(np.int64))
+            stays = np.repeat(going, sizes)
+        else:
+            stays = np.ones(len(symbols), bool)
         stays[at + 1] = False
         fresh = np.zeros(len(symbols), bool)
         fresh[at] = True
         fresh[(at - 1)[at > heads[going]]] = True
-        symbols, place, end, last, keys, base, best, made, fresh = (x[stays] for x in (symbols, place, end, last, keys, base, best, made, fresh))
+        kept = np.flatnonzero(stays)
+        symbols, place, end, last, best, made = (x[kept] for x in (symbols, place, end, last, best, made))
         sizes = sizes[going] - 1
         heads = (np.cumsum(sizes) - sizes).astype(np.int64)
-        fresh = np.flatnonzero(fresh)
+        fresh = np.flatnonzero(fresh[kept])
         best[fresh[last[fresh]]] = _NONE
         fresh = fresh[~last[fresh]]
         best[fresh], made[fresh] = candidates(fresh)
