@@ -215,7 +215,7 @@ def boundary(told: DataFrame, similarity: int) -> int:
     """
     sizes = told.where("times IS NULL").where(F.col("n") <= LARGEST_LIGHT).groupBy("n")
     found = sizes.agg(F.count("a").alias("sets"), F.sum("lists").alias("lists"), F.sum("shares").alias("shares")).toPandas().fillna(0)
-    found = found[[has_partners(int(n), similarity) for n in found["n"]]].sort_values("n")
+    found = found[np.array([has_partners(int(n), similarity) for n in found["n"]], bool)].sort_values("n")
     if not len(found):
         return 0
     rows = told.where("times IS NULL AND a IS NOT NULL").count()

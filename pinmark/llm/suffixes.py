@@ -166,7 +166,7 @@ class _Block:
         if not len(starts):
             return starts, starts, np.zeros(0, np.uint64)
         stops = np.minimum(np.append(starts[1:], len(self.data)), self.end[starts] - self.width + 1)
-        return starts, stops, self.hashes(starts, stops + self.width - 1)
+        return starts, stops, tokens.whole_hash(self.data, starts, stops + self.width - 1)
 
     def least_grams(self, grams: np.ndarray) -> np.ndarray:
         """The least gram of the string that begins at each byte."""

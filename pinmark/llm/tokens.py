@@ -1,8 +1,8 @@
 """Words and hashes of a batch of texts as numpy arrays.
 
 All functions work on the bytes of an Arrow string column as a whole, without a Python loop over rows. A separator is a
-set of ASCII bytes, which in UTF-8 never are part of another character. Hashes are polynomials modulo 2^64 over random
-byte values, so that any slice of the batch is hashed by two look-ups, and are mixed at the end.
+set of ASCII bytes, which in UTF-8 never are part of another character. Hashes of short slices are polynomials modulo 2^64
+over random byte values, so that any of them is hashed by two look-ups, and are mixed at the end.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: ``[\x20\x09-\x0D]``
 SPACES = np.zeros(256, bool)
@@ -112,12 +113,27 @@ def split(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACES
     return Words(starts, np.flatnonzero(stops) + 1, np.searchsorted(starts, offsets))
 
 
+#: Slices above this length are hashed one at a time. Polynomials modulo 2^64 give the same number for some different
+#: texts of regular structure (Thue-Morse words), whatever their base, once these are long enough.
+_LONG_SLICE = 32
+
+
+def whole_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH3 of each ``data[start:end]``, one slice after the other."""
+    raw, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
 def slices_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each ``data[start:end]``."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUES[data] * powers(_BASE, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(_inverse(_BASE), n + 1)[starts])
+    out = mix((sums[ends] - sums[starts]) * powers(_inverse(_BASE), n + 1)[starts])
+    long = np.flatnonzero(ends - starts > _LONG_SLICE)
+    if len(long):
+        out[long] = whole_hash(data, starts[long], ends[long])
+    return out
 
 
 def windows_hash(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
