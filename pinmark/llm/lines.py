@@ -12,6 +12,9 @@ from .storage import stored
 #: Runs of at least that many lines are removed where they are repeated.
 LEAST_LINES = 3
 
+#: So are runs of fewer lines, one line included, that hold at least that many words.
+LEAST_WORDS = 20
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -77,7 +80,7 @@ def _later(ranks: DataFrame, depth: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST_LINES, words: int | None = None) -> DataFrame:
     """(row, removed): the lines of each text that lie in a run of ``least`` lines which also stands earlier.
 
-    With ``words``, so do lines of a shorter run that holds that many words. Runs of one rank are an interval of the
+    With ``words`` not None, so do lines of a shorter run that holds that many words. Runs of one rank are an interval of the
     suffix array; all but the one at the first place are later copies. Copies that overlap or follow each other merge, so
     what is removed are the maximal repeated runs.
     """
@@ -102,7 +105,7 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST_LINES, words: int | None = None) -> DataFrame:
     """(id, n_lines, n_removed, n_runs, kept_text) of each row: later copies of repeated line runs are deleted.
 
-    A run counts from ``least`` lines on; with ``words`` also a shorter one, of one line or more, that holds that many words.
+    A run counts from ``least`` lines on, and a shorter one, of one line or more, if it holds ``words`` words (None: never).
     Lines are what ``\\n`` separates, compared as they are. Of equal runs the one at the first place stays: the smallest id
     (null last), then the row that is read first, then the first line. Null texts are one empty line, as empty texts are;
     every row gives a row, repeated rows included. n_runs counts the maximal runs of deleted lines. ``docs`` is read twice

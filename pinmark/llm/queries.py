@@ -123,25 +123,33 @@ def sentencepiece_codes(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.size("pieces").alias("n_pieces"), "pieces", "lossless")
 
 
-@query(
-    "op2_line_dedup",
-    f"""
+def _line_sql() -> str:
+    """Runs of every length up to ``LEAST_LINES``, the shorter ones only if they hold ``LEAST_WORDS`` words."""
+    runs = "\n        UNION ALL\n        ".join(
+        f"""SELECT doc_id, p, {d} AS d, md5(array_to_string(list_slice(l, p, p + {d - 1}), chr(10))) AS h
+        FROM (SELECT doc_id, l, c, unnest(generate_series(1, len(l) - {d - 1})) AS p FROM counted)
+        WHERE {'true' if d == lines.LEAST_LINES else f'list_sum(list_slice(c, p, p + {d - 1})) >= {lines.LEAST_WORDS}'}"""
+        for d in range(1, lines.LEAST_LINES + 1)
+    )
+    return rf"""
     WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    counted AS (SELECT doc_id, l, list_transform(l, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS c FROM t),
     runs AS (
-        SELECT doc_id, p, md5(array_to_string(list_slice(l, p, p + {lines.LEAST_LINES - 1}), chr(10))) AS h
-        FROM (SELECT doc_id, l, unnest(generate_series(1, len(l) - {lines.LEAST_LINES - 1})) AS p FROM t)),
-    later AS (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS n FROM runs),
-    gone AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + {lines.LEAST_LINES - 1})) AS p FROM later WHERE n > 1),
+        {runs}),
+    later AS (SELECT doc_id, p, d, row_number() OVER (PARTITION BY d, h ORDER BY doc_id, p) AS n FROM runs),
+    gone AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + d - 1)) AS p FROM later WHERE n > 1),
     single AS (SELECT doc_id, unnest(l) AS line, unnest(generate_series(1, len(l))) AS p FROM t),
     marked AS (SELECT doc_id, p, line, g.p IS NOT NULL AS gone FROM single LEFT JOIN gone g USING (doc_id, p)),
     edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS head FROM marked)
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_runs,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
     FROM edges GROUP BY doc_id
-    """,
-)
+    """
+
+
+@query("op2_line_dedup", _line_sql())
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found = lines.line_dedup(table(spark, folder, "documents"))
+    found = lines.line_dedup(table(spark, folder, "documents"), words=lines.LEAST_WORDS)
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
