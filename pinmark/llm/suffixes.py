@@ -76,16 +76,18 @@ def shard_transform(text: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[
     return order, (near | near[previous[previous]] << np.uint32(16))[order]
 
 
-def merged_intervals(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, interval): the common suffix order of all shards and the interval of each suffix by its first ``depth`` symbols.
-
-    The transforms lie one after the other; ``order`` lists places in them and so is the interleave: it says from which
-    shard the next suffix comes, and within a shard places only grow. It begins with shard after shard. In each round the
-    symbols of the transforms are read in the order of the interleave and the suffixes dealt out by them, which sorts by
-    four symbols more (by what fours leave over in the first round); the place a suffix goes to in its shard is known
-    from the shard's transform alone, and what the dealt symbols are is the same in all rounds. A border that a round
-    opens separates suffixes that differ in the symbols sorted by so far, so after all rounds an interval holds the
-    suffixes with a common prefix of ``depth`` or more.
+def merged_intervals(transforms: list[np.ndarray], depth: int, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, interval): the suffixes that share their first ``depth`` symbols with one of another owner, interval by interval.
+
+    The transforms lie one after the other; ``order`` lists places in them, whose owners are ``owner``, and so is the
+    interleave: it says from which shard the next suffix comes, and within a shard places only grow. It begins with shard
+    after shard. In each round the symbols of the transforms are read in the order of the interleave and the suffixes dealt
+    out by them, which sorts by four symbols more (by what fours leave over in the first round); the place a suffix goes to
+    in its shard is known from the shard's transform alone. A border that a round opens separates suffixes that differ in
+    the symbols sorted by so far, so an interval holds the suffixes with a common prefix of that many symbols.
+
+    An interval of one owner is closed and takes no part in further rounds: what its suffixes become with symbols before
+    them is an interval of that owner again. So do suffixes that would begin with or before a terminator.
     """
     symbols = np.concatenate(transforms)
     n = len(symbols)
@@ -95,18 +97,26 @@ def merged_intervals(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarr
         if not length or not rounds:
             continue
         added = _ended(symbols & np.uint32((1 << 8 * length) - 1), length)
+        # A terminator among the symbols ends them all, so it is the nearest one if there is any.
+        goes_on = added & np.uint32(0xFF) != 0
         follows = np.empty(n, np.int32)
         for a, b in zip(edges[:-1], edges[1:]):
             follows[a + _order(added[a:b])] = np.arange(a, b, dtype=np.int32)
-        dealt_symbols = np.sort(added)
-        other, goes_on = dealt_symbols[1:] != dealt_symbols[:-1], dealt_symbols[1:] & np.uint32(0xFF) != 0
         for _ in range(rounds):
-            dealt = _order(added[order])
-            interval = interval[dealt]
-            border = np.zeros(n, bool)
-            border[1:] = other | ((interval[1:] != interval[:-1]) & goes_on)
-            interval = np.cumsum(border, dtype=np.int32)
-            order = follows[order[dealt]]
+            held = goes_on[order]
+            order, interval = order[held], interval[held]
+            if not len(order):
+                return order, interval
+            keys = added[order]
+            dealt = _order(keys)
+            keys, interval, order = keys[dealt], interval[dealt], follows[order[dealt]]
+            same = (keys[1:] == keys[:-1]) & (interval[1:] == interval[:-1])
+            interval = np.cumsum(np.append(False, ~same), dtype=np.int32)
+            whose = owner[order]
+            several = np.zeros(int(interval[-1]) + 1, bool)
+            several[interval[1:][same & (whose[1:] != whose[:-1])]] = True
+            held = several[interval]
+            order, interval = order[held], interval[held]
     return order, interval
 
 
@@ -114,17 +124,17 @@ def earlier(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int)
     """For each shard (text, lengths, owner of each segment) and each of its places: does the string of ``depth`` symbols
     that begins there also begin in a segment of a smaller owner?"""
     arrays, transforms = zip(*(shard_transform(text, lengths, depth) for text, lengths, _ in shards))
-    order, interval = merged_intervals(list(transforms), depth)
     sizes = [len(a) for a in arrays]
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    place = np.concatenate([a + s for a, s in zip(arrays, starts)])[order]
+    place = np.concatenate([a + s for a, s in zip(arrays, starts)])
     owner = np.concatenate([np.repeat(o, n) for _, n, o in shards])
-    whole = np.concatenate([np.repeat(np.cumsum(n), n) - np.arange(int(n.sum())) > depth for _, n, _ in shards])
-    held = np.where(whole, owner, _LAST)[place]
-    heads = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
-    least = np.repeat(np.minimum.reduceat(held, heads), np.diff(np.append(heads, len(held))))
-    out = np.empty(len(place), bool)
-    out[place] = (held > least) & whole[place]
+    order, interval = merged_intervals(list(transforms), depth, owner[place])
+    out = np.zeros(len(place), bool)
+    if len(order):
+        held = owner[place[order]]
+        heads = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
+        least = np.repeat(np.minimum.reduceat(held, heads), np.diff(np.append(heads, len(held))))
+        out[place[order]] = held > least
     return [out[a:b] for a, b in zip(starts[:-1], starts[1:])]
 
 
@@ -220,14 +230,19 @@ def _answer(answers: pa.Table, kind: int) -> list[tuple[int, pa.Scalar, int]]:
     return sorted(rows, key=lambda r: r[0])
 
 
+def _by_id(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The rows of a block by growing id, null last, and the ids."""
+    ids = np.asarray(table.column("id").fill_null(int(_LAST)).combine_chunks(), np.int64)
+    by_id = np.argsort(ids, kind="stable")
+    return table.take(pa.array(by_id)), ids[by_id]
+
+
 class _Asked:
     """A block as far as the answers of the steps before allow it to be known."""
 
     def __init__(self, table: pa.Table, width: int, bits: int):
-        ids = np.asarray(table.column("id").fill_null(int(_LAST)).combine_chunks(), np.int64)
-        by_id = np.argsort(ids, kind="stable")
-        self.table = table.take(pa.array(by_id))
-        self.block, self.bits = _Block(self.table.column("text"), ids[by_id], width), bits
+        table, ids = _by_id(table)
+        self.block, self.bits = _Block(table.column("text"), ids, width), bits
         self.grams = self.block.grams()
         self.starts, self.stops, hashes = self.block.chunks(self.grams)
         self.unique, self.first, self.place = np.unique(hashes, return_index=True, return_inverse=True)
@@ -309,20 +324,34 @@ class _Asked:
             out.append((bucket, with_ends.tobytes(), (lengths + 1).astype(np.int32).tobytes(), self.block.owner[starts].tobytes()))
         return out
 
-    def take_segments(self, answers: pa.Table) -> None:
-        parts = [_unpacked(p, n) for _, p, n in _answer(answers, 2)]
-        flags = np.concatenate(parts) if parts else np.zeros(0, bool)
-        found = np.zeros(len(self.asked), bool)
-        lengths = self.seg_count + self.block.width
-        heads = np.cumsum(lengths) - lengths
-        spread = np.repeat(np.arange(len(heads)), self.seg_count)
-        within = np.arange(len(spread)) - np.repeat(np.cumsum(self.seg_count) - self.seg_count, self.seg_count)
-        if len(spread):
-            found[self.sent[self.seg_first[spread] + within]] = flags[heads[spread] + within]
-        self.removed[self.asked[self.later | found[self.first_of]]] = True
+    def state(self) -> tuple[bytes, bytes, bytes]:
+        """What ``_covered`` needs besides the answers about segments, so that nothing is worked out again.
 
-    def covered(self) -> np.ndarray:
-        return tokens.covered(np.flatnonzero(self.removed), self.block.width, len(self.removed))
+        Bits of the places that are removed whatever the answers are; first places and counts of the segments in the order
+        of buckets; pairs of a place and the one that is asked for in its stead.
+        """
+        removed = self.removed.copy()
+        removed[self.asked[self.later]] = True
+        same = np.flatnonzero(~self.later & (self.first_of != np.arange(len(self.first_of))))
+        pairs = np.concatenate([self.asked[same], self.asked[self.first_of[same]]])
+        return _bits(removed), np.concatenate([self.seg_start, self.seg_count]).astype(np.int64).tobytes(), pairs.astype(np.int64).tobytes()
+
+
+def _covered(n: int, state: tuple[bytes, bytes, bytes], flags: np.ndarray, width: int) -> np.ndarray:
+    """Which of the n bytes of a block are removed; ``flags`` are the answers about its segments, one after the other."""
+    removed = np.unpackbits(np.frombuffer(state[0], np.uint8), count=n).astype(bool)
+    starts, counts = np.frombuffer(state[1], np.int64).reshape(2, -1)
+    place, first = np.frombuffer(state[2], np.int64).reshape(2, -1)
+    if len(starts):
+        # A segment has an answer for each of its symbols and one for its terminator; strings begin at the first ones.
+        lengths = counts + width
+        spread = np.repeat(np.arange(len(starts)), counts)
+        within = np.arange(len(spread)) - (np.cumsum(counts) - counts)[spread]
+        found = np.zeros(n, bool)
+        found[(starts[spread] + within)[flags[(np.cumsum(lengths) - lengths)[spread] + within]]] = True
+        removed |= found
+        removed[place[found[first]]] = True
+    return tokens.covered(np.flatnonzero(removed), width, n)
 
 
 # --- The job. -------------------------------------------------------------------------------------------------------------
@@ -421,11 +450,13 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
         asked = _Asked(texts, width, bits)
         asked.take_chunks(answers)
         asked.take_names(answers)
-        rows = asked.segments()
+        # What the last step needs goes the same way as the segments, past the buckets.
+        block = texts.column("block")[0].as_py()
+        rows = [*asked.segments(), (-1 - block, *asked.state())]
         return pa.table(
             {
                 "bucket": pa.array([r[0] for r in rows], pa.int64()),
-                "block": pa.array([texts.column("block")[0].as_py()] * len(rows), pa.int64()),
+                "block": pa.array([block] * len(rows), pa.int64()),
                 "keys": pa.array([r[1] for r in rows], pa.binary()),
                 "lengths": pa.array([r[2] for r in rows], pa.binary()),
                 "rest": pa.array([r[3] for r in rows], pa.binary()),
@@ -433,6 +464,9 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
         )
 
     def answer_segments(group: pa.Table) -> pa.Table:
+        if group.column("bucket")[0].as_py() < 0:
+            state = [group.column(c)[0].as_py() for c in ("keys", "lengths", "rest")]
+            return _answers(3, [(part, group.column("block")[0].as_py(), x, len(x)) for part, x in enumerate(state)])
         read = lambda name, kind: [np.frombuffer(c.as_buffer(), kind) for c in group.column(name)]
         shards = list(zip(read("keys", np.uint8), [n.astype(np.int64) for n in read("lengths", np.int32)], read("rest", np.int64)))
         flags = earlier(shards, width)
@@ -440,11 +474,11 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
         return _answers(2, [(bucket, block, _bits(f), len(f)) for bucket, block, f in rows])
 
     def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        asked = _Asked(texts, width, bits)
-        asked.take_chunks(answers)
-        asked.take_names(answers)
-        asked.take_segments(answers)
-        removed, offsets = asked.covered(), asked.block.offsets
+        texts, _ = _by_id(texts)
+        data, offsets = tokens.text_bytes(texts.column("text"))
+        flags = [_unpacked(p, n) for _, p, n in _answer(answers, 2)]
+        state = tuple(p.as_py() for _, p, _ in _answer(answers, 3))
+        removed = _covered(len(data), state, np.concatenate(flags) if flags else np.zeros(0, bool), width)
         n = len(offsets) - 1
         gone = tokens.row_sums(removed, offsets)
         edge = np.diff(np.concatenate([[0], removed.astype(np.int8), [0]]))
@@ -456,10 +490,10 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
         span_first = np.searchsorted(starts, offsets)
         spans = pa.StructArray.from_arrays([pa.array(starts - np.repeat(offsets[:-1], np.diff(span_first))), pa.array(ends - starts)], ["first", "bytes"])
         kept_offsets = np.concatenate([[0], np.cumsum(np.diff(offsets) - gone)])
-        kept = asked.block.data[~removed]
+        kept = data[~removed]
         return pa.table(
             {
-                "id": asked.table.column("id"),
+                "id": texts.column("id"),
                 "n_bytes": pa.array(np.diff(offsets), pa.int64()),
                 "n_removed": pa.array(gone, pa.int64()),
                 "n_spans": pa.array(np.diff(span_first), pa.int64()),
@@ -473,6 +507,6 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
     names = by_block.cogroup(known.groupBy("block")).applyInArrow(send_names, keyed + ", chars binary")
     known = known.union(names.groupBy("bucket").applyInArrow(answer_names, _ANSWER))
     segments = by_block.cogroup(known.groupBy("block")).applyInArrow(send_segments, keyed + ", lengths binary")
-    known = known.union(segments.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(answer_segments, _ANSWER))
+    known = segments.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(answer_segments, _ANSWER)
     out = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<first: bigint, bytes: bigint>>, kept binary"
     return by_block.cogroup(known.groupBy("block")).applyInArrow(finish, T._parse_datatype_string(out))
