@@ -273,6 +273,26 @@ def found_functions(t: Tables) -> DataFrame:
     return I.function_inventory(sources(t))
 
 
+# One file for each part: names that Spark's file sources hide, empty files, and some that are no sources.
+FILE_PATH = """concat(replace(p_brand, '#', ' #'), CASE p_partkey % 5 WHEN 0 THEN '/_m' WHEN 1 THEN '/_lib/m' ELSE '/m' END,
+    CAST(p_partkey AS STRING), CASE p_partkey % 11 WHEN 0 THEN '.txt' WHEN 1 THEN '/__init__.py' WHEN 2 THEN '/__pycache__/c.py' ELSE '.py' END)"""
+FILE_SOURCE = "CASE WHEN p_partkey % 7 = 0 THEN '' ELSE concat('def price(a):', chr(10), '    return a  # ', p_name, chr(10)) END"
+
+
+@query(
+    "source_files",
+    f"""
+SELECT path, replace(regexp_extract(path, '[^/]*$'), '.py', '') AS module, length(source) AS chars, md5(source) AS source_md5
+FROM (SELECT {FILE_PATH} AS path, {FILE_SOURCE} AS source FROM part)
+WHERE NOT contains(path, '__pycache__') AND NOT suffix(path, '/__init__.py') AND suffix(path, '.py')""",
+)
+def source_files(t: Tables) -> DataFrame:
+    folder = shared_dir(t.spark, "files")
+    files.write_files(t.part.select(F.expr(FILE_PATH).alias("path"), F.expr(FILE_SOURCE).alias("source")), folder)
+    found = files.source_files(t.spark, folder)
+    return found.select("path", "module", F.char_length("source").cast("bigint").alias("chars"), F.md5("source").alias("source_md5"))
+
+
 @query(
     "source_table",
     f"""

@@ -248,6 +248,24 @@ def test_sampled_probes_hold_the_boundaries(spark):
     assert "WindowGroupLimit" in executed(P.sample_probes(df, ["v", "s"], ["g"], 4))
 
 
+def test_source_files_keep_all_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "TASK_FILES", 2)
+    texts = {"_x.py": "def f(): pass\r\n", "_lib/empty.py": "", "b c/#1.py": "a = '\u00e9'\n", "d/e/f.py": "x", "n.txt": "no", "d/__init__.py": "", ".h.py": "no", ".v/a.py": "no"}
+    rows = spark.createDataFrame(list(texts.items()) + [("z/null.py", None)], "path string, source string")
+    files.write_files(rows, str(tmp_path / "root"))
+    (tmp_path / "root" / "dir.py").mkdir()
+    (tmp_path / "root" / "broken.py").write_bytes(b"a\xffb")
+    kept = {p: x for p, x in texts.items() if p in ("_x.py", "_lib/empty.py", "b c/#1.py", "d/e/f.py")} | {"z/null.py": "", "broken.py": "a\ufffdb"}
+    for root in (str(tmp_path / "root"), f"file://{tmp_path}/root/"):
+        found = files.source_files(spark, root)
+        assert [(r.path, r.source) for r in found.collect()] == sorted(kept.items())
+        assert "Exchange" not in executed(found)
+    reader = files._SourceReader(str(tmp_path / "root"), ".py")
+    assert [len(p.paths) for p in reader.partitions()] == [2, 2, 2, 1]
+    (tmp_path / "none").mkdir()
+    assert files.source_files(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_last_message(spark):
     rows = [
         (1, 0, "system", "go"), (1, 1, "user", "DONE"), (1, 2, "critic", "all DONE now"), (1, 3, "system", "x"), (1, 4, "", "y"), (1, 5, None, "z"),
