@@ -91,3 +91,31 @@ def top_k(df: DataFrame, groups: Sequence[str], order: Sequence[Column | str], k
         return first(df, groups)
     dealt = df.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(_SPREAD)))
     return first(first(dealt, [*groups, "__part"]), groups).drop("__part")
+
+
+# Classes of keys for each of the k rows that are wanted; the bound lies a little above the k-th key.
+_CLASSES = 4
+
+
+def below_kth(df: DataFrame, groups: Sequence[str], key: Sequence[str], order: Column, k: int) -> DataFrame:
+    """The rows of which ``order`` is not above a bound; it leaves out none of the first ``k`` different keys of a group.
+
+    Keys are dealt by hash into ``_CLASSES * k`` classes. The least order value of each class belongs to a key of its own,
+    so the k-th least of these values is not below that of the k-th key; as the first k keys mostly lie in different
+    classes, it is not far above it. Only least values are exchanged, one for each class and group from a task, however
+    many different keys there are. Rows then meet the bound of their group; NULL order values and groups with fewer
+    classes than ``k`` are kept whole. ``order`` must be a function of the key; NULL groups are groups.
+    """
+    if not groups:
+        return df
+    names = [f"__group_{i}" for i in range(len(groups))]
+    keyed = df.select(*[F.col(g).alias(n) for g, n in zip(groups, names)], F.pmod(F.xxhash64(*key), F.lit(_CLASSES * k)).alias("__class"), order.alias("__order"))
+    least = keyed.groupBy(*names, "__class").agg(F.min("__order").alias("__least"))
+    bounds = least.groupBy(*names).agg(F.get(F.array_sort(F.collect_list("__least")), F.lit(k - 1)).alias("__bound"))
+    valued = df.withColumn("__order", order)
+    same = [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(groups, names)]
+    met = same[0]
+    for condition in same[1:]:
+        met = met & condition
+    held = F.col("__order").isNull() | F.col("__bound").isNull() | (F.col("__order") <= F.col("__bound"))
+    return valued.join(bounds, met).where(held).select(*df.columns)

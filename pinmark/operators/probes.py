@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import python_float_text, python_strip
-from .ordering import top_k
+from .ordering import below_kth, top_k
 
 _STRICT_JSON = {"allowSingleQuotes": "false"}
 
@@ -205,11 +205,13 @@ def sample_probes(
     """Distinct argument tuples per stratum: ``k`` of them in hash order, and those that hold a boundary.
 
     Boundaries of an argument are its minimum, maximum, NULL, and zero or empty text; of several tuples that hold one
-    the smallest is taken (for the maximum the largest). Boundaries need no distinct tuples, so the optimizer finds them
-    in the table and exchanges one row per task and stratum; only the tuples to sample from are exchanged.
+    the smallest is taken (for the maximum the largest). Neither part makes the tuples of the table distinct: boundaries
+    are found by one row per task and stratum, and ``below_kth`` leaves little more than ``k`` tuples of a stratum to sample
+    from, which are made distinct. ``order`` must be a function of the arguments.
     """
-    calls = df.select(*strata, *args).distinct()
-    picked = top_k(calls, strata, [order if order is not None else F.xxhash64(*args), *args], k)
+    calls = df.select(*strata, *args)
+    order = order if order is not None else F.xxhash64(*args)
+    picked = top_k(below_kth(calls, strata, args, order, k).distinct(), strata, [order, *args], k)
 
     call = F.struct(*args)
     edges = []

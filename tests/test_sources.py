@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -10,6 +11,7 @@ from pinmark.operators import inventory as I
 from pinmark.operators import probes as P
 from pinmark.operators import transcript as T
 from pinmark.operators import verify as V
+from pinmark.operators.ordering import below_kth
 from pinmark.schema import CAPTURES, EXPECTATIONS
 from pinmark.sources import files, logs, store
 from pinmark.streaming import capture_stream as stream
@@ -248,6 +250,28 @@ def test_sampled_probes_hold_the_boundaries(spark):
     assert "WindowGroupLimit" in executed(P.sample_probes(df, ["v", "s"], ["g"], 4))
 
 
+@pytest.mark.parametrize("k", [3, 2000])
+def test_sampled_probes_of_a_hot_stratum(spark, k):
+    rows = spark.range(30000).select(
+        F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 == 0, "cold").alias("g"),
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 12000).cast("int").alias("v"),
+    )
+    order = F.md5(F.col("v").cast("string"))
+    groups = {}
+    for r in rows.distinct().collect():
+        groups.setdefault(r.g, []).append(r.v)
+    key = lambda v: hashlib.md5(str(v).encode()).hexdigest()
+    expected = set()
+    for g, values in groups.items():
+        expected |= {(g, v) for v in sorted(values, key=key)[:k]} | {(g, min(values)), (g, max(values))} | {(g, 0) for v in values if v == 0}
+    found = P.sample_probes(rows, ["v"], ["g"], k, order).collect()
+    assert len(found) == len(expected) and {(r.g, r.v) for r in found} == expected
+    left = below_kth(rows, ["g"], ["v"], order, k).distinct().groupBy("g").count().collect()
+    assert all(min(k, len(groups[r.g])) <= r["count"] <= 1.3 * k + 10 for r in left)
+    assert P.sample_probes(rows.where("v < 0"), ["v"], ["g"], k).count() == 0
+    assert below_kth(rows, [], ["v"], order, k).count() == 30000
+
+
 def test_source_files_keep_all_names(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(files, "TASK_FILES", 2)
     texts = {"_x.py": "def f(): pass\r\n", "_lib/empty.py": "", "b c/#1.py": "a = '\u00e9'\n", "d/e/f.py": "x", "n.txt": "no", "d/__init__.py": "", ".h.py": "no", ".v/a.py": "no"}
