@@ -42,6 +42,9 @@ TEMPLATES = {
 #: The share of a template's different words that a block must hold.
 CONTAINMENT = 0.8
 
+#: A block goes on with the next lines as long as all of them together have at most that many times the template's words.
+BLOCK_SHARE = 2
+
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[0x0A] = True
 
@@ -81,7 +84,7 @@ class Lexicon:
 
 
 def _read(column: pa.Array, lexicon: Lexicon):
-    """Words, their numbers, and for each word the block (line) that it lies in, counted over the batch."""
+    """Words, their numbers, and for each word the line that it lies in, counted over the batch."""
     data, offsets = tokens.text_bytes(column)
     data = tokens.fold(data)
     found = tokens.split(data, offsets, tokens.MARKS)
@@ -107,6 +110,37 @@ class _Template:
         return len(self.words) - self.needed + 1
 
 
+def _block_ends(lines: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each line with words the place of its first word, and the place behind the last word of the block it begins."""
+    first = np.flatnonzero(np.append(True, lines[1:] != lines[:-1])) if len(lines) else np.zeros(0, np.int64)
+    ends = np.append(first[1:], len(lines))[: len(first)]
+    reach = np.searchsorted(ends, first + most, "right") - 1
+    last_of_row = np.searchsorted(rows[first], rows[first], "right") - 1
+    return first, ends[np.maximum(np.minimum(reach, last_of_row), np.arange(len(first)))]
+
+
+def _candidates(ranks: np.ndarray, lines: np.ndarray, rows: np.ndarray, template: _Template, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different (first line, word of the template) pairs, in order, of the blocks that may hold it.
+
+    ``ranks``: the place of each word in the global order, -1 for words that are not in the lexicon. A block is left out if
+    it has fewer of the template's words than are needed, or none of its prefix.
+    """
+    first, ends = _block_ends(lines, rows, BLOCK_SHARE * len(template.words))
+    kind = np.zeros(size + 1, np.int8)  # the last one is what -1 finds
+    kind[template.words] = 1
+    kind[template.words[: template.prefix]] = 2
+    kinds = kind[ranks]
+    known = np.flatnonzero(kinds)
+    low, high = np.searchsorted(known, first), np.searchsorted(known, ends)
+    before = np.concatenate([[0], np.cumsum(kinds[known] == 2)])
+    held = np.flatnonzero((high - low >= template.needed) & (before[high] > before[low]))
+    counts = (high - low)[held]
+    within = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    words = ranks[known[np.repeat(low[held], counts) + within]]
+    pairs = np.unique(np.repeat(lines[first[held]], counts) * size + words)
+    return pairs // size, pairs % size
+
+
 def matches(blocks: np.ndarray, ranks: np.ndarray, templates: list[_Template]) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """(block, overlap, template) of all blocks that hold ``needed`` words of a template.
 
@@ -151,9 +185,12 @@ def scan(
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, blocks) of each row's whole text.
 
     Base: places where the words of a phrase stand one after the other; n_base counts them all, first_word and last_word
-    are the least and greatest place. Blocks: lines that hold at least ``containment`` of the different words of a
-    template; ``blocks`` lists (line, template label, score), ``score`` is the best of them or 0. labels holds the labels of
-    phrases and of templates. Null texts are empty; rows without a match have empty labels and null places.
+    are the least and greatest place. Every line with words begins a block, which goes on with the next lines of the text as
+    long as it has at most ``BLOCK_SHARE`` times the template's words, so a notice may be wrapped and two short ones do not
+    make a third; a longer line is a block of its own. Blocks that hold at least ``containment`` of the different words of a template are found: ``blocks`` lists (first line, template
+    label, score), ``score`` is the best of them or 0. labels holds the labels of phrases and of templates. Null texts are
+    empty; rows without a match have empty labels and null places. Every row gives a row, repeated rows the same one; an
+    empty table gives none. Other columns are not read.
 
     Two passes over the texts, nothing of which is exchanged: the first counts in how many lines each of the lexicon's
     words occurs, over all rows, which fixes the global order of words; the second probes. The templates and counts are as
@@ -208,16 +245,15 @@ def _probed(batch: pa.RecordBatch, lexicon: Lexicon, rank: np.ndarray, sets: lis
         at = at[rows[at] == rows[at + len(words) - 1]]
         for i in at.tolist():
             base[rows[i]].append((i - int(found.first[rows[i]]), label))
-    owners, words = _block_words(np.where(ids >= 0, rank[ids], -1), blocks, len(rank))
-    # Block numbers go on from row to row: the first word of a block tells its row, and the row its first block.
-    row_of = rows[np.searchsorted(blocks, owners)] if len(owners) else owners
+    ranks = np.where(ids >= 0, rank[ids], -1)
+    # Line numbers go on from row to row: the first word of a line tells its row, and the row its first line.
     lines: list[list[dict]] = [[] for _ in range(n)]
-    by_block = dict(zip(owners.tolist(), row_of.tolist()))
     row_first = _first_blocks(batch.column(1))
-    for names, overlaps, number in matches(owners, words, sets):
-        for name, overlap in zip(names.tolist(), overlaps.tolist()):
-            row = by_block[name]
-            lines[row].append({"line": name - int(row_first[row]), "label": sets[number].label, "score": overlap / len(sets[number].words)})
+    for template in sets:
+        for names, overlaps, _ in matches(*_candidates(ranks, blocks, rows, template, len(rank)), [template]):
+            owners = rows[np.searchsorted(blocks, names)]
+            for name, row, overlap in zip(names.tolist(), owners.tolist(), overlaps.tolist()):
+                lines[row].append({"line": name - int(row_first[row]), "label": template.label, "score": overlap / len(template.words)})
     for row in lines:
         row.sort(key=lambda b: (b["line"], b["label"]))
     join = lambda labels: ",".join(sorted(set(labels)))

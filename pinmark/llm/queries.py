@@ -94,12 +94,18 @@ def _license_sql() -> str:
     words AS (SELECT doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
     places AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM words),
     base AS (SELECT doc_id, i - 1 AS p, CASE {named} END AS label FROM places WHERE {phrases}),
-    lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
-    sets AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS s FROM lines),
+    split AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM t),
+    lines AS (SELECT doc_id, unnest(l) AS line, unnest(generate_series(1, len(l))) AS i FROM split),
+    counted AS (SELECT doc_id, i, len(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS c FROM lines),
+    summed AS (SELECT doc_id, c, sum(c) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM counted),
     templates(words, label) AS (VALUES {templates}),
+    ends AS (SELECT doc_id, label, words, upto - c + 1 AS a, max(upto) OVER (PARTITION BY doc_id, label ORDER BY upto
+                    RANGE BETWEEN CURRENT ROW AND greatest({licenses.BLOCK_SHARE} * len(words) - c, 0) FOLLOWING) AS e FROM summed, templates WHERE c > 0),
+    sets AS (SELECT doc_id, label, ends.words, list_distinct(list_slice(w, CAST(a AS BIGINT), CAST(e AS BIGINT))) AS s
+             FROM ends JOIN words USING (doc_id)),
     found AS (
         SELECT doc_id, label, len(list_intersect(s, words)) AS common, len(words) AS n
-        FROM sets, templates WHERE len(list_intersect(s, words)) >= ceil({licenses.CONTAINMENT} * len(words) - 1e-9)),
+        FROM sets WHERE len(list_intersect(s, words)) >= ceil({licenses.CONTAINMENT} * len(words) - 1e-9)),
     b AS (
         SELECT doc_id, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
         FROM base GROUP BY doc_id),

@@ -1,6 +1,7 @@
 """The operators against plain Python on small tables with nulls, empty texts, ties, repeated rows and odd columns."""
 
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter
@@ -317,6 +318,44 @@ def test_licenses(docs, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
+# How the usual headers are wrapped.
+WRAPPED = {
+    "gpl-notice": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by",
+    "mpl-2.0": "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this",
+    "bsd": "Redistribution and use in source and binary forms, with or without\n\nmodification, are permitted provided that the following conditions",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above",
+    "mit-notice": "Permission is hereby granted, free of charge,\nto any person\nobtaining a copy\nof this software and associated",
+}
+
+
+def test_wrapped_licenses(spark):
+    rng = np.random.default_rng(8)
+    words = sorted({w for t in licenses.TEMPLATES for w in licenses.words_of(t)}) + ["other", "words"] * 20
+    odd = lambda n: " ".join(rng.choice(words, n))
+    texts = ["int a;\n" + t + "\nfoo\n\n" for t in WRAPPED.values()]
+    for _ in range(300):
+        template = list(licenses.TEMPLATES)[rng.integers(len(licenses.TEMPLATES))].split()
+        wrapped = "".join(w + (" ", "\n", "\n\n")[rng.choice(3, p=(0.8, 0.15, 0.05))] for w in template if rng.random() < 0.9)
+        texts.append("\n".join([odd(rng.integers(0, 60)), wrapped, *(odd(rng.integers(0, 12)) for _ in range(rng.integers(0, 5)))]))
+    sets = [(set(licenses.words_of(t)), label) for t, label in licenses.TEMPLATES.items()]
+    expected = {}
+    for i, text in enumerate(texts):
+        split, found = [licenses.words_of(line) for line in text.split("\n")], []
+        for p, (s, label) in itertools.product(range(len(split)), sets):
+            block = list(split[p])
+            for line in split[p + 1 :] if block else []:
+                if len(block) + len(line) > licenses.BLOCK_SHARE * len(s):
+                    break
+                block += line
+            if len(s & set(block)) >= math.ceil(0.8 * len(s) - 1e-9):
+                found.append((p, label, len(s & set(block)) / len(s)))
+        expected[i] = sorted(found)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.id: r for r in licenses.scan(table).collect()}
+    assert {i: [tuple(b) for b in r.blocks] for i, r in rows.items()} == expected
+    assert all(label in rows[i].labels.split(",") for i, label in enumerate(WRAPPED))
+
+
 def test_filters_lose_no_block():
     rng = np.random.default_rng(5)
     order = np.arange(30)
