@@ -128,8 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 
     The labels know two kinds only. Toxic rows are graded by how many different marker words they hold, markers being
     the features. The sampled rows of a kind count for all labelled rows of it, so the mix does not depend on the size of
-    the table, and the limit is chosen over all labelled rows. Labels meet ids and severities, not texts, but for the
-    sample's. What comes to the driver is bounded: ``WORDS`` words, for each sampled row its counts of them, and counts by
+    the table, and the limit is chosen over all labelled rows. Where ids repeat, ``FIT_ROWS`` bounds the rows all the same,
+    by the hash of the text. Labels meet ids and severities, not texts, but for the sample's. What comes to the driver is bounded: ``WORDS`` words, for each sampled row its counts of them, and counts by
     bin of severity. Without toxic rows, or without others, every row gets severity 0.
     """
     marked = labels.where(F.col(toxic).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg((F.max(toxic) > 0).alias("toxic"))
@@ -137,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     chosen = marked.where("toxic").orderBy(*ordered).limit(FIT_ROWS).union(marked.where("not toxic").orderBy(*ordered).limit(FIT_ROWS))
     chosen = chosen.withColumnRenamed(id_column, "__id")
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-    sample = stored(texts.join(chosen, F.col("id") == F.col("__id")).select("toxic", "text"))
+    # At most 2 * FIT_ROWS ids, so the hint is bounded; texts stay where they are.
+    sample = stored(texts.join(F.broadcast(chosen), F.col("id") == F.col("__id")).select("toxic", "text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,6 +151,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     every = marked.withColumnRenamed(id_column, "__id")
     totals = {r.toxic: r.n for r in texts.select("id").join(every, F.col("id") == F.col("__id")).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if max(sizes.values(), default=0) > FIT_ROWS:  # ids that repeat
+        first = [sample.where(kind).orderBy(F.xxhash64("text"), "text").limit(FIT_ROWS) for kind in ("toxic", "not toxic")]
+        sample, sizes = stored(first[0].union(first[1])), {kind: min(n, FIT_ROWS) for kind, n in sizes.items()}
     n_toxic, n_clean = sizes.get(True, 0), sizes.get(False, 0)
     nothing = Ordinal(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 40.0), 1.0)
     if not n_toxic or not n_clean:

@@ -318,6 +318,16 @@ def test_licenses(docs, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
+def test_repeated_ids_do_not_widen_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 30)
+    seen, fitted = [], toxicity.fit_ordinal
+    monkeypatch.setattr(toxicity, "fit_ordinal", lambda *a, **k: seen.append((len(a[3]), k["mass"].sum())) or fitted(*a, **k))
+    rows = [(i % 40, f"vile nasty w{i}" if i % 2 else f"kind mild w{i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    assert seen[0][0] == 60 and abs(seen[0][1] - 400) < 1e-6 and len(model.words)
+
+
 # How the usual headers are wrapped.
 WRAPPED = {
     "gpl-notice": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by",
