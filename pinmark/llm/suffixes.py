@@ -16,19 +16,20 @@ WIDTH = 50
 #: Bytes of the grams of which every string of ``WIDTH`` bytes names its least one.
 GRAM = 20
 
-#: One gram in so many begins a chunk.
-CHUNK = 128
-
 #: Characters that are worked on in one go.
 BLOCK_CHARS = 4 << 20
 
 #: Bytes of text for each bucket that shards are merged in.
 BUCKET_CHARS = 4 << 20
 
+#: Places that are hashed in one go, so that all arrays stay in the cache.
+PIECE = 1 << 15
+
 #: One in so many bytes of a bucket is what the strings under one gram may take before they are dealt by themselves.
 HOT_SHARE = 4
 
 _LAST = np.int64(np.iinfo(np.int64).max)
+_NONE = np.uint32(np.iinfo(np.uint32).max)
 
 
 # --- One bucket: shard transforms and their merge. ---------------------------------------------------------------------
@@ -43,37 +44,82 @@ def _order(keys: np.ndarray) -> np.ndarray:
     return packed.view(np.int64)
 
 
+def _order_of_pairs(high: np.ndarray, low: np.ndarray, below: int) -> np.ndarray:
+    """An order of pairs of numbers that are less than ``below``; pairs and places are packed into one word if they fit."""
+    bits, place = max(1, below - 1).bit_length(), len(high).bit_length()
+    if 2 * bits + place > 64:
+        return np.lexsort((low, high))
+    packed = (high << bits | low).astype(np.uint64) << np.uint64(place)
+    packed |= np.arange(len(high), dtype=np.uint64)
+    packed.sort()
+    packed &= np.uint64((1 << place) - 1)
+    return packed.view(np.int64)
+
+
 def _ended(strings: np.ndarray, length: int) -> np.ndarray:
-    """Strings of up to four symbols, the first in the high byte, with nothing left behind a terminator."""
-    for bits in range(8 * length - 8, 0, -8):
-        strings[(strings >> np.uint32(bits)) & np.uint32(0xFF) == 0] &= np.uint32(0xFFFFFFFF << bits & 0xFFFFFFFF)
+    """Strings of up to eight symbols, the first in the high byte, with nothing left behind a terminator."""
+    kind, bits = strings.dtype.type, 8 * strings.dtype.itemsize
+    ones = kind(int.from_bytes(bytes([1] * (bits // 8)), "big"))
+    # Some byte is 0 if and only if taking 1 from each byte borrows in a byte whose high bit was not set.
+    some = np.flatnonzero((strings - ones) & ~strings & (ones << kind(7)))
+    ending = strings[some]
+    for place in range(8 * length - 8, 0, -8):
+        ending[(ending >> kind(place)) & kind(0xFF) == 0] &= kind(np.iinfo(kind).max >> place << place)
+    strings[some] = ending
     return strings
 
 
-def shard_transform(text: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array by the first ``depth`` symbols, and the Burrows-Wheeler transform, of one shard.
+def shard_order(text: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array of one shard by the first ``depth`` symbols, and which of its items differ in them from the one before.
 
     ``text``: segments with a terminator 0 after each; ``lengths``: with the terminator. Nothing behind a terminator
-    counts. An item of the transform has the four symbols before the suffix, the nearest one in the low byte; before the
-    first symbol of a segment comes its terminator.
+    counts. Suffixes are sorted by four symbols; then the rank of a suffix by some symbols and that of the one so many
+    symbols later sort by twice as many. Only suffixes whose rank is shared are sorted again.
     """
     n = len(text)
     stops = np.cumsum(lengths)
     left = np.repeat(stops - 1, lengths) - np.arange(n)
-    padded = np.concatenate([text, np.zeros(depth + 4, np.uint8)])
-    fours = _ended(np.lib.stride_tricks.sliding_window_view(padded, 4).copy().view(">u4").ravel().astype(np.uint32), 4)
-    order = np.arange(n)
-    for start in range((depth - 1) // 4 * 4, -1, -4):
-        # Strings of four do not reach past a terminator; those that begin behind it do not count.
-        keys = np.where(left >= start, fours[start : start + n], np.uint32(0))
-        if start + 4 > depth:
-            keys &= np.uint32(0xFFFFFFFF << 8 * (start + 4 - depth) & 0xFFFFFFFF)
-        order = order[_order(keys[order])]
-    previous = np.arange(-1, n - 1)
+    padded = np.concatenate([text, np.zeros(4, np.uint8)])
+    known = min(4, depth)
+    keys = _ended(np.lib.stride_tricks.sliding_window_view(padded, 4)[:n].copy().view(">u4").ravel().astype(np.uint32), 4)
+    keys &= np.uint32(0xFFFFFFFF << 8 * (4 - known) & 0xFFFFFFFF)
+    order = _order(keys)
+    keys = keys[order]
+    head = np.append(keys[1:] != keys[:-1], True)
+    head = np.append(True, head)  # with the end as last item
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(head[:-1], np.arange(n), 0))
+    while known < depth:
+        reach = min(known, depth - known)
+        at = np.flatnonzero(~(head[:-1] & head[1:]))
+        at = at[left[order[at]] >= known]
+        places = order[at]
+        high, low = rank[places], rank[places + reach]
+        dealt = _order_of_pairs(high, low, n)
+        low, places = low[dealt], places[dealt]
+        # Ranks are first places, and only places inside a rank change.
+        first = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))[: len(at)]
+        order[at] = places
+        head[at] |= first
+        rank[places] = np.maximum.accumulate(np.where(first, at, 0))
+        known += reach
+    return order, head[:-1]
+
+
+def shard_transform(text: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The Burrows-Wheeler transform of one shard.
+
+    An item has the eight symbols before the suffix, the nearest one in the low byte; before the first symbol of a segment
+    comes its terminator.
+    """
+    stops = np.cumsum(lengths)
+    previous = np.arange(-1, len(text) - 1)
     previous[stops - lengths] = stops - 1
-    near = text[previous].astype(np.uint32)
-    near |= near[previous] << np.uint32(8)
-    return order, (near | near[previous[previous]] << np.uint32(16))[order]
+    near = text[previous].astype(np.uint64)
+    for symbols in (1, 2, 4):
+        near |= near[previous] << np.uint64(8 * symbols)
+        previous = previous[previous]
+    return near[order]
 
 
 def merged_intervals(transforms: list[np.ndarray], depth: int, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +128,7 @@ def merged_intervals(transforms: list[np.ndarray], depth: int, owner: np.ndarray
     The transforms lie one after the other; ``order`` lists places in them, whose owners are ``owner``, and so is the
     interleave: it says from which shard the next suffix comes, and within a shard places only grow. It begins with shard
     after shard. In each round the symbols of the transforms are read in the order of the interleave and the suffixes dealt
-    out by them, which sorts by four symbols more (by what fours leave over in the first round); the place a suffix goes to
+    out by them, which sorts by eight symbols more (by what eights leave over in the last round); the place a suffix goes to
     in its shard is known from the shard's transform alone. A border that a round opens separates suffixes that differ in
     the symbols sorted by so far, so an interval holds the suffixes with a common prefix of that many symbols.
 
@@ -92,100 +138,121 @@ def merged_intervals(transforms: list[np.ndarray], depth: int, owner: np.ndarray
     symbols = np.concatenate(transforms)
     n = len(symbols)
     edges = np.concatenate([[0], np.cumsum([len(t) for t in transforms])]).tolist()
-    order, interval = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
-    for length, rounds in ((depth % 4, 1), (4, depth // 4)):
-        if not length or not rounds:
+    order, interval = np.arange(n), np.zeros(n, np.int32)
+    for length, rounds in ((8, depth // 8), (depth % 8, 1)):
+        if not length or not rounds or not len(order):
             continue
-        added = _ended(symbols & np.uint32((1 << 8 * length) - 1), length)
-        # A terminator among the symbols ends them all, so it is the nearest one if there is any.
-        goes_on = added & np.uint32(0xFF) != 0
-        follows = np.empty(n, np.int32)
+        strings = _ended(symbols & np.uint64((1 << 8 * length) - 1), length)
+        # What the rounds deal by are the numbers of the different strings.
+        if length > 3:
+            by = np.argsort(strings)
+            added = np.empty(n, np.uint32)
+            added[by] = np.cumsum(np.append(False, strings[by[1:]] != strings[by[:-1]]), dtype=np.uint32)
+        else:
+            added = strings.astype(np.uint32)
+        follows = np.empty(n, np.int64)
         for a, b in zip(edges[:-1], edges[1:]):
-            follows[a + _order(added[a:b])] = np.arange(a, b, dtype=np.int32)
+            follows[a + _order(added[a:b])] = np.arange(a, b)
+        # A terminator among the symbols ends them all, so it is the nearest one if there is any.
+        added[strings & np.uint64(0xFF) == 0] = _NONE
         for _ in range(rounds):
-            held = goes_on[order]
-            order, interval = order[held], interval[held]
-            if not len(order):
-                return order, interval
             keys = added[order]
-            dealt = _order(keys)
+            held = np.flatnonzero(keys != _NONE)
+            if not len(held):
+                return order[:0], interval[:0]
+            dealt = _order(keys[held])
+            dealt = held[dealt]
             keys, interval, order = keys[dealt], interval[dealt], follows[order[dealt]]
             same = (keys[1:] == keys[:-1]) & (interval[1:] == interval[:-1])
-            interval = np.cumsum(np.append(False, ~same), dtype=np.int32)
             whose = owner[order]
-            several = np.zeros(int(interval[-1]) + 1, bool)
-            several[interval[1:][same & (whose[1:] != whose[:-1])]] = True
-            held = several[interval]
-            order, interval = order[held], interval[held]
+            # Heads of intervals, and whether an owner in them differs from the one before.
+            heads = np.append(0, np.flatnonzero(~same) + 1)
+            several = np.logical_or.reduceat(np.append(False, same & (whose[1:] != whose[:-1])), heads)
+            sizes = np.diff(np.append(heads, len(order)))
+            order = order[np.repeat(several, sizes)]
+            sizes = sizes[several]
+            interval = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     return order, interval
 
 
+def _least(values: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """For each item the least one of its interval; ``head`` says which items begin one."""
+    if not len(values):
+        return values
+    heads = np.flatnonzero(head)
+    return np.repeat(np.minimum.reduceat(values, heads), np.diff(np.append(heads, len(values))))
+
+
 def earlier(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> list[np.ndarray]:
     """For each shard (text, lengths, owner of each segment) and each of its places: does the string of ``depth`` symbols
     that begins there also begin in a segment of a smaller owner?"""
-    arrays, transforms = zip(*(shard_transform(text, lengths, depth) for text, lengths, _ in shards))
-    sizes = [len(a) for a in arrays]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    place = np.concatenate([a + s for a, s in zip(arrays, starts)])
+    orders = [shard_order(text, lengths, depth)[0] for text, lengths, _ in shards]
+    transforms = [shard_transform(text, lengths, order) for (text, lengths, _), order in zip(shards, orders)]
+    edges = np.concatenate([[0], np.cumsum([len(order) for order in orders])])
+    place = np.concatenate([order + first for order, first in zip(orders, edges)])
     owner = np.concatenate([np.repeat(o, n) for _, n, o in shards])
-    order, interval = merged_intervals(list(transforms), depth, owner[place])
-    out = np.zeros(len(place), bool)
-    if len(order):
-        held = owner[place[order]]
-        heads = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
-        least = np.repeat(np.minimum.reduceat(held, heads), np.diff(np.append(heads, len(held))))
-        out[place[order]] = held > least
-    return [out[a:b] for a, b in zip(starts[:-1], starts[1:])]
+    order, interval = merged_intervals(transforms, depth, owner[place])
+    place = place[order]
+    out = np.zeros(len(owner), bool)
+    out[place] = owner[place] > _least(owner[place], np.append(True, interval[1:] != interval[:-1])[: len(place)])
+    return [out[a:b] for a, b in zip(edges[:-1], edges[1:])]
 
 
 # --- One block: which places are left to be asked for. ------------------------------------------------------------------
 
 
-class _Block:
-    """The texts of a block by growing id and, for every byte, whether a string of ``width`` bytes begins there."""
-
-    def __init__(self, texts: pa.ChunkedArray, ids: np.ndarray, width: int):
-        self.width, self.gram = width, min(GRAM, width)
-        self.data, self.offsets = tokens.text_bytes(texts)
-        self.ids = np.asarray(ids, np.int64)
-        sizes, n = np.diff(self.offsets), len(self.data)
-        self.owner = np.repeat(self.ids, sizes)
-        self.end = np.repeat(self.offsets[1:], sizes)
-        self.whole = np.arange(n) + width <= self.end
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(tokens._VALUES[self.data] * tokens.powers(tokens._BASE, n), out=sums[1:])
-        self.sums, self.back = sums, tokens.powers(tokens._inverse(tokens._BASE), n + 1)
-
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return tokens.mix((self.sums[ends] - self.sums[starts]) * self.back[starts])
-
-    def grams(self) -> np.ndarray:
-        """The hash of the gram that begins at each byte; meaningless where none does. Not mixed: byte values are random."""
-        n = max(0, len(self.data) - self.gram + 1)
-        out = np.zeros(len(self.data), np.uint64)
-        np.multiply(self.sums[self.gram : self.gram + n] - self.sums[:n], self.back[:n], out=out[:n])
-        return out
-
-    def chunks(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places where strings begin, as chunks: first place, place behind the last, and hash of all their bytes."""
-        head = self.whole & ((grams & np.uint64(CHUNK - 1)) == 0)
-        firsts = self.offsets[:-1]
-        firsts = firsts[firsts < len(head)]
-        head[firsts] |= self.whole[firsts]
-        starts = np.flatnonzero(head)
-        if not len(starts):
-            return starts, starts, np.zeros(0, np.uint64)
-        stops = np.minimum(np.append(starts[1:], len(self.data)), self.end[starts] - self.width + 1)
-        return starts, stops, tokens.whole_hash(self.data, starts, stops + self.width - 1)
-
-    def least_grams(self, grams: np.ndarray) -> np.ndarray:
-        """The least gram of the string that begins at each byte."""
-        out, have, want = grams.copy(), 1, self.width - self.gram + 1
-        while have < want and have < len(out):
+def _words(data: np.ndarray) -> np.ndarray:
+    """For each place the next eight bytes as one number; zeros follow the last byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def _hash(words: np.ndarray, at: np.ndarray | slice, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes from each of the places, eight bytes a step; it only deals strings out."""
+    shift = (lambda k: slice(at.start + k, at.stop + k)) if isinstance(at, slice) else (lambda k: at + k)
+    out = np.zeros(1, np.uint64)
+    for k in range(0, length, 8):
+        step = np.array(words[shift(k)], np.uint64)
+        if length - k < 8:
+            step &= np.uint64((1 << 8 * (length - k)) - 1)
+        step ^= out
+        step *= np.uint64(0x9E3779B97F4A7C15)
+        step ^= step >> np.uint64(32)
+        out = step
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out
+
+
+def _least_grams(data: np.ndarray, gram: int, width: int) -> np.ndarray:
+    """The least hash of a gram in the ``width`` bytes from each place; meaningless where there are not so many."""
+    words, n = _words(data), len(data)
+    out, want = np.zeros(n, np.uint64), width - gram + 1
+    for a in range(0, n - width + 1, PIECE):
+        b = min(a + PIECE, n - width + 1)
+        least, have = _hash(words, slice(a, b + want - 1), gram), 1
+        while have < want:
             step = min(have, want - have)
-            out[:-step] = np.minimum(out[:-step], out[step:])
+            least = np.minimum(least[:-step], least[step:])
             have += step
-        return out
+        out[a:b] = least
+    return out
+
+
+def _segments(starts: np.ndarray, counts: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of places (first, number) that lie next to each other as one; ``apart`` says which do not go with the one before."""
+    head = np.append(True, (starts[1:] != starts[:-1] + counts[:-1]) | apart[1:])[: len(starts)]
+    first = np.flatnonzero(head)
+    return first, np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _ended_text(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of the segments as symbols from 1 on, a terminator after each."""
+    text, _ = tokens.cut(data, starts, starts + lengths)
+    out = np.zeros(len(text) + len(lengths), np.uint8)
+    held = np.ones(len(out), bool)
+    held[np.cumsum(lengths + 1) - 1] = False
+    out[held] = text + np.uint8(1)  # no byte of UTF-8 is 255
+    return out
 
 
 def _by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,17 +271,14 @@ def _unpacked(cell: pa.Scalar, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(cell.as_buffer(), np.uint8), count=n).astype(bool)
 
 
-def _named(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int) -> list[bytes]:
-    """For each block (grams, shared in it, bytes of their strings): bits of the grams that several texts have, then of the hot.
+def _named(blocks: list[tuple[np.ndarray, np.ndarray]], most: int) -> list[bytes]:
+    """For each block (grams, bytes of their strings): bits of the grams that several blocks have, then of the hot.
 
     A gram is hot if the strings under it take more than ``most`` bytes in all blocks together.
     """
-    keys, shared, chars = (np.concatenate(c) for c in zip(*blocks))
+    keys, chars = (np.concatenate(c) for c in zip(*blocks))
     different, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    any_shared, total = np.zeros(len(different), bool), np.zeros(len(different), np.int64)
-    any_shared[place[shared]] = True
-    np.add.at(total, place, chars)
-    several, hot = ((counts > 1) | any_shared)[place], (total > most)[place]
+    several, hot = (counts > 1)[place], (np.bincount(place, chars, len(different)) > most)[place]
     edges = np.concatenate([[0], np.cumsum([len(b[0]) for b in blocks])])
     return [_bits(several[a:b]) + (_bits(hot[a:b]) if hot[a:b].any() else b"") for a, b in zip(edges[:-1], edges[1:])]
 
@@ -238,75 +302,102 @@ def _by_id(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
 
 
 class _Asked:
-    """A block as far as the answers of the steps before allow it to be known."""
+    """A block: runs of places whose strings share their least gram, and what the answers allow to be known of them.
+
+    ``names`` are the different least grams; ``inside`` says which of them occur more than once in the block.
+    """
 
     def __init__(self, table: pa.Table, width: int, bits: int):
-        table, ids = _by_id(table)
-        self.block, self.bits = _Block(table.column("text"), ids, width), bits
-        self.grams = self.block.grams()
-        self.starts, self.stops, hashes = self.block.chunks(self.grams)
-        self.unique, self.first, self.place = np.unique(hashes, return_index=True, return_inverse=True)
-        self.removed = np.zeros(len(self.block.data), bool)
-
-    def chunk_owners(self) -> np.ndarray:
-        """The least owner in the block of each different chunk."""
-        return self.block.owner[self.starts[self.first]]
-
-    def take_chunks(self, answers: pa.Table) -> None:
-        """Chunks that a smaller owner has as well are removed; the rest stays open."""
-        parts = [np.frombuffer(p.as_buffer(), np.int64) for _, p, _ in _answer(answers, 0)]
-        least = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        later = self.block.owner[self.starts] > least[self.place]
-        n = len(self.block.data)
-        inside = np.bincount(self.starts[later], minlength=n + 1) - np.bincount(self.stops[later], minlength=n + 1)
-        self.removed |= np.cumsum(inside[:-1]) > 0
-        self.open = np.flatnonzero(self.block.whole & ~self.removed)
-        # Neighbours mostly share their least gram; what follows looks at runs of them.
-        least, owners = self.block.least_grams(self.grams)[self.open], self.block.owner[self.open]
-        head = np.ones(len(least), bool)
-        head[1:] = (least[1:] != least[:-1]) | (owners[1:] != owners[:-1])
-        heads = np.flatnonzero(head)
-        self.run_owner, self.run_size = owners[heads], np.diff(np.append(heads, len(least)))
-        self.names, self.first_run, self.name_of_run = np.unique(
-            tokens.mix(least[heads]), return_index=True, return_inverse=True  # mixed, as the least of many are small numbers
+        table, self.ids = _by_id(table)
+        self.width, self.bits, gram = width, bits, min(GRAM, width)
+        self.data, offsets = tokens.text_bytes(table.column("text"))
+        least = _least_grams(self.data, gram, width)
+        stops = np.maximum(offsets[:-1], offsets[1:] - width + 1)
+        held = stops > offsets[:-1]
+        firsts, stops, docs = offsets[:-1][held], stops[held], np.flatnonzero(held)
+        head = np.append(True, least[1:] != least[:-1])[: len(least)]
+        # Strings begin from the first place of a text up to its stop.
+        edges = np.column_stack([firsts, stops]).ravel()
+        inside = np.repeat(np.arange(len(edges) + 1) % 2 == 1, np.diff(np.concatenate([[0], edges, [len(least)]])))
+        head[firsts] = True
+        self.run_start = np.flatnonzero(head & inside)
+        text = np.searchsorted(firsts, self.run_start, "right") - 1
+        self.run_size = np.minimum(np.append(self.run_start[1:], len(least)), stops[text]) - self.run_start
+        self.run_owner = self.ids[docs[text]]
+        self.names, self.name_of_run, runs = np.unique(
+            tokens.mix(least[self.run_start]), return_inverse=True, return_counts=True  # mixed, as the least of many are small numbers
         )
-
-    def shared_in_block(self) -> np.ndarray:
-        """Which of the different least grams lie in texts of several owners."""
-        shared = np.zeros(len(self.names), bool)
-        shared[self.name_of_run[self.run_owner != self.run_owner[self.first_run][self.name_of_run]]] = True
-        return shared
+        self.inside = runs > 1
+        # So many places at most have one gram in common.
+        self.inside[self.name_of_run[self.run_size > width - gram + 1]] = True
 
     def name_chars(self) -> np.ndarray:
         """For each different least gram the bytes of its strings, runs of them written once; equal ones count each time."""
-        return np.bincount(self.name_of_run, weights=self.run_size + self.block.width, minlength=len(self.names)).clip(max=2**31 - 1).astype(np.int64)
+        return np.bincount(self.name_of_run, self.run_size + self.width, len(self.names)).clip(max=2**31 - 1).astype(np.int64)
+
+    def _places(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(run, place) of each string of the runs."""
+        counts = self.run_size[chosen]
+        run = np.repeat(chosen, counts)
+        return run, np.arange(len(run)) + np.repeat(self.run_start[chosen] - np.cumsum(counts) + counts, counts)
+
+    def _merge_inside(self) -> None:
+        """Intervals of the block's suffix array: of equal strings the first is asked for, and those of larger owners are removed."""
+        n = len(self.data)
+        self.removed, self.copy = np.zeros(n, bool), np.zeros(n, bool)
+        self.same, self.same_as = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        run, at = self._places(np.flatnonzero(self.inside[self.name_of_run]))
+        # Hashes keep back most strings that are in the block once; those that are left are compared in full.
+        hashes = _hash(_words(self.data), at, self.width)
+        by = np.argsort(hashes)
+        same = np.append(False, hashes[by[1:]] == hashes[by[:-1]])
+        held = np.sort(by[same | np.append(same[1:], False)]) if len(at) else by
+        starts, owners = at[held], self.run_owner[run[held]]
+        first, counts = _segments(starts, np.ones(len(starts), np.int64), np.append(True, owners[1:] != owners[:-1])[: len(owners)])
+        if not len(first):
+            return
+        starts, owners, lengths = starts[first], owners[first], counts + self.width - 1
+        text, lengths = _ended_text(self.data, starts, lengths), lengths + 1
+        order, head = shard_order(text, lengths, self.width)
+        # Strings that reach their terminator have less than ``width`` bytes.
+        ends = np.cumsum(lengths)
+        whole = np.zeros(len(text), bool)
+        whole[: len(text) - self.width] = np.repeat(ends, lengths)[self.width :] == np.repeat(ends, lengths)[: -self.width]
+        shared = np.append(~(head[:-1] & head[1:]), ~head[-1]) & whole[order]
+        order, head = order[shared], head[shared]
+        segment = np.searchsorted(ends, order, "right")
+        owner, place = owners[segment], order - (ends - lengths)[segment] + starts[segment]
+        # Places grow with their owner, so the first of equal strings is one of the least owner.
+        least = _least(place, head)
+        later = owner > _least(owner, head)
+        self.copy[place[place != least]] = True
+        self.removed[place[later]] = True
+        same = ~later & (place != least)
+        self.same, self.same_as = place[same], least[same]
 
     def take_names(self, answers: pa.Table) -> None:
-        """Strings whose least gram is in one text only are done; of equal ones in the block the first is asked for.
+        """Strings whose least gram is in no other block are done; of the others those that are no copy inside are sent.
 
         Strings go to the bucket of their least gram, those of a hot gram to that of their own hash: equal ones still meet.
         """
+        self._merge_inside()
         parts = [_named_bits(p, n) for _, p, n in _answer(answers, 1)]
-        shared, hot = (np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, bool), np.zeros(0, bool))
-        chosen = np.repeat(shared[self.name_of_run], self.run_size)
-        self.asked, least = self.open[chosen], np.repeat(self.names[self.name_of_run], self.run_size)[chosen]
-        owners = self.block.owner[self.asked]
-        hashes = self.block.hashes(self.asked, self.asked + self.block.width)
-        # Places grow with their owner, so the first of equal strings is one of the least owner.
-        _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        self.first_of = first[place]
-        self.later = owners > owners[self.first_of]
-        sent = np.flatnonzero(self.first_of == np.arange(len(place)))
-        least = np.where(np.repeat(hot[self.name_of_run], self.run_size)[chosen], hashes, least)
+        several, hot = (np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, bool), np.zeros(0, bool))
+        run, at = self._places(np.flatnonzero(several[self.name_of_run]))
+        held = ~self.copy[at]
+        run, at = run[held], at[held]
+        least = self.names[self.name_of_run[run]]
+        by_itself = np.flatnonzero(hot[self.name_of_run[run]])
+        if len(by_itself):
+            least[by_itself] = tokens.mix(_hash(_words(self.data), at[by_itself], self.width))
+        buckets = (least >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(at), np.int64)
         # Runs of places of one bucket are a segment; it ends with the string that begins at its last place.
-        buckets = (least[sent] >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(sent), np.int64)
-        at = self.asked[sent]
-        cut = np.append(True, (at[1:] != at[:-1] + 1) | (buckets[1:] != buckets[:-1]) | (owners[sent][1:] != owners[sent][:-1])) if len(at) else np.zeros(0, bool)
-        self.seg_first = np.flatnonzero(cut)
-        counts = np.diff(np.append(self.seg_first, len(at)))
-        by = np.argsort(buckets[self.seg_first], kind="stable")
-        self.sent, self.seg_first, self.seg_count = sent, self.seg_first[by], counts[by]
-        self.seg_start, self.seg_bucket = at[self.seg_first], buckets[self.seg_first]
+        owners = self.run_owner[run]
+        apart = np.append(True, (buckets[1:] != buckets[:-1]) | (owners[1:] != owners[:-1]))[: len(at)]
+        first, counts = _segments(at, np.ones(len(at), np.int64), apart)
+        by = np.argsort(buckets[first], kind="stable")
+        first, self.seg_count = first[by], counts[by]
+        self.seg_start, self.seg_bucket, self.seg_owner = at[first], buckets[first], owners[first]
 
     def segments(self) -> list[tuple[int, bytes, bytes, bytes]]:
         """(bucket, text with terminators, lengths, owners) of each bucket."""
@@ -315,13 +406,9 @@ class _Asked:
         lows = np.searchsorted(self.seg_bucket, filled)
         for bucket, a, b in zip(filled.tolist(), lows.tolist(), [*lows[1:].tolist(), len(self.seg_bucket)]):
             starts = self.seg_start[a:b]
-            lengths = self.seg_count[a:b] + self.block.width - 1
-            text, _ = tokens.cut(np.append(self.block.data + np.uint8(1), np.uint8(0)), starts, starts + lengths)
-            with_ends = np.zeros(len(text) + len(lengths), np.uint8)
-            held = np.ones(len(with_ends), bool)
-            held[np.cumsum(lengths + 1) - 1] = False
-            with_ends[held] = text
-            out.append((bucket, with_ends.tobytes(), (lengths + 1).astype(np.int32).tobytes(), self.block.owner[starts].tobytes()))
+            lengths = self.seg_count[a:b] + self.width - 1
+            text = _ended_text(self.data, starts, lengths)
+            out.append((bucket, text.tobytes(), (lengths + 1).astype(np.int32).tobytes(), self.seg_owner[a:b].tobytes()))
         return out
 
     def state(self) -> tuple[bytes, bytes, bytes]:
@@ -330,11 +417,8 @@ class _Asked:
         Bits of the places that are removed whatever the answers are; first places and counts of the segments in the order
         of buckets; pairs of a place and the one that is asked for in its stead.
         """
-        removed = self.removed.copy()
-        removed[self.asked[self.later]] = True
-        same = np.flatnonzero(~self.later & (self.first_of != np.arange(len(self.first_of))))
-        pairs = np.concatenate([self.asked[same], self.asked[self.first_of[same]]])
-        return _bits(removed), np.concatenate([self.seg_start, self.seg_count]).astype(np.int64).tobytes(), pairs.astype(np.int64).tobytes()
+        pairs = np.concatenate([self.same, self.same_as])
+        return _bits(self.removed), np.concatenate([self.seg_start, self.seg_count]).astype(np.int64).tobytes(), pairs.astype(np.int64).tobytes()
 
 
 def _covered(n: int, state: tuple[bytes, bytes, bytes], flags: np.ndarray, width: int) -> np.ndarray:
@@ -380,19 +464,22 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
     shorter than ``width`` lose nothing. ``spans``: (first byte, bytes) of the maximal removed runs. Other columns are not
     read.
 
-    Texts are dealt into blocks once. Three questions are asked, each by one exchange, and each leaves fewer strings open;
-    what is not asked any more is decided:
-
-    1. Content-defined chunks, one hash each: a chunk that a smaller id has as well is removed as a whole.
-    2. Of the strings left, the least gram: equal strings have the same, so a gram that only one text has needs no more.
-    3. Strings left go to the bucket of their least gram, so equal ones meet; where all strings under a gram take more than
-       one in ``HOT_SHARE`` bytes of a bucket, each goes to the bucket of its own hash instead. There each block is a shard with its own
-       Burrows-Wheeler transform, and the shards are merged by interleave refinement; intervals with a common prefix of
-       ``width`` or more are the equal strings, and the least id in an interval decides.
-
-    A block asks for each different chunk, gram and string once, so what is everywhere comes once from each block. Hashes
-    have 64 bits. Buckets and blocks grow in number with the input, not in size, whatever the texts have in common; a string
-    under a hot gram is sent by itself, so it takes more bytes than in a run of neighbours.
+    Texts are dealt into blocks once. Hashes only say which strings may be equal and where they meet; what is removed
+    comes from intervals of merged transforms alone:
+
+    1. Of every string the least gram: equal strings have the same, so strings whose gram is nowhere else are done. One
+       exchange tells each block which of its grams other blocks have.
+    2. Strings whose gram occurs again inside the block are sorted there. Intervals of this suffix array with a common
+       prefix of ``width`` are the equal strings; the least id of an interval decides, and only its first string is asked
+       for outside.
+    3. Strings whose gram other blocks have go to the bucket of that gram, so equal ones meet; where all strings under a
+       gram take more than one in ``HOT_SHARE`` bytes of a bucket, each goes to the bucket of its own hash instead. There
+       each block is a shard with its own Burrows-Wheeler transform, and the shards are merged by interleave refinement;
+       again the least id of an interval with a common prefix of ``width`` decides.
+
+    A block asks for each different gram and string once, so what is everywhere comes once from each block. Buckets and
+    blocks grow in number with the input, not in size, whatever the texts have in common; a string under a hot gram is
+    sent by itself, so it takes more bytes than in a run of neighbours.
     """
     inner = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     chars = inner.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -402,53 +489,27 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
     dealt = inner.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition("block")
     by_block = dealt.groupBy("block")
 
-    def send_chunks(texts: pa.Table) -> pa.Table:
-        asked = _Asked(texts, width, bits)
-        least, (filled, edges) = asked.chunk_owners(), _by_bucket(asked.unique, bits)
-        return pa.table(
-            {
-                "bucket": pa.array(filled, pa.int64()),
-                "block": pa.array([texts.column("block")[0].as_py()] * len(filled), pa.int64()),
-                "keys": pa.array([asked.unique[a:b].tobytes() for a, b in edges], pa.binary()),
-                "rest": pa.array([least[a:b].tobytes() for a, b in edges], pa.binary()),
-            }
-        )
-
-    def answer_chunks(group: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(c.as_buffer(), np.uint64) for c in group.column("keys")]
-        _, place = np.unique(np.concatenate(keys), return_inverse=True)
-        owners = np.concatenate([np.frombuffer(c.as_buffer(), np.int64) for c in group.column("rest")])
-        least = np.full(int(place.max()) + 1, _LAST)
-        np.minimum.at(least, place, owners)
-        edges = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        rows = zip(group.column("bucket").to_pylist(), group.column("block").to_pylist(), zip(edges[:-1], edges[1:]))
-        return _answers(0, [(bucket, block, least[place[a:b]].tobytes(), b - a) for bucket, block, (a, b) in rows])
-
-    def send_names(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    def send_names(texts: pa.Table) -> pa.Table:
         asked = _Asked(texts, width, bits)
-        asked.take_chunks(answers)
-        shared, chars, (filled, edges) = asked.shared_in_block(), asked.name_chars(), _by_bucket(asked.names, bits)
+        chars, (filled, edges) = asked.name_chars(), _by_bucket(asked.names, bits)
         return pa.table(
             {
                 "bucket": pa.array(filled, pa.int64()),
                 "block": pa.array([texts.column("block")[0].as_py()] * len(filled), pa.int64()),
                 "keys": pa.array([asked.names[a:b].tobytes() for a, b in edges], pa.binary()),
-                "rest": pa.array([_bits(shared[a:b]) for a, b in edges], pa.binary()),
                 "chars": pa.array([chars[a:b].astype(np.int32).tobytes() for a, b in edges], pa.binary()),
             }
         )
 
     def answer_names(group: pa.Table) -> pa.Table:
         keys = [np.frombuffer(c.as_buffer(), np.uint64) for c in group.column("keys")]
-        shared = [_unpacked(c, len(k)) for c, k in zip(group.column("rest"), keys)]
         chars = [np.frombuffer(c.as_buffer(), np.int32) for c in group.column("chars")]
-        payloads = _named(list(zip(keys, shared, chars)), most)
+        payloads = _named(list(zip(keys, chars)), most)
         rows = zip(group.column("bucket").to_pylist(), group.column("block").to_pylist(), payloads, keys)
         return _answers(1, [(bucket, block, payload, len(k)) for bucket, block, payload, k in rows])
 
     def send_segments(texts: pa.Table, answers: pa.Table) -> pa.Table:
         asked = _Asked(texts, width, bits)
-        asked.take_chunks(answers)
         asked.take_names(answers)
         # What the last step needs goes the same way as the segments, past the buckets.
         block = texts.column("block")[0].as_py()
@@ -502,11 +563,10 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
             }
         )
 
-    keyed = "bucket bigint, block bigint, keys binary, rest binary"
-    known = by_block.applyInArrow(send_chunks, keyed).groupBy("bucket").applyInArrow(answer_chunks, _ANSWER)
-    names = by_block.cogroup(known.groupBy("block")).applyInArrow(send_names, keyed + ", chars binary")
-    known = known.union(names.groupBy("bucket").applyInArrow(answer_names, _ANSWER))
-    segments = by_block.cogroup(known.groupBy("block")).applyInArrow(send_segments, keyed + ", lengths binary")
+    keyed = "bucket bigint, block bigint, keys binary"
+    names = by_block.applyInArrow(send_names, keyed + ", chars binary")
+    known = names.groupBy("bucket").applyInArrow(answer_names, _ANSWER)
+    segments = by_block.cogroup(known.groupBy("block")).applyInArrow(send_segments, keyed + ", lengths binary, rest binary")
     known = segments.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(answer_segments, _ANSWER)
     out = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<first: bigint, bytes: bigint>>, kept binary"
     return by_block.cogroup(known.groupBy("block")).applyInArrow(finish, T._parse_datatype_string(out))
