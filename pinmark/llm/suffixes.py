@@ -35,13 +35,14 @@ _NONE = np.uint32(np.iinfo(np.uint32).max)
 # --- One bucket: shard transforms and their merge. ---------------------------------------------------------------------
 
 
-def _order(keys: np.ndarray) -> np.ndarray:
-    """The stable order of 32-bit keys: one sort of numbers that carry their place in the low half."""
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit keys in order and their stable order: one sort of numbers that carry their place in the low half."""
     packed = keys.astype(np.uint64) << np.uint64(32)
     packed |= np.arange(len(keys), dtype=np.uint64)
     packed.sort()
+    keys = (packed >> np.uint64(32)).astype(np.uint32)
     packed &= np.uint64(0xFFFFFFFF)
-    return packed.view(np.int64)
+    return keys, packed.view(np.int64)
 
 
 def _order_of_pairs(high: np.ndarray, low: np.ndarray, below: int) -> np.ndarray:
@@ -83,8 +84,7 @@ def shard_order(text: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.n
     known = min(4, depth)
     keys = _ended(np.lib.stride_tricks.sliding_window_view(padded, 4)[:n].copy().view(">u4").ravel().astype(np.uint32), 4)
     keys &= np.uint32(0xFFFFFFFF << 8 * (4 - known) & 0xFFFFFFFF)
-    order = _order(keys)
-    keys = keys[order]
+    keys, order = _sorted(keys)
     head = np.append(keys[1:] != keys[:-1], True)
     head = np.append(True, head)  # with the end as last item
     rank = np.empty(n, np.int64)
@@ -138,7 +138,7 @@ def merged_intervals(transforms: list[np.ndarray], depth: int, owner: np.ndarray
     symbols = np.concatenate(transforms)
     n = len(symbols)
     edges = np.concatenate([[0], np.cumsum([len(t) for t in transforms])]).tolist()
-    order, interval = np.arange(n), np.zeros(n, np.int32)
+    order, interval = np.arange(n), np.zeros(n, np.int64)
     for length, rounds in ((8, depth // 8), (depth % 8, 1)):
         if not length or not rounds or not len(order):
             continue
@@ -146,13 +146,14 @@ def merged_intervals(transforms: list[np.ndarray], depth: int, owner: np.ndarray
         # What the rounds deal by are the numbers of the different strings.
         if length > 3:
             by = np.argsort(strings)
+            dealt = strings[by]
             added = np.empty(n, np.uint32)
-            added[by] = np.cumsum(np.append(False, strings[by[1:]] != strings[by[:-1]]), dtype=np.uint32)
+            added[by] = np.cumsum(np.append(False, dealt[1:] != dealt[:-1]), dtype=np.uint32)
         else:
             added = strings.astype(np.uint32)
         follows = np.empty(n, np.int64)
         for a, b in zip(edges[:-1], edges[1:]):
-            follows[a + _order(added[a:b])] = np.arange(a, b)
+            follows[a + _sorted(added[a:b])[1]] = np.arange(a, b)
         # A terminator among the symbols ends them all, so it is the nearest one if there is any.
         added[strings & np.uint64(0xFF) == 0] = _NONE
         for _ in range(rounds):
@@ -160,9 +161,11 @@ def merged_intervals(transforms: list[np.ndarray], depth: int, owner: np.ndarray
             held = np.flatnonzero(keys != _NONE)
             if not len(held):
                 return order[:0], interval[:0]
-            dealt = _order(keys[held])
-            dealt = held[dealt]
-            keys, interval, order = keys[dealt], interval[dealt], follows[order[dealt]]
+            # Reading in the order of the interleave is nearly sequential, so one number with all goes through the deal.
+            both = interval[held] << 32 | follows[order[held]]
+            keys, dealt = _sorted(keys[held])
+            both = both[dealt]
+            interval, order = both >> 32, both & 0xFFFFFFFF
             same = (keys[1:] == keys[:-1]) & (interval[1:] == interval[:-1])
             whose = owner[order]
             # Heads of intervals, and whether an owner in them differs from the one before.
@@ -171,7 +174,7 @@ def merged_intervals(transforms: list[np.ndarray], depth: int, owner: np.ndarray
             sizes = np.diff(np.append(heads, len(order)))
             order = order[np.repeat(several, sizes)]
             sizes = sizes[several]
-            interval = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            interval = np.repeat(np.arange(len(sizes)), sizes)
     return order, interval
 
 
@@ -360,12 +363,12 @@ class _Asked:
         text, lengths = _ended_text(self.data, starts, lengths), lengths + 1
         order, head = shard_order(text, lengths, self.width)
         # Strings that reach their terminator have less than ``width`` bytes.
-        ends = np.cumsum(lengths)
+        ends, segment = np.cumsum(lengths), np.repeat(np.arange(len(lengths)), lengths)
         whole = np.zeros(len(text), bool)
-        whole[: len(text) - self.width] = np.repeat(ends, lengths)[self.width :] == np.repeat(ends, lengths)[: -self.width]
+        whole[: len(text) - self.width] = segment[self.width :] == segment[: -self.width]
         shared = np.append(~(head[:-1] & head[1:]), ~head[-1]) & whole[order]
         order, head = order[shared], head[shared]
-        segment = np.searchsorted(ends, order, "right")
+        segment = segment[order]
         owner, place = owners[segment], order - (ends - lengths)[segment] + starts[segment]
         # Places grow with their owner, so the first of equal strings is one of the least owner.
         least = _least(place, head)
