@@ -335,8 +335,14 @@ class _Asked:
         self.inside[self.name_of_run[self.run_size > width - gram + 1]] = True
 
     def name_chars(self) -> np.ndarray:
-        """For each different least gram the bytes of its strings, runs of them written once; equal ones count each time."""
-        return np.bincount(self.name_of_run, self.run_size + self.width, len(self.names)).clip(max=2**31 - 1).astype(np.int64)
+        """For each different least gram the bytes of its strings, runs of them written once; runs that seem equal count once."""
+        first = np.ones(len(self.run_start), bool)
+        runs = np.flatnonzero(self.inside[self.name_of_run])
+        # Runs that begin with the same string and go on as long, as those in copies of a text do.
+        like = tokens.mix(_hash(_words(self.data), self.run_start[runs], self.width) + self.run_size[runs].astype(np.uint64))
+        first[runs] = False
+        first[runs[np.unique(like, return_index=True)[1]]] = True
+        return np.bincount(self.name_of_run, (self.run_size + self.width) * first, len(self.names)).clip(max=2**31 - 1).astype(np.int64)
 
     def _places(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(run, place) of each string of the runs."""
