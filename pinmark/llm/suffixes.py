@@ -16,6 +16,9 @@ WIDTH = 50
 #: Bytes of the grams of which every string of ``WIDTH`` bytes names its least one.
 GRAM = 20
 
+#: One gram in so many begins a chunk.
+CHUNK = 128
+
 #: Characters that are worked on in one go.
 BLOCK_CHARS = 4 << 20
 
@@ -226,19 +229,23 @@ def _hash(words: np.ndarray, at: np.ndarray | slice, length: int) -> np.ndarray:
     return out
 
 
-def _least_grams(data: np.ndarray, gram: int, width: int) -> np.ndarray:
-    """The least hash of a gram in the ``width`` bytes from each place; meaningless where there are not so many."""
+def _grams(data: np.ndarray, gram: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the ``width`` bytes from each place the least hash of a gram, and whether their first gram begins a chunk.
+
+    Both are meaningless where there are not so many bytes.
+    """
     words, n = _words(data), len(data)
-    out, want = np.zeros(n, np.uint64), width - gram + 1
+    out, cut, want = np.zeros(n, np.uint64), np.zeros(n, bool), width - gram + 1
     for a in range(0, n - width + 1, PIECE):
         b = min(a + PIECE, n - width + 1)
         least, have = _hash(words, slice(a, b + want - 1), gram), 1
+        cut[a:b] = least[: b - a] & np.uint64(CHUNK - 1) == 0
         while have < want:
             step = min(have, want - have)
             least = np.minimum(least[:-step], least[step:])
             have += step
         out[a:b] = least
-    return out
+    return out, cut
 
 
 def _segments(starts: np.ndarray, counts: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,34 +312,62 @@ def _by_id(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
 
 
 class _Asked:
-    """A block: runs of places whose strings share their least gram, and what the answers allow to be known of them.
+    """A block as far as the answers of the steps before allow it to be known.
 
-    ``names`` are the different least grams; ``inside`` says which of them occur more than once in the block.
+    After ``take_chunks`` it holds runs of places whose strings are open and share their least gram. ``names`` are the
+    different least grams; ``inside`` says which of them occur more than once in the block.
     """
 
     def __init__(self, table: pa.Table, width: int, bits: int):
         table, self.ids = _by_id(table)
-        self.width, self.bits, gram = width, bits, min(GRAM, width)
-        self.data, offsets = tokens.text_bytes(table.column("text"))
-        least = _least_grams(self.data, gram, width)
-        stops = np.maximum(offsets[:-1], offsets[1:] - width + 1)
-        held = stops > offsets[:-1]
-        firsts, stops, docs = offsets[:-1][held], stops[held], np.flatnonzero(held)
-        head = np.append(True, least[1:] != least[:-1])[: len(least)]
+        self.width, self.bits, self.gram = width, bits, min(GRAM, width)
+        self.data, self.offsets = tokens.text_bytes(table.column("text"))
+        self.least, head = _grams(self.data, self.gram, width)
+        stops = np.maximum(self.offsets[:-1], self.offsets[1:] - width + 1)
+        held = stops > self.offsets[:-1]
+        self.firsts, stops, self.docs = self.offsets[:-1][held], stops[held], np.flatnonzero(held)
         # Strings begin from the first place of a text up to its stop.
-        edges = np.column_stack([firsts, stops]).ravel()
-        inside = np.repeat(np.arange(len(edges) + 1) % 2 == 1, np.diff(np.concatenate([[0], edges, [len(least)]])))
-        head[firsts] = True
-        self.run_start = np.flatnonzero(head & inside)
-        text = np.searchsorted(firsts, self.run_start, "right") - 1
-        self.run_size = np.minimum(np.append(self.run_start[1:], len(least)), stops[text]) - self.run_start
-        self.run_owner = self.ids[docs[text]]
+        edges = np.column_stack([self.firsts, stops]).ravel()
+        self.whole = np.repeat(np.arange(len(edges) + 1) % 2 == 1, np.diff(np.concatenate([[0], edges, [len(head)]])))
+        head &= self.whole
+        head[self.firsts] = True
+        self.starts = np.flatnonzero(head)
+        text = self._text_of(self.starts)
+        self.stops = np.minimum(np.append(self.starts[1:], len(head)), stops[text])
+        self.chunk_owner = self.ids[self.docs[text]]
+        hashes = tokens.whole_hash(self.data, self.starts, self.stops + width - 1)
+        self.unique, self.first, self.place = np.unique(hashes, return_index=True, return_inverse=True)
+
+    def _text_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.firsts, places, "right") - 1
+
+    def chunk_owners(self) -> np.ndarray:
+        """The least owner in the block of each different chunk."""
+        return self.chunk_owner[self.first]
+
+    def take_chunks(self, answers: pa.Table) -> None:
+        """Chunks that a smaller owner has as well are removed; the rest stays open."""
+        parts = [np.frombuffer(p.as_buffer(), np.int64) for _, p, _ in _answer(answers, 0)]
+        later = self.chunk_owner > (np.concatenate(parts) if parts else np.zeros(0, np.int64))[self.place]
+        n, least = len(self.data), self.least
+        # Chunks lie one after the other, so marks at their borders tell what is inside.
+        change = np.zeros(n + 1, np.int8)
+        change[self.starts[later]] += 1
+        change[self.stops[later]] -= 1
+        self.removed = np.cumsum(change[:-1], dtype=np.int8) > 0
+        is_open = self.whole & ~self.removed
+        head = np.append(True, (least[1:] != least[:-1]) | (is_open[1:] != is_open[:-1]))[:n]
+        head[self.firsts] = True
+        starts = np.flatnonzero(head)
+        held = is_open[starts]
+        self.run_start, self.run_size = starts[held], np.diff(np.append(starts, n))[held]
+        self.run_owner = self.ids[self.docs[self._text_of(self.run_start)]]
         self.names, self.name_of_run, runs = np.unique(
             tokens.mix(least[self.run_start]), return_inverse=True, return_counts=True  # mixed, as the least of many are small numbers
         )
         self.inside = runs > 1
         # So many places at most have one gram in common.
-        self.inside[self.name_of_run[self.run_size > width - gram + 1]] = True
+        self.inside[self.name_of_run[self.run_size > self.width - self.gram + 1]] = True
 
     def name_chars(self) -> np.ndarray:
         """For each different least gram the bytes of its strings, runs of them written once; runs that seem equal count once."""
@@ -352,8 +387,7 @@ class _Asked:
 
     def _merge_inside(self) -> None:
         """Intervals of the block's suffix array: of equal strings the first is asked for, and those of larger owners are removed."""
-        n = len(self.data)
-        self.removed, self.copy = np.zeros(n, bool), np.zeros(n, bool)
+        self.copy = np.zeros(len(self.data), bool)
         self.same, self.same_as = np.zeros(0, np.int64), np.zeros(0, np.int64)
         run, at = self._places(np.flatnonzero(self.inside[self.name_of_run]))
         # Hashes keep back most strings that are in the block once; those that are left are compared in full.
@@ -473,12 +507,11 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
     shorter than ``width`` lose nothing. ``spans``: (first byte, bytes) of the maximal removed runs. Other columns are not
     read.
 
-    Texts are dealt into blocks once. Hashes only say which strings may be equal and where they meet; what is removed
-    comes from intervals of merged transforms alone:
+    Texts are dealt into blocks once. Three questions are asked, each by one exchange, and each leaves fewer strings open:
 
-    1. Of every string the least gram: equal strings have the same, so strings whose gram is nowhere else are done. One
-       exchange tells each block which of its grams other blocks have.
-    2. Strings whose gram occurs again inside the block are sorted there. Intervals of this suffix array with a common
+    1. Content-defined chunks, one hash each: a chunk that a smaller id has as well is removed as a whole.
+    2. Of every open string the least gram: equal strings have the same, so strings whose gram is nowhere else are done.
+       Strings whose gram occurs again inside the block are sorted there. Intervals of this suffix array with a common
        prefix of ``width`` are the equal strings; the least id of an interval decides, and only its first string is asked
        for outside.
     3. Strings whose gram other blocks have go to the bucket of that gram, so equal ones meet; where all strings under a
@@ -486,7 +519,8 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
        each block is a shard with its own Burrows-Wheeler transform, and the shards are merged by interleave refinement;
        again the least id of an interval with a common prefix of ``width`` decides.
 
-    A block asks for each different gram and string once, so what is everywhere comes once from each block. Buckets and
+    Hashes of chunks have 64 bits and decide; those of grams and strings only say where strings meet.
+    A block asks for each different chunk, gram and string once, so what is everywhere comes once from each block. Buckets and
     blocks grow in number with the input, not in size, whatever the texts have in common; a string under a hot gram is
     sent by itself, so it takes more bytes than in a run of neighbours.
     """
@@ -498,8 +532,31 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
     dealt = inner.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition("block")
     by_block = dealt.groupBy("block")
 
-    def send_names(texts: pa.Table) -> pa.Table:
+    def send_chunks(texts: pa.Table) -> pa.Table:
+        asked = _Asked(texts, width, bits)
+        least, (filled, edges) = asked.chunk_owners(), _by_bucket(asked.unique, bits)
+        return pa.table(
+            {
+                "bucket": pa.array(filled, pa.int64()),
+                "block": pa.array([texts.column("block")[0].as_py()] * len(filled), pa.int64()),
+                "keys": pa.array([asked.unique[a:b].tobytes() for a, b in edges], pa.binary()),
+                "rest": pa.array([least[a:b].tobytes() for a, b in edges], pa.binary()),
+            }
+        )
+
+    def answer_chunks(group: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(c.as_buffer(), np.uint64) for c in group.column("keys")]
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        owners = np.concatenate([np.frombuffer(c.as_buffer(), np.int64) for c in group.column("rest")])
+        least = np.full(int(place.max()) + 1, _LAST)
+        np.minimum.at(least, place, owners)
+        edges = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+        rows = zip(group.column("bucket").to_pylist(), group.column("block").to_pylist(), zip(edges[:-1], edges[1:]))
+        return _answers(0, [(bucket, block, least[place[a:b]].tobytes(), b - a) for bucket, block, (a, b) in rows])
+
+    def send_names(texts: pa.Table, answers: pa.Table) -> pa.Table:
         asked = _Asked(texts, width, bits)
+        asked.take_chunks(answers)
         chars, (filled, edges) = asked.name_chars(), _by_bucket(asked.names, bits)
         return pa.table(
             {
@@ -519,6 +576,7 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
 
     def send_segments(texts: pa.Table, answers: pa.Table) -> pa.Table:
         asked = _Asked(texts, width, bits)
+        asked.take_chunks(answers)
         asked.take_names(answers)
         # What the last step needs goes the same way as the segments, past the buckets.
         block = texts.column("block")[0].as_py()
@@ -573,8 +631,9 @@ def remove_repeated_bytes(docs: DataFrame, id_column: str = "doc_id", text_colum
         )
 
     keyed = "bucket bigint, block bigint, keys binary"
-    names = by_block.applyInArrow(send_names, keyed + ", chars binary")
-    known = names.groupBy("bucket").applyInArrow(answer_names, _ANSWER)
+    known = by_block.applyInArrow(send_chunks, keyed + ", rest binary").groupBy("bucket").applyInArrow(answer_chunks, _ANSWER)
+    names = by_block.cogroup(known.groupBy("block")).applyInArrow(send_names, keyed + ", chars binary")
+    known = known.union(names.groupBy("bucket").applyInArrow(answer_names, _ANSWER))
     segments = by_block.cogroup(known.groupBy("block")).applyInArrow(send_segments, keyed + ", lengths binary, rest binary")
     known = segments.repartition(1 << bits, "bucket").groupBy("bucket").applyInArrow(answer_segments, _ANSWER)
     out = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<first: bigint, bytes: bigint>>, kept binary"
