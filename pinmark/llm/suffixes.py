@@ -461,14 +461,15 @@ class _Asked:
         of buckets; pairs of a place and the one that is asked for in its stead.
         """
         pairs = np.concatenate([self.same, self.same_as])
-        return _bits(self.removed), np.concatenate([self.seg_start, self.seg_count]).astype(np.int64).tobytes(), pairs.astype(np.int64).tobytes()
+        return _bits(self.removed), np.concatenate([self.seg_start, self.seg_count]).astype(np.int32).tobytes(), pairs.astype(np.int32).tobytes()
 
 
 def _covered(n: int, state: tuple[bytes, bytes, bytes], flags: np.ndarray, width: int) -> np.ndarray:
     """Which of the n bytes of a block are removed; ``flags`` are the answers about its segments, one after the other."""
     removed = np.unpackbits(np.frombuffer(state[0], np.uint8), count=n).astype(bool)
-    starts, counts = np.frombuffer(state[1], np.int64).reshape(2, -1)
-    place, first = np.frombuffer(state[2], np.int64).reshape(2, -1)
+    # An Arrow array of strings has less than 2^31 bytes, so places in a block fit 32 bits.
+    starts, counts = np.frombuffer(state[1], np.int32).astype(np.int64).reshape(2, -1)
+    place, first = np.frombuffer(state[2], np.int32).astype(np.int64).reshape(2, -1)
     if len(starts):
         # A segment has an answer for each of its symbols and one for its terminator; strings begin at the first ones.
         lengths = counts + width
