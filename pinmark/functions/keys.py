@@ -93,11 +93,9 @@ def unquoted(key: Column) -> Column:
 def _float_key(value: Column) -> Column:
     # xxhash64 of one 8-byte word is a bijection, hence an exact name for the bit pattern on both sides.
     bits = F.concat(F.lit("f"), F.hex(F.xxhash64(value)))
-    return (
-        F.when(F.isnan(value), F.lit("nan"))
-        .when((value >= -_INT64) & (value < _INT64) & (value % 1 == 0), value.cast("bigint").cast("string"))
-        .otherwise(bits)
-    )
+    # Whether it is whole goes first: that alone settles most numbers. NaN is above the upper bound.
+    whole = (F.rint(value) == value) & (value < _INT64) & (value >= -_INT64)
+    return F.when(whole, value.cast("bigint").cast("string")).when(F.isnan(value), F.lit("nan")).otherwise(bits)
 
 
 def identity_key(value: Column, dtype: T.DataType) -> Column:
@@ -206,23 +204,55 @@ def json_text(value: Column, dtype: T.DataType) -> Column:
 
 
 def json_length(value: Column, dtype: T.DataType) -> Column:
-    """``len(json.dumps(value))`` with ASCII escapes."""
-    if isinstance(dtype, T.StringType):
-        return F.when(value.isNull(), F.lit(4)).otherwise(json_string_length(value))
-    if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StringType):
-        gaps = 2 * F.greatest(F.size(value) - 1, F.lit(0))
-        total = F.aggregate(
-            value, F.lit(2), lambda acc, e: acc + F.when(e.isNull(), F.lit(4)).otherwise(json_string_length(e))
+    """``len(json.dumps(value))`` with ASCII escapes; parts are measured one by one, no text of the whole is made."""
+    kind = python_type(dtype)
+    if kind == "string":
+        total = json_string_length(value)
+    elif isinstance(dtype, T.ArrayType):
+        parts = F.aggregate(value, F.lit(2), lambda acc, e: acc + json_length(e, dtype.elementType))
+        total = parts + _gaps(F.size(value))
+    elif isinstance(dtype, T.MapType):
+        parts = F.aggregate(
+            F.map_entries(value),
+            F.lit(2),
+            lambda acc, e: acc + json_string_length(e["key"].cast("string")) + 2 + json_length(e["value"], dtype.valueType),
         )
-        return F.when(value.isNull(), F.lit(4)).otherwise(total + gaps)
-    text = json_text(value, dtype)
-    if python_type(dtype) in ("null", "bool", "int", "float"):
-        return F.length(text)
-    # Quotes and controls are escaped in the text already; only the step to ASCII is missing.
-    escapes = (F.length(text) - F.length(F.regexp_replace(text, r"[\x{7f}-\x{ffff}]", ""))) * 5 + (
-        F.length(text) - F.length(F.regexp_replace(text, r"[\x{10000}-\x{10ffff}]", ""))
-    ) * 11
-    return F.length(text) + escapes
+        total = parts + _gaps(F.size(value))
+    elif isinstance(dtype, T.StructType):
+        total = F.lit(2) + _gaps(F.lit(len(dtype.fields)))
+        for f in dtype.fields:
+            total = total + json_string_length(F.lit(f.name)) + 2 + json_length(value[f.name], f.dataType)
+    elif kind == "other":
+        total = json_string_length(other_text(value, dtype))
+    else:
+        return F.length(json_text(value, dtype))
+    return F.when(value.isNull(), F.lit(4)).otherwise(total)
+
+
+def _gaps(n: Column) -> Column:
+    """What the separators between ``n`` parts add."""
+    return 2 * F.greatest(n - 1, F.lit(0))
+
+
+# The shortest JSON text of a value by its kind: "1", "0.0", "true", and two quotes or brackets; "null" is longer or as long.
+_SHORTEST = {"null": 4, "bool": 4, "int": 1, "float": 3}
+
+
+def is_long(value: Column, dtype: T.DataType, length: Column, limit: int) -> Column:
+    """Whether ``length``, that of the JSON text, exceeds ``limit``.
+
+    Where the number of parts or characters alone says so, ``length`` is not evaluated: numbers have slow texts.
+    """
+    if isinstance(dtype, T.StringType):
+        least = F.length(value) + 2
+    elif isinstance(dtype, T.ArrayType):
+        least = F.size(value) * (_SHORTEST.get(python_type(dtype.elementType), 2) + 2)
+    elif isinstance(dtype, T.MapType):
+        # A key has two quotes, a colon and a blank.
+        least = F.size(value) * (_SHORTEST.get(python_type(dtype.valueType), 2) + 6)
+    else:
+        return length > limit
+    return F.when(least > limit, F.lit(True)).otherwise(length > limit)
 
 
 def as_double(value: Column, dtype: T.DataType) -> Column:
@@ -231,8 +261,8 @@ def as_double(value: Column, dtype: T.DataType) -> Column:
     return F.lit(None).cast("double")
 
 
-def digest(value: Column, dtype: T.DataType, length: Column, limit: int = 500, head: int = 200) -> Column:
-    """Short stand-in for an output whose JSON text is longer than ``limit``, NULL for others.
+def digest(value: Column, dtype: T.DataType, long: Column, head: int = 200) -> Column:
+    """Short stand-in for an output whose JSON text is ``long`` (``is_long``), NULL for others.
 
     Lists report their size, everything else the first ``head`` characters of its text (for maps and structs that is
     the JSON text).
@@ -242,4 +272,4 @@ def digest(value: Column, dtype: T.DataType, length: Column, limit: int = 500, h
     else:
         text = value if isinstance(dtype, T.StringType) else json_text(value, dtype)
         short = F.concat(F.left(text, F.lit(head)), F.lit("... [truncated]"))
-    return F.when(length > limit, short)
+    return F.when(long, short)

@@ -66,9 +66,10 @@ def _failure(guards: Sequence[Guard]) -> Column:
 
 
 def outcome_columns(
-    value: Column, dtype: T.DataType, length: Column, error: Column, guards: Sequence[Guard], digest_limit: int
+    value: Column, dtype: T.DataType, length: Column, long: Column, error: Column, guards: Sequence[Guard]
 ) -> dict[str, Column]:
-    """The outcome part of a record, from value, JSON length and error text already computed as columns."""
+    """The outcome part of a record, from value, JSON length, whether that is too long, and error text already computed as
+    columns."""
     no_text = F.lit(None).cast("string")
     error_class = F.when(error.isNotNull(), F.split_part(error, F.lit(":"), F.lit(1)))
     error_mro = F.lit(None).cast("array<string>")
@@ -76,8 +77,8 @@ def outcome_columns(
         names = F.array(*[F.lit(n) for n in encode.mro_names(cls)])
         error_mro = F.when(error_class == cls.__name__, names).otherwise(error_mro)
     ok = error.isNull()
-    bounded = not isinstance(dtype, (T.StringType, T.ArrayType, T.MapType, T.StructType))
-    kept = ok if bounded else ok & (length <= digest_limit)
+    bounded = _bounded(dtype)
+    kept = ok if bounded else ok & ~long
     return {
         "status": F.when(ok, F.lit(SUCCESS)).otherwise(F.lit(CRASHED)),
         "out_type": F.when(~ok, no_text)
@@ -87,8 +88,8 @@ def outcome_columns(
         "out_key": F.when(kept, keys.equality_key(value, dtype)),
         "out_double": F.when(kept, keys.as_double(value, dtype)),
         "out_len": F.when(ok, length),
-        "out_digest": no_text if bounded else F.when(ok, keys.digest(value, dtype, length, digest_limit)),
-        "out_hash": _whole_hash(value, dtype, length, ok, bounded, digest_limit),
+        "out_digest": no_text if bounded else F.when(ok, keys.digest(value, dtype, long)),
+        "out_hash": _whole_hash(value, dtype, long, ok),
         "error": error,
         "error_class": error_class,
         "error_mro": error_mro,
@@ -96,30 +97,39 @@ def outcome_columns(
     }
 
 
-def _whole_hash(value: Column, dtype: T.DataType, length: Column, ok: Column, bounded: bool, digest_limit: int) -> Column:
+def _bounded(dtype: T.DataType) -> bool:
+    """Whether outputs of the type are short whatever their value."""
+    return not isinstance(dtype, (T.StringType, T.ArrayType, T.MapType, T.StructType))
+
+
+def _whole_hash(value: Column, dtype: T.DataType, long: Column, ok: Column) -> Column:
     """SHA-256 of the identity key of outputs that ``out_key`` does not name: long ones, and those that hold NaN."""
+    bounded = _bounded(dtype)
     if bounded and not keys.may_hold_nan(dtype):
         return F.lit(None).cast("string")
     unnamed = keys.holds_nan(value, dtype)
     if not bounded:
-        unnamed = unnamed | (length > digest_limit)
+        unnamed = long | unnamed
     return F.when(ok & unnamed, F.sha2(keys.identity_key(value, dtype), 256))
 
 
 Subject = tuple[Outcome, Sequence[Column]]
 
 
-def _evaluated(df: DataFrame, subjects: Sequence[Subject], turn: Column | None = None) -> DataFrame:
-    """Add error text, value, JSON length and arguments of each subject as columns.
+def _evaluated(
+    df: DataFrame, subjects: Sequence[Subject], digest_limit: int, turn: Column | None = None
+) -> DataFrame:
+    """Add error text, value, JSON length, whether that is too long, and arguments of each subject as columns.
 
     They are separate projections because the later ones use them many times; Catalyst keeps a projection apart when
-    merging it would repeat work. ``turn`` says whose row it is if each subject has its own.
+    merging it would repeat work. ``turn`` says whose row it is if each subject has its own. Where nobody reads the
+    length itself, Catalyst moves it into the question whether it is too long, which mostly is answered without it.
     """
 
     def own(place: int, column: Column) -> Column:
         return column if turn is None else F.when(turn == place, column)
 
-    given, errors, values, lengths = {}, {}, {}, {}
+    given, errors, values, lengths, longs = {}, {}, {}, {}, {}
     for i, (outcome, args) in enumerate(subjects):
         given.update({n: own(i, c) for n, c in outcome.given.items()})
         errors[f"__error{i}"] = own(i, _failure(outcome.guards))
@@ -129,9 +139,11 @@ def _evaluated(df: DataFrame, subjects: Sequence[Subject], turn: Column | None =
     valued = named.withColumns(errors).withColumns(values)
     schema = valued.schema
     for i in range(len(subjects)):
-        length = keys.json_length(F.col(f"__value{i}"), schema[f"__value{i}"].dataType)
-        lengths[f"__length{i}"] = own(i, length.cast("int"))
-    return valued.withColumns(lengths)
+        value, dtype = F.col(f"__value{i}"), schema[f"__value{i}"].dataType
+        lengths[f"__length{i}"] = own(i, keys.json_length(value, dtype).cast("int"))
+        long = F.lit(False) if _bounded(dtype) else keys.is_long(value, dtype, F.col(f"__length{i}"), digest_limit)
+        longs[f"__long{i}"] = own(i, long)
+    return valued.withColumns(lengths).withColumns(longs)
 
 
 def argument_columns(schema: T.StructType, args: Sequence[str]) -> dict[str, Column]:
@@ -144,13 +156,13 @@ def argument_columns(schema: T.StructType, args: Sequence[str]) -> dict[str, Col
     }
 
 
-def _record(schema: T.StructType, subject: Subject, place: int, digest_limit: int) -> dict[str, Column]:
+def _record(schema: T.StructType, subject: Subject, place: int) -> dict[str, Column]:
     outcome, args = subject
-    error, value, length = (F.col(f"__{part}{place}") for part in ("error", "value", "length"))
+    error, value, length, long = (F.col(f"__{part}{place}") for part in ("error", "value", "length", "long"))
     dtype = schema[f"__value{place}"].dataType
     return {
         **argument_columns(schema, [f"__arg{place}_{i}" for i in range(len(args))]),
-        **outcome_columns(value, dtype, length, error, outcome.guards, digest_limit),
+        **outcome_columns(value, dtype, length, long, error, outcome.guards),
     }
 
 
@@ -166,12 +178,12 @@ def capture_native(
     digest_limit: int = encode.DIGEST_LIMIT,
 ) -> DataFrame:
     """Capture a Column expression: one narrow projection, no shuffle and no Python worker."""
-    df = _evaluated(df, [(outcome, args)])
+    df = _evaluated(df, [(outcome, args)], digest_limit)
     columns = {
         "module": module if isinstance(module, Column) else F.lit(module),
         "function": F.lit(function),
         "seq": (seq if seq is not None else F.lit(None)).cast("bigint"),
-        **_record(df.schema, (outcome, args), 0, digest_limit),
+        **_record(df.schema, (outcome, args), 0),
     }
     return df.select(*[columns[c].alias(c) for c in CAPTURE_COLUMNS], *keep)
 
@@ -186,8 +198,8 @@ def with_outcome(
 ) -> DataFrame:
     """Add what a Column expression does to each row as prefixed columns beside the row's own."""
     subject = (outcome, args)
-    evaluated = _evaluated(df, [subject])
-    record = _record(evaluated.schema, subject, 0, digest_limit)
+    evaluated = _evaluated(df, [subject], digest_limit)
+    record = _record(evaluated.schema, subject, 0)
     return evaluated.select(*df.columns, *[record[c].alias(prefix + c) for c in OUTCOME_COLUMNS])
 
 
@@ -206,10 +218,10 @@ def capture_native_many(
     """
     turn = F.col("__turn")
     copies = df.withColumn("__turn", F.explode(F.array(*[F.lit(i) for i in range(len(subjects))])))
-    evaluated = _evaluated(copies, list(subjects.values()), turn)
+    evaluated = _evaluated(copies, list(subjects.values()), digest_limit, turn)
     schema = evaluated.schema
     records = [
-        {"function": F.lit(function), **_record(schema, subject, i, digest_limit)}
+        {"function": F.lit(function), **_record(schema, subject, i)}
         for i, (function, subject) in enumerate(subjects.items())
     ]
 

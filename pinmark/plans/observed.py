@@ -15,7 +15,7 @@ from ..operators import expect as X
 from ..operators import observe as B
 from ..operators import probes as P
 from ..operators import verify as V
-from ..session import shared_dir
+from ..session import shared_dir, spread
 from ..sources import logs, store
 from ..streaming import capture_stream as stream
 from .captures import CHANGED_RATE, FUNCTION, billing, changed_billing
@@ -206,7 +206,7 @@ def compare_exact(t: Tables) -> DataFrame:
     """Long lists that hold NaN, compared in place by their whole value."""
     value = F.col("value")
     results = compare_native(
-        t.events, _series(value, value), _series(value, _changed_end()), [F.col("event_id")],
+        spread(t.events), _series(value, value), _series(value, _changed_end()), [F.col("event_id")],
         module=F.col("event_type"), function="series", seq=F.col("event_id"), exact=True,
     )
     return results.groupBy("module").agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))

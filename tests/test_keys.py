@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from pinmark.functions import encode, keys, text
 from pinmark.operators import capture as C
+from tests.plans import executed
 
 FLOATS = [
     0.0, -0.0, 1.0, -1.0, 0.1, 1e7, 1e16, 1e15, 123456789.125, 1e-4, 1.5e-4, 1e-5, 1.5e-7, 1e22, 1.7976931348623157e308,
@@ -71,6 +72,52 @@ def test_native_keys_equal_python_keys(spark, dtype, values):
             assert r.elements is None
 
 
+NESTED = T.ArrayType(T.MapType(T.StringType(), T.ArrayType(T.DoubleType())))
+
+
+def test_lengths_are_those_of_the_json_text_and_each_part_has_its_text_once(spark):
+    values = [[{'q"é': [1.5, None, float("nan")], "😀": []}, {}, None], [], [{"k": FLOATS}, {"a": None}], None]
+    df = spark.createDataFrame(list(enumerate(values)), T.StructType([T.StructField("i", T.IntegerType()), T.StructField("v", NESTED)]))
+    assert {r.i: r.n for r in df.select("i", keys.json_length(F.col("v"), NESTED).alias("n")).collect()} == {i: len(json.dumps(v)) for i, v in enumerate(values)}
+    lists = spark.createDataFrame([([1.5],)], "v array<double>")
+    one = executed(lists.select(F.transform("v", lambda e: keys.json_text(e, T.DoubleType())).alias("t"))).count("%.15e")
+    assert executed(lists.select(keys.json_length(F.col("v"), T.ArrayType(T.DoubleType())).alias("n"))).count("%.15e") == one
+
+
+@pytest.mark.parametrize("value, dtype", [
+    ([0.1] * 101, T.ArrayType(T.DoubleType())), ([None] * 101, T.ArrayType(T.DoubleType())), ([7] * 167, T.ArrayType(T.LongType())),
+    (["a"] * 126, T.ArrayType(T.StringType())), ({str(i): "" for i in range(63)}, T.MapType(T.StringType(), T.StringType())), ("x" * 499, T.StringType()),
+])
+def test_what_has_many_parts_is_long_without_being_measured(spark, value, dtype):
+    df = spark.createDataFrame([(value,)], T.StructType([T.StructField("v", dtype)]))
+    measured = F.raise_error(F.lit("measured")).cast("int")
+    assert df.select(keys.is_long(F.col("v"), dtype, measured, 500)).first()[0] is True
+    assert len(json.dumps(value)) > 500
+
+
+@pytest.mark.parametrize("value, dtype", [
+    ([7] * 166, T.ArrayType(T.LongType())), ([7] * 167, T.ArrayType(T.LongType())), ([], T.ArrayType(T.LongType())), ("x" * 498, T.StringType()),
+    ("é" * 83, T.StringType()), ("é" * 84, T.StringType()), ([0.0] * 100, T.ArrayType(T.DoubleType())), ([""] * 125, T.ArrayType(T.StringType())),
+    ({"a": 1}, T.MapType(T.StringType(), T.LongType())), (None, T.ArrayType(T.LongType())), (None, T.StringType()),
+])
+def test_what_is_long_has_a_long_text(spark, value, dtype):
+    df = spark.createDataFrame([(value,)], T.StructType([T.StructField("v", dtype)]))
+    found = df.select(keys.is_long(F.col("v"), dtype, keys.json_length(F.col("v"), dtype), 500)).first()[0]
+    assert found == (len(json.dumps(value)) > 500)
+
+
+def test_a_long_list_is_captured_without_its_text(spark):
+    df = spark.createDataFrame([(0, [0.1] * 101), (1, [0.1] * 3)], "i int, v array<double>")
+    found = C.capture_native(df, C.Outcome(F.col("v")), [F.col("i")], module="m", function="f", seq=F.col("i"))
+    whole = [encode.output([0.1] * n) for n in (101, 3)]
+    rows = found.orderBy("seq").select("out_type", "out_json", "out_key", "out_double", "out_len", "out_digest", "out_hash").collect()
+    assert [tuple(r) for r in rows] == whole
+    read = found.select("out_key", "out_hash")
+    one = executed(df.select(F.transform("v", lambda e: keys.json_text(e, T.DoubleType())).alias("t"))).count("%.15e")
+    # The text is behind the question whether the list is long, and nowhere else.
+    assert executed(read).count("%.15e") == one and "> 500) THEN true ELSE" in executed(read)
+
+
 def test_float_text_is_repr(spark):
     values = [f for f in FLOATS if math.isfinite(f)]
     rng = random.Random(7)

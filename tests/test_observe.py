@@ -17,6 +17,7 @@ from pinmark.operators import ordering as O
 from pinmark.operators import probes as P
 from pinmark.operators import rollup as R
 from pinmark.operators import verify as V
+from pinmark.plans import catalog
 from pinmark.plans.regression import compare_native, replay_python, replay_store, verify_store
 from pinmark.schema import CAPTURES
 from pinmark.sources import logs, store
@@ -354,3 +355,19 @@ def test_many_modules_are_replaced_in_one_write(spark, tmp_path):
     store.write_modules(rows(names[:20], 2), path, names[:21])
     assert Counter(r.out_json for r in store.scan_captures(spark, path).collect()) == {"2": 20, "1": 19}
     assert store.scan_captures(spark, path, "m20").count() == 0
+
+
+def events(spark, folder, rows):
+    kinds = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def event_rows(n):
+    return [(i, datetime(2024, 1, 1), i, ("view", "click", "error")[i % 3], i * 1.01, "{}") for i in range(n)]
+
+
+def test_long_lists_of_one_file_are_compared_by_all_cores(spark, tmp_path):
+    found = catalog.queries()["compare_exact"](spark, events(spark, tmp_path, event_rows(60)))
+    assert "RoundRobinPartitioning" in executed(found)
+    assert {r.module: (r.passed, r.failed) for r in found.collect()} == {m: (16, 4) for m in ("view", "click", "error")}
