@@ -219,10 +219,10 @@ SELECT event_type AS module, change, count(*) AS n FROM events, (VALUES ('added'
 WHERE event_id % 5 = 0 GROUP BY ALL""",
 )
 def behaviour_diff_long(t: Tables) -> DataFrame:
-    value = F.col("value")
+    value, rows = F.col("value"), spread(t.events)
 
     def series(last):
-        return C.capture_native(t.events, _series(value, last), [F.col("event_id")], module=F.col("event_type"), function="series", seq=F.col("event_id"))
+        return C.capture_native(rows, _series(value, last), [F.col("event_id")], module=F.col("event_type"), function="series", seq=F.col("event_id"))
 
     found = C.behaviour_diff(series(value), series(_changed_end()))
     return found.groupBy("module", "change").agg(F.sum("n").cast("bigint").alias("n"))

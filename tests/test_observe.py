@@ -8,8 +8,9 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pinmark.functions import encode
+from pinmark.functions import encode, keys
 from pinmark.operators import capture as C
 from pinmark.operators import expect as X
 from pinmark.operators import observe as B
@@ -371,3 +372,13 @@ def test_long_lists_of_one_file_are_compared_by_all_cores(spark, tmp_path):
     found = catalog.queries()["compare_exact"](spark, events(spark, tmp_path, event_rows(60)))
     assert "RoundRobinPartitioning" in executed(found)
     assert {r.module: (r.passed, r.failed) for r in found.collect()} == {m: (16, 4) for m in ("view", "click", "error")}
+
+
+def test_long_lists_of_one_file_are_told_apart_by_all_cores(spark, tmp_path):
+    found = catalog.queries()["behaviour_diff_long"](spark, events(spark, tmp_path, event_rows(60)))
+    plan = executed(found)
+    assert "RoundRobinPartitioning" in plan
+    # Each side has the text of a number behind the question whether the list is long, and in what is kept of a short one.
+    once = executed(spark.range(1).select(F.transform(F.array(F.rand()), lambda e: keys.json_text(e, T.DoubleType())).alias("t"))).count("%.15e")
+    assert plan.count("%.15e") == 2 * 2 * once
+    assert {(r.module, r.change): r.n for r in found.collect()} == {(m, c): 4 for m in ("view", "click", "error") for c in ("added", "removed")}
