@@ -5,6 +5,7 @@ import time
 from collections import Counter
 from datetime import date, datetime
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,8 +19,10 @@ from pinmark.operators import ordering as O
 from pinmark.operators import probes as P
 from pinmark.operators import rollup as R
 from pinmark.operators import verify as V
-from pinmark.plans import catalog
+from pinmark.plans import catalog, observed
 from pinmark.plans.regression import compare_native, replay_python, replay_store, verify_store
+from pinmark.plans.registry import Tables
+from pinmark.plans.texts import capture_lines
 from pinmark.schema import CAPTURES
 from pinmark.sources import logs, store
 from pinmark.streaming import capture_stream as S
@@ -27,6 +30,7 @@ from tests.plans import executed
 from tests.test_expect_verify import capture_row, table
 
 NAN = float("nan")
+verified = S.verify_stream
 PROBES = "module string, function string, case_seq int, arg_json array<string>"
 
 
@@ -382,3 +386,23 @@ def test_long_lists_of_one_file_are_told_apart_by_all_cores(spark, tmp_path):
     once = executed(spark.range(1).select(F.transform(F.array(F.rand()), lambda e: keys.json_text(e, T.DoubleType())).alias("t"))).count("%.15e")
     assert plan.count("%.15e") == 2 * 2 * once
     assert {(r.module, r.change): r.n for r in found.collect()} == {(m, c): 4 for m in ("view", "click", "error") for c in ("added", "removed")}
+
+
+def test_lines_of_one_module_are_in_several_files_in_order(spark, tmp_path):
+    rows = [(*r[:3], "view", *r[4:]) for r in event_rows(300)]
+    tables = Tables(spark, events(spark, tmp_path, rows[::-1]))
+    root, lines = observed.streamed(tables)
+    files = sorted(Path(root, "logs", "module=view").glob("*.txt"))
+    assert len(files) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    told = [line for f in files for line in f.read_text().split("\n")[:-1]]
+    assert told == [r.line for r in capture_lines(tables).orderBy("line_no").collect()]
+    S.capture_stream(lines, f"{root}/out", f"{root}/mark", number=True).awaitTermination()
+    assert {r.seq for r in spark.read.parquet(f"{root}/out").collect()} == {i for i in range(300) if i % 9 in (1, 2, 3, 4, 6, 8)}
+
+
+def test_stored_cases_of_a_stream_are_not_numbered_in_one_task(spark, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr(S, "verify_stream", lambda lines, cases, *a: plans.append(executed(cases)) or verified(lines, cases, *a))
+    found = catalog.queries()["stream_verified"](spark, events(spark, tmp_path, event_rows(90))).collect()
+    assert "row_number" not in plans[0]
+    assert sum(r.cases for r in found) == 60 and {r.reason for r in found} == {"ok", "mismatch"}
